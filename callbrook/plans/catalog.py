@@ -1,8 +1,8 @@
 """All registered queries and their SQL counterparts."""
 
-from callbrook.plans import search_queries
+from callbrook.plans import kb_queries, search_queries
 
-_MODULES = (search_queries,)
+_MODULES = (kb_queries, search_queries)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
