@@ -11,7 +11,7 @@ window's.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,6 +95,48 @@ def previous(df, keys, order, segment, name: str, value: Column) -> DataFrame:
     return running(df, keys, order, segment, [Running(name, "last", value)])
 
 
+def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Column, value: Column,
+         breaks: Callable[[Column, Column], Column]) -> DataFrame:
+    """Gaps and islands in one segmented pass.
+
+    Adds ``run_value`` (last non-null value up to the row) and ``run_start``
+    (the order key of the row that opened the row's run; null before the first
+    break).  ``breaks(previous, value)`` says whether a value opens a run; a null
+    value never does.  Only the first value of a segment needs anything from
+    earlier segments, and that is settled on the summaries.
+    """
+    at = F.struct(*order)
+    inside = Window.partitionBy(*keys, "__seg").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    cut = df.withColumn("__seg", segment).withColumn("__v", value).withColumn("__at", at)
+    local = cut.withColumn("__p", F.last("__v", ignorenulls=True).over(before)) \
+        .withColumn("__b", F.when(F.col("__v").isNotNull() & F.col("__p").isNotNull()
+                                  & breaks(F.col("__p"), F.col("__v")), F.col("__at")))
+    rows = local.withColumn("__lv", F.last("__v", ignorenulls=True).over(upto)) \
+        .withColumn("__lb", F.last("__b", ignorenulls=True).over(upto))
+
+    known = F.when(F.col("__v").isNotNull(), F.col("__at"))
+    summary = local.groupBy(*keys, "__seg").agg(
+        F.min(known).alias("__first_at"), F.min_by("__v", known).alias("__first"),
+        F.max_by("__v", known).alias("__last"), F.max("__b").alias("__last_b"))
+    earlier = Window.partitionBy(*keys).orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    opened = summary.withColumn("__carry_v", F.last("__last", ignorenulls=True).over(earlier)) \
+        .withColumn("__opens", F.when(F.col("__first").isNotNull() & (
+            F.col("__carry_v").isNull() | breaks(F.col("__carry_v"), F.col("__first"))), F.col("__first_at"))) \
+        .withColumn("__carry_b", F.last(F.coalesce("__last_b", "__opens"), ignorenulls=True).over(earlier))
+    handed = opened.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__seg").alias("__k_seg"),
+                           "__carry_v", "__opens", "__carry_b")
+    on = F.col("__seg") == F.col("__k_seg")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return rows.join(handed, on, "left").select(
+        *[F.col(c) for c in df.columns],
+        F.coalesce("__lv", "__carry_v").alias("run_value"),
+        F.coalesce(F.col("__lb"), F.when(F.col("__at") >= F.col("__opens"), F.col("__opens")), F.col("__carry_b")).alias("run_start"),
+    )
+
+
 def is_small(df: DataFrame, limit: int) -> bool:
     """Does the frame have at most ``limit`` rows?  Reads no more than that."""
     return df.limit(limit + 1).count() <= limit

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
 from callbrook.functions.text import (
     content_hash, dashed_dates, is_blank, matches_any, stable_id, strip, tidy_whitespace,
 )
-from callbrook.operators.carry import Running, previous, running
+from callbrook.operators.carry import Running, previous, running, runs
 
 SEGMENT = 4096  # consecutive rows of one source handled by one window task
 
@@ -57,31 +57,24 @@ def clean_elements(elements: DataFrame, unicode_form: bool = True) -> DataFrame:
 
 
 def section_groups(kept: DataFrame) -> DataFrame:
-    """Number the runs of equal section names.  A missing name continues the
-    current run; text before the first name belongs to the untitled run 0."""
-    seg = F.floor(F.col("ord") / SEGMENT)
-    named = F.nullif(F.col("section"), F.lit(""))
-    filled = running(kept, ["source_id"], ["ord"], seg, [
-        Running("section_before", "last", named),
-        Running("section_name", "last", named, inclusive=True),
-    ])
-    changed = F.col("section_name").isNotNull() & ~F.col("section_name").eqNullSafe(F.col("section_before"))
-    numbered = running(filled.withColumn("__new", changed.cast("long")), ["source_id"], ["ord"], seg,
-                       [Running("section_no", "sum", F.col("__new"), inclusive=True)])
-    return numbered.withColumn("section_title", F.coalesce("section_name", F.lit(""))) \
-        .drop("__new", "section_before", "section_name")
+    """Mark runs of equal section names.  A missing name continues the current
+    run; text before the first name belongs to an untitled run."""
+    out = runs(kept, ["source_id"], ["ord"], F.floor(F.col("ord") / SEGMENT),
+               F.nullif(F.col("section"), F.lit("")), lambda before, name: before != name)
+    return out.withColumn("section_title", F.coalesce("run_value", F.lit(""))).drop("run_value")
 
 
 def section_records(kept: DataFrame, text: str = "clean_text") -> DataFrame:
     """One record per section run: texts joined by a blank line, in order."""
     piece = F.struct("ord", F.col(text).alias("t"))
-    grouped = section_groups(kept).groupBy("source_id", "section_no").agg(
+    grouped = section_groups(kept).groupBy("source_id", "run_start").agg(
+        F.min("ord").alias("section_start"),
         F.max("section_title").alias("section_title"),
         F.array_sort(F.collect_list(piece)).alias("pieces"),
     )
     records = grouped.select(
-        "source_id", "section_no",
-        stable_id("kb", "source_id", "section_no").alias("record_id"),
+        "source_id", "section_start",
+        stable_id("kb", "source_id", "section_start").alias("record_id"),
         F.coalesce(F.nullif("section_title", F.lit("")), F.col("source_id").cast("string")).alias("title"),
         F.array_join(F.transform("pieces", lambda p: p["t"]), "\n\n").alias("content"),
         F.transform("pieces", lambda p: p["ord"]).alias("element_ords"),

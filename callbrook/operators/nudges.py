@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
-from callbrook.operators.carry import Running, previous, running
+from callbrook.operators.carry import runs
 
 
 @dataclass(frozen=True)
@@ -52,12 +52,11 @@ def decide(policy: NudgePolicy, state: dict, signal_type: str, rule: str, confid
 
 
 def signal_islands(signals: DataFrame, reach: float, segment_seconds: float = 3600.0) -> DataFrame:
-    keys, order = ["session_id", "signal_type"], ["timestamp", "is_final", "chunk_sequence", "rule_order"]
-    seg = F.floor(F.col("timestamp") / segment_seconds)
-    lagged = previous(signals, keys, order, seg, "__prev", F.col("timestamp"))
-    starts = F.when(F.col("__prev").isNull() | (F.col("timestamp") - F.col("__prev") >= reach), 1).otherwise(0)
-    return running(lagged.withColumn("__start", starts), keys, order, seg,
-                   [Running("island", "sum", F.col("__start"), inclusive=True)]).drop("__prev", "__start")
+    """Add ``island``: the key of the signal that follows a gap of ``reach``."""
+    order = ["timestamp", "is_final", "chunk_sequence", "rule_order"]
+    return runs(signals, ["session_id", "signal_type"], order, F.floor(F.col("timestamp") / segment_seconds),
+                F.col("timestamp"), lambda before, now: now - before >= reach) \
+        .withColumnRenamed("run_start", "island").drop("run_value")
 
 
 def nudge_decisions(signals: DataFrame, policy: NudgePolicy = NudgePolicy(), segment_seconds: float = 3600.0) -> DataFrame:
@@ -67,9 +66,10 @@ def nudge_decisions(signals: DataFrame, policy: NudgePolicy = NudgePolicy(), seg
     state of one island at a time, however many signals it has.
     """
     keyed = signal_islands(signals, policy.reach, segment_seconds) \
-        .withColumn("__rule", F.coalesce("rule_name", "signal_type"))
-    spread = keyed.repartition("session_id", "signal_type", "island") \
-        .sortWithinPartitions("session_id", "signal_type", "island", "timestamp", "is_final", "chunk_sequence", "rule_order")
+        .withColumn("__rule", F.coalesce("rule_name", "signal_type")) \
+        .withColumn("island", F.xxhash64("session_id", "signal_type", "island"))
+    spread = keyed.repartition("island") \
+        .sortWithinPartitions("island", "session_id", "signal_type", "timestamp", "is_final", "chunk_sequence", "rule_order")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, {}

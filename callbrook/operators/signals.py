@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
 from callbrook.functions.text import contains_any, first_match, strip, words
-from callbrook.operators.carry import Running, running
 
 SEGMENT_SECONDS = 3600.0
 ORDER = ["timestamp", "is_final", "chunk_sequence"]
@@ -65,21 +64,34 @@ def rule_hits(text: Column, speaker: Column, disclosed: Column, rules: Sequence
 
 
 def event_context(events: DataFrame, context_turns: int = v.CONTEXT_TURNS) -> DataFrame:
-    """Add ``disclosed`` (within the last final turns) and ``last_topic``."""
+    """Add ``disclosed`` (within the last final turns) and ``last_topic``.
+
+    One segmented pass (see ``carry``): counts, topic and the final-turn number
+    of the last disclosure run inside (session, segment); segment summaries
+    bring what happened before.
+    """
+    inside = Window.partitionBy("session_id", "__seg").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     final = F.col("is_final")
-    seg = F.floor(F.col("timestamp") / SEGMENT_SECONDS)
-    base = events.withColumn("topic", F.when(final, topic_of("text"))) \
-        .withColumn("__says", final & F.col("text").rlike("(?iuU)" + v.DISCLOSURE_PATTERN))
-    counted = running(base, ["session_id"], ORDER, seg, [
-        Running("finals_before", "sum", final.cast("long")),
-        Running("topic_before", "last", F.col("topic")),
-    ])
-    told = running(counted, ["session_id"], ORDER, seg, [
-        Running("told_at", "max", F.when(F.col("__says"), F.col("finals_before") + 1))])
-    return told.withColumn("disclosed", F.coalesce(
-        F.col("told_at") > F.col("finals_before") - context_turns, F.lit(False))) \
-        .withColumn("last_topic", F.coalesce("topic_before", F.lit(v.FIRST_TOPIC))) \
-        .drop("__says", "told_at", "topic_before")
+    local = events.withColumn("topic", F.when(final, topic_of("text"))) \
+        .withColumn("__seg", F.floor(F.col("timestamp") / SEGMENT_SECONDS)) \
+        .withColumn("__n", F.coalesce(F.sum(final.cast("long")).over(inside), F.lit(0))) \
+        .withColumn("__told", F.when(final & F.col("text").rlike("(?iuU)" + v.DISCLOSURE_PATTERN), F.col("__n") + 1))
+    rows = local.withColumn("__topic", F.last("topic", ignorenulls=True).over(inside)) \
+        .withColumn("__told_before", F.max("__told").over(inside))
+
+    summary = local.groupBy("session_id", "__seg").agg(
+        F.sum(final.cast("long")).alias("__s_n"), F.max("__told").alias("__s_told"),
+        F.max_by("topic", F.when(F.col("topic").isNotNull(), F.struct(*ORDER))).alias("__s_topic"))
+    earlier = Window.partitionBy("session_id").orderBy("__seg").rowsBetween(Window.unboundedPreceding, -1)
+    handed = summary.withColumn("__c_n", F.coalesce(F.sum("__s_n").over(earlier), F.lit(0))) \
+        .withColumn("__c_topic", F.last("__s_topic", ignorenulls=True).over(earlier)) \
+        .withColumn("__c_told", F.max(F.col("__c_n") + F.col("__s_told")).over(earlier)) \
+        .select("session_id", "__seg", "__c_n", "__c_topic", "__c_told")
+    told_at = F.greatest(F.col("__c_told"), F.col("__c_n") + F.col("__told_before"))
+    return rows.join(handed, ["session_id", "__seg"]).select(
+        *[F.col(c) for c in events.columns], "topic",
+        F.coalesce(told_at > F.col("__c_n") + F.col("__n") - context_turns, F.lit(False)).alias("disclosed"),
+        F.coalesce("__topic", "__c_topic", F.lit(v.FIRST_TOPIC)).alias("last_topic"))
 
 
 def detect_signals(events: DataFrame, rules: Sequence = v.SIGNAL_RULES, context_turns: int = v.CONTEXT_TURNS) -> DataFrame:

@@ -73,7 +73,7 @@ marked AS (SELECT *, CASE WHEN name IS NOT NULL AND name IS DISTINCT FROM lag(na
     THEN 1 ELSE 0 END AS is_new FROM ffill),
 grouped AS (SELECT *, sum(is_new) OVER (PARTITION BY source_id ORDER BY ord) AS section_no FROM marked),
 sections AS (
-  SELECT source_id, section_no, coalesce(max(name), CAST(source_id AS VARCHAR)) AS title,
+  SELECT source_id, min(ord) AS section_start, coalesce(max(name), CAST(source_id AS VARCHAR)) AS title,
     string_agg(clean_text, chr(10) || chr(10) ORDER BY ord) AS content, count(*) AS n_elements
   FROM grouped GROUP BY source_id, section_no)"""
 
@@ -126,7 +126,7 @@ def clean_elements(spark, sf):
 def section_records(spark, sf):
     kept = g.clean_elements(line_elements(spark, sf)).filter("removal_reason IS NULL")
     return g.section_records(kept).select(
-        "source_id", F.col("section_no").cast("long").alias("section_no"), "title", "content",
+        "source_id", "section_start", "title", "content",
         F.size("element_ords").cast("long").alias("n_elements"))
 
 
@@ -143,14 +143,14 @@ def _record_quality(spark, sf):
     counts = q.pii_type_counts("content")
     r = r.withColumn("pii_count", counts["email"]) \
         .withColumn("content", q.mask_emails("content")) \
-        .withColumn("seq", F.struct("source_id", "section_no"))
+        .withColumn("seq", F.struct("source_id", "section_start"))
     r = r.withColumn("flags", q.validation_flags("title", "source_id", "content"))
     return r
 
 
 def ingest_report(spark, sf):
     flagged = g.clean_elements(line_elements(spark, sf))
-    r = _record_quality(spark, sf).withColumn("seq", F.col("source_id") * 1_000_000 + F.col("section_no"))
+    r = _record_quality(spark, sf).withColumn("seq", F.col("source_id") * 1_000_000 + F.col("section_start"))
     return g.processing_report(flagged, g.exact_duplicate_chain(r))
 
 
@@ -310,7 +310,7 @@ masked AS (SELECT *, len(regexp_extract_all(c1, '{v.PII_EMAIL}')) AS pii_count,
 checked AS (SELECT *,
     (CASE WHEN length({sql_strip('c2')}) < 10 THEN 1 ELSE 0 END) + (CASE WHEN regexp_matches(c2, '-\\$[\\d,]+') THEN 1 ELSE 0 END)
     + len(list_filter(regexp_extract_all(c2, '(\\d+(?:\\.\\d+)?)\\s*%', 1), lambda p: CAST(p AS DOUBLE) > 1000)) AS n_flags,
-    row_number() OVER (PARTITION BY sha256({_FOLD.replace('(text,', '(c2,')}) ORDER BY source_id, section_no) AS copy FROM masked),
+    row_number() OVER (PARTITION BY sha256({_FOLD.replace('(text,', '(c2,')}) ORDER BY source_id, section_start) AS copy FROM masked),
 report AS (
   SELECT e.*, CAST(coalesce(records_created, 0) AS BIGINT) AS records_created, CAST(coalesce(pii, 0) AS BIGINT) AS pii_entities_found,
     CAST(coalesce(dups, 0) AS BIGINT) AS duplicates_found, CAST(coalesce(flags, 0) AS BIGINT) AS validation_flags
@@ -330,7 +330,7 @@ ORACLE = {
     "table_rendering": """SELECT o_custkey, 'o_orderkey | o_orderstatus | o_orderpriority' || chr(10) || repeat('-', 44) || chr(10) ||
       string_agg(o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority, chr(10) ORDER BY o_orderkey) AS text, count(*) AS n_rows FROM orders GROUP BY 1""",
     "clean_elements": _with(SQL_LINES, SQL_CLEAN) + " SELECT source_id, ord, element_type, removal_reason, clean_text FROM cleaned",
-    "section_records": _with(SQL_LINES, SQL_CLEAN, SQL_SECTIONS) + f" SELECT source_id, CAST(section_no AS BIGINT) AS section_no, title, content, n_elements FROM sections WHERE {sql_strip('content')} <> ''",
+    "section_records": _with(SQL_LINES, SQL_CLEAN, SQL_SECTIONS) + f" SELECT source_id, section_start, title, content, n_elements FROM sections WHERE {sql_strip('content')} <> ''",
     "extraction_diagnostics": _with(SQL_LINES, f"""
       page AS (SELECT source_id, page_number, lower({sql_strip("string_agg(text, ' ' ORDER BY ord)")}) AS body FROM elements GROUP BY ALL),
       pages2 AS (SELECT source_id, count(*) AS pages_detected, count(*) FILTER (length(body) > 20) - count(DISTINCT CASE WHEN length(body) > 20 THEN body END) AS repeated_pages FROM page GROUP BY 1),
