@@ -16,8 +16,9 @@ from callbrook.functions.text import contains_any, words
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-                      accuracy: int = 10_000) -> DataFrame:
-    """Exact linearly interpolated percentiles of groups of any size.
+                      accuracy: int = 10_000, exclusive: bool = False) -> DataFrame:
+    """Exact linearly interpolated percentiles of groups of any size
+    (``exclusive`` treats the data as a sample: ranks run over n + 1).
 
     A sketch brackets each wanted rank, values below the bracket are only
     counted, and just the bracket (about 4 / accuracy of the group, equal
@@ -39,7 +40,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     inside = near.filter(F.col(value) >= F.col("lo")).join(below, [*keys, "name"])
     w = Window.partitionBy(*keys, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     last = F.col("below") + F.sum("c").over(w) - 1  # zero-based rank of the value's last copy
-    k = (F.col("__n") - 1) * F.col("p")
+    last_rank = F.col("__n") - 1
+    k = F.greatest(F.lit(0.0), F.least(last_rank, (F.col("__n") + 1) * F.col("p") - 1)) if exclusive else last_rank * F.col("p")
     ranked = inside.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1) \
         .withColumn("f", F.floor(k)).withColumn("g", F.ceil(k)).withColumn("k", k)
 

@@ -363,12 +363,33 @@ def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, n: int,
     return top_ranked(scored, "rerank_score", n, "rank")
 
 
+def cited(ranked: DataFrame) -> DataFrame:
+    """Citation fields and the inline tag of every ranked chunk."""
+    line = F.substring_index(strip("content"), "\n", 1)
+    snippet = F.when(F.length(line) > 160, F.concat(F.substring(line, 1, 157), F.lit("..."))).otherwise(line)
+    name = F.coalesce(F.nullif("source_name", F.lit("")), F.nullif("title", F.lit("")), F.lit("Unknown Source"))
+    tag = F.concat(F.lit("["), F.concat_ws(
+        " | ",
+        F.concat(F.lit("Source: "), name),
+        F.concat(F.lit("Section: "), F.nullif("section", F.lit(""))),
+        F.when(F.col("source_page") > 0, F.concat(F.lit("p. "), F.col("source_page").cast("string"))),
+        F.concat(F.lit("v"), F.col("version")),
+        F.when(F.length("content_hash") > 0, F.concat(F.lit("hash:"), F.substring("content_hash", 1, 8))),
+    ), F.lit("]"))
+    return ranked.withColumn("snippet", snippet).withColumn("cite_name", name).withColumn("tag", tag)
+
+
+TOP_COLUMNS = ("chunk_id", "title", "content", "source_name", "tag", "second_tag")
+
+
 def confidence_gate(ranked: DataFrame, queries: DataFrame, threshold: float = v.GATE_THRESHOLD) -> DataFrame:
-    """One row per query: confidence, whether to answer, and why not."""
+    """One row per query: confidence, whether to answer, why not, and what the
+    answer needs of its two best chunks (``top_*``).  Reads ``ranked`` once."""
     w = Window.partitionBy("query_id").orderBy("rank")
     score = F.coalesce(F.nullif("rerank_score", F.lit(0.0)), F.col("combined_score"))
-    top = ranked.withColumn("top_score", score) \
-        .withColumn("second_score", F.coalesce(F.lead("top_score").over(w), F.lit(0.0))).filter("rank = 1")
+    top = cited(ranked).filter("rank <= 2").withColumn("top_score", score) \
+        .withColumn("second_score", F.coalesce(F.lead("top_score").over(w), F.lit(0.0))) \
+        .withColumn("second_tag", F.lead("tag").over(w)).filter("rank = 1")
 
     def found(c: str) -> Column:
         return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]{2,}"), F.lit(0))
@@ -379,7 +400,7 @@ def confidence_gate(ranked: DataFrame, queries: DataFrame, threshold: float = v.
     value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(
         v.GATE_TOP * F.col("top_score") + v.GATE_COVERAGE * coverage
         + v.GATE_MARGIN * F.least(F.lit(1.0), margin * 2.0), 4)))
-    gated = top.select("query_id", F.col("top_score"), value.alias("value"), F.col("chunk_id").alias("top_chunk_id"))
+    gated = top.select("query_id", "top_score", value.alias("value"), *[F.col(c).alias(f"top_{c}") for c in TOP_COLUMNS])
     out = queries.join(gated, "query_id", "left")
     weak = F.col("top_score") < v.GATE_WEAK
     reason = (
@@ -391,39 +412,19 @@ def confidence_gate(ranked: DataFrame, queries: DataFrame, threshold: float = v.
     confidence = F.when(F.col("top_score").isNull() | (F.col("query") == ""), 0.0) \
         .when(weak, F.round("top_score", 4)).otherwise(F.col("value"))
     return out.select("query_id", "query", confidence.alias("confidence"), reason.isNull().alias("grounded"),
-                      reason.alias("abstain_reason"), "top_chunk_id")
+                      reason.alias("abstain_reason"), *[f"top_{c}" for c in TOP_COLUMNS])
 
 
-def cited(ranked: DataFrame) -> DataFrame:
-    """Citation fields and the inline tag of every ranked chunk."""
-    line = F.substring_index(strip("content"), "\n", 1)
-    snippet = F.when(F.length(line) > 160, F.concat(F.substring(line, 1, 157), F.lit("..."))).otherwise(line)
-    name = F.coalesce(F.nullif("source_name", F.lit("")), F.nullif("title", F.lit("")), F.lit("Unknown Source"))
-    tag = F.concat(F.lit("["), F.concat_ws(
-        " | ",
-        F.concat(F.lit("Source: "), name),
-        F.concat(F.lit("Section: "), F.nullif("section", F.lit(""))),
-        F.when(F.col("source_page") > 0, F.concat(F.lit("p. "), F.col("source_page").cast("string"))),
-        F.concat(F.lit("v"), F.col("version")),
-        F.when(F.length("content_hash") > 0, F.concat(F.lit("hash:"), F.substring("content_hash", 1, 8))),
-    ), F.lit("]"))
-    return ranked.withColumn("snippet", snippet).withColumn("cite_name", name).withColumn("tag", tag)
-
-
-def answers(ranked: DataFrame, gate: DataFrame) -> DataFrame:
+def answers(gate: DataFrame) -> DataFrame:
     """Grounded text with its two best sources, or the abstention sentence."""
-    two = cited(ranked).filter("rank <= 2").groupBy("query_id").agg(
-        F.max(F.when(F.col("rank") == 1, strip("content"))).alias("body"),
-        F.array_sort(F.collect_list(F.struct("rank", "tag"))).alias("tags"),
-    )
-    lines = F.array_join(F.transform("tags", lambda t: F.concat(
-        F.lit("  ["), t["rank"].cast("string"), F.lit("] "), t["tag"])), "\n")
-    text = F.concat_ws("\n", F.col("body"), F.lit(""), F.lit("Sources:"), lines)
-    return gate.join(two, "query_id", "left").select(
+    text = F.concat_ws("\n", strip("top_content"), F.lit(""), F.lit("Sources:"),
+                       F.concat(F.lit("  [1] "), F.col("top_tag")), F.concat(F.lit("  [2] "), F.col("top_second_tag")))
+    cites = F.when(F.col("top_second_tag").isNotNull(), 2).otherwise(1)
+    return gate.select(
         "query_id", "query", "confidence", "grounded", "abstain_reason",
         F.when(F.col("grounded"), text).otherwise(F.lit(v.ABSTENTION)).alias("answer"),
-        F.when(F.col("grounded"), F.size("tags")).otherwise(0).cast("long").alias("cited_sources"),
-    )
+        F.when(F.col("grounded"), cites).otherwise(0).cast("long").alias("cited_sources"),
+        *[f"top_{c}" for c in TOP_COLUMNS])
 
 
 # --- whole search ------------------------------------------------------------
@@ -439,7 +440,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, top_k: int = 0, filters
     fused = fuse_rrf(dense, sparse) if fusion == "rrf" else fuse_weighted(dense, sparse, alpha)
     ranked = rerank(fused, chunks, queries, k)
     gate = confidence_gate(ranked, queries, threshold)
-    return cited(ranked), answers(ranked, gate)
+    return cited(ranked), answers(gate)
 
 
 # --- persisted index ---------------------------------------------------------

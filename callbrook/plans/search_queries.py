@@ -251,21 +251,24 @@ def rerank(spark, sf):
 
 def confidence_gate(spark, sf):
     ranked, q = _ranked(spark, sf)
-    return s.confidence_gate(ranked, q).drop("query")
+    return s.confidence_gate(ranked, q).select("query_id", "confidence", "grounded", "abstain_reason", "top_chunk_id")
 
 
 def citations(spark, sf):
     return s.cited(_ranked(spark, sf)[0]).select("query_id", "rank", "chunk_id", "cite_name", "snippet", "tag")
 
 
+ANSWER = ("query_id", "query", "confidence", "grounded", "abstain_reason", "answer", "cited_sources")
+
+
 def hybrid_answers(spark, sf):
     c, q = _inputs(spark, sf)
-    return s.hybrid_search(c, q)[1]
+    return s.hybrid_search(c, q)[1].select(*ANSWER)
 
 
 def hybrid_filtered(spark, sf):
     c, q = _inputs(spark, sf)
-    return s.hybrid_search(c, q, filters=_FILTER)[1].drop("query")
+    return s.hybrid_search(c, q, filters=_FILTER)[1].select(*ANSWER).drop("query")
 
 
 def vector_topk(spark, sf):
