@@ -109,9 +109,9 @@ def tokens(c: Column | str) -> Column:
 
 
 def without(c: Column, stopwords: Sequence[str]) -> Column:
-    """Drop stopwords and keep repeats (``array_except`` would lose them)."""
-    stop = string_array(stopwords)
-    return F.filter(c, lambda w: ~F.array_contains(stop, w))
+    """Drop stopwords and keep repeats (``array_except`` would lose them).  The
+    literal list becomes one hash set in the plan."""
+    return F.filter(c, lambda w: ~w.isin(*stopwords))
 
 
 def first_match(c: Column | str, patterns: Sequence[str], flags: str = "(?iuU)") -> Column:

@@ -9,14 +9,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
-from callbrook.functions.text import col, string_array, strip
+from callbrook.functions.text import col, strip
 
 TOKEN = r"(?U)\b[\w\-]+\b"
 
 
 def _count(tokens: Column, words: Sequence[str]) -> Column:
-    wanted = string_array(words)
-    return F.size(F.filter(tokens, lambda t: F.array_contains(wanted, t)))
+    return F.size(F.filter(tokens, lambda t: t.isin(*words)))
 
 
 def _result(language, confidence, register, switched, details) -> Column:

@@ -312,11 +312,10 @@ def query_features(queries: DataFrame) -> DataFrame:
     q = F.lower("query")
     all_words = tokens(q)
     useful = F.filter(without(all_words, v.STOPWORDS), lambda w: F.length(w) > 1)
-    stop = string_array(v.STOPWORDS)
     n = F.greatest(F.size(all_words) - 1, F.lit(0))
     pairs = F.zip_with(F.slice(all_words, 1, n), F.slice(all_words, 2, n),
                        lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    open_pairs = F.filter(pairs, lambda p: ~(F.array_contains(stop, p["a"]) & F.array_contains(stop, p["b"])))
+    open_pairs = F.filter(pairs, lambda p: ~(p["a"].isin(*v.STOPWORDS) & p["b"].isin(*v.STOPWORDS)))
     gate_words = F.array_distinct(F.regexp_extract_all(q, F.lit("[a-z0-9_]{2,}"), F.lit(0)))
     gate_useful = F.array_except(gate_words, string_array(v.GATE_STOPWORDS))
     return queries.select(

@@ -314,7 +314,7 @@ def index_upsert(spark, sf):
     c = document_chunks(spark, sf).select("chunk_id", "title", "version").withColumn("batch", F.lit(1))
     lab = read(spark, sf, "labels").select("doc_id", "quality")
     again = c.join(lab, c.chunk_id == lab.doc_id).select(
-        "chunk_id", F.upper("title").alias("title"), F.concat(F.lit("2."), F.col("quality").cast("string")).alias("version"),
+        "chunk_id", F.concat(F.lit("again: "), "title").alias("title"), F.concat(F.lit("2."), F.col("quality").cast("string")).alias("version"),
         F.lit(2).alias("batch"))
     return s.latest_chunks(c.unionByName(again), "batch").select("chunk_id", "title", "version", F.col("batch").cast("long").alias("batch"))
 
@@ -373,7 +373,7 @@ ORACLE = {
     "kb_stats": _with(SQL_CHUNKS) + """ SELECT count(*) AS total_chunks, count(DISTINCT nullif(source_id, '')) AS total_sources,
       string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT product, ',' ORDER BY product) AS products FROM chunks""",
     "paginate": _with(SQL_CHUNKS) + " SELECT chunk_id, title, language FROM chunks ORDER BY chunk_id LIMIT 20 OFFSET 40",
-    "index_upsert": _with(SQL_CHUNKS) + """ SELECT chunk_id, CASE WHEN quality IS NULL THEN title ELSE upper(title) END AS title,
+    "index_upsert": _with(SQL_CHUNKS) + """ SELECT chunk_id, CASE WHEN quality IS NULL THEN title ELSE 'again: ' || title END AS title,
       CASE WHEN quality IS NULL THEN version ELSE '2.' || quality END AS version, CASE WHEN quality IS NULL THEN 1 ELSE 2 END::BIGINT AS batch
       FROM chunks LEFT JOIN labels ON chunk_id = doc_id""",
 }

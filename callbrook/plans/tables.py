@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 from callbrook.functions.text import record_hash
 
 
+# text tables whose rows cost much more to process than to read
+_HEAVY = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, _HEAVY[name]) if name in _HEAVY else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a table stored in few splits.  A table that already has
+    a split per core, as any large one does, is left alone: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def sql_list(values) -> str:
