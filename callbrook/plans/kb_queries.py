@@ -9,6 +9,7 @@ from callbrook.functions import quality as q
 from callbrook.functions.text import content_hash, record_hash, strip
 from callbrook.operators import conflicts as cf
 from callbrook.operators import ingest as g
+from callbrook.operators.neardup import duplicate_of, near_contents
 from callbrook.plans.tables import read, sql_list, sql_str, sql_strip
 from callbrook.sources import files
 from callbrook.sources.html import html_elements
@@ -267,6 +268,20 @@ def exact_dups_chain(spark, sf):
     return g.exact_duplicate_chain(d).filter("exact_of IS NOT NULL").select("record_id", "exact_of", "canonical_id")
 
 
+def _dedup_records(spark, sf):
+    return read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("seq"),
+                                               F.col("text").alias("content"))
+
+
+def near_dups(spark, sf):
+    return near_contents(_dedup_records(spark, sf)).select("new_id", "earlier_id", "similarity")
+
+
+def duplicate_targets(spark, sf):
+    r = _dedup_records(spark, sf)
+    return duplicate_of(r, near_contents(r))
+
+
 # --- pages -------------------------------------------------------------------
 
 
@@ -286,7 +301,7 @@ QUERIES = {f.__name__: f for f in (
     source_types, source_registration, duplicate_sources, latest_source_by_hash, text_elements, table_rendering,
     clean_elements, section_records, extraction_diagnostics, ingest_report, ingest_totals, terminology_normalize,
     pii_email_mask, pii_type_counts, pii_spans, validate_records, amount_sets, conflicts, conflict_values,
-    content_hashes, exact_dups_chain, html_page_elements, html_headings,
+    content_hashes, exact_dups_chain, near_dups, duplicate_targets, html_page_elements, html_headings,
 )}
 
 _KINDS = "CASE " + " ".join(f"WHEN ext = '{e}' THEN '{t}'" for e, t in v.SOURCE_TYPE_BY_EXTENSION.items()) + " ELSE 'unknown' END"

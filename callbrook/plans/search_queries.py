@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
+from callbrook.functions.text import strip, words
 from callbrook.functions.vectors import dot, feature_rows
 from callbrook.operators import search as s
 from callbrook.operators.carry import broadcast_if_small
+from callbrook.operators.chunking import chunk_records
 from callbrook.plans.tables import (
-    SQL_CHUNKS, SQL_QUERIES, benchmark_queries, document_chunks, read, sql_list, sql_str, sql_strip,
+    SQL_CHUNKS, SQL_QUERIES, benchmark_queries, document_chunks, document_records, read, sql_list, sql_str, sql_strip, sql_words,
 )
 
 K = v.TOP_K
@@ -319,13 +321,40 @@ def index_upsert(spark, sf):
     return s.latest_chunks(c.unionByName(again), "batch").select("chunk_id", "title", "version", F.col("batch").cast("long").alias("batch"))
 
 
+def chunks(spark, sf):
+    """Section-aware chunks of every document."""
+    return chunk_records(document_records(spark, sf)).select(
+        "record_id", "chunk_index", "total_chunks", "section", "content", "char_count", "token_count")
+
+
+def chunk_totals(spark, sf):
+    """What chunking may not change: per document, the words in order.  (Table
+    chunks repeat their header rows, so table documents only count chunks.)"""
+    piped = F.size(F.filter(F.split("content", "\n"), lambda x: x.contains("|"))) >= 3
+    r = document_records(spark, sf).withColumn("is_table", piped & (F.length(strip("content")) > v.CHUNK_SIZE))
+    c = chunk_records(r)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), " ")
+    per = c.groupBy("record_id", "is_table").agg(text.alias("text"), F.max("total_chunks").alias("n"), F.count("*").alias("rows"))
+    return per.select("record_id", "is_table", F.when(~F.col("is_table"), F.md5(F.array_join(words("text"), " ").cast("binary"))).alias("words_md5"),
+                      (F.col("n") == F.col("rows")).alias("complete"))
+
+
+def chunk_search(spark, sf):
+    """Flagship: documents cut into chunks, indexed and searched."""
+    return s.hybrid_search(chunk_records(document_records(spark, sf)), benchmark_queries(spark, sf))[1].select(*ANSWER)
+
+
 QUERIES = {f.__name__: f for f in (
     tokenize, corpus_stats, document_frequency, bm25_topk, bm25_filtered, bm25_after_removal, hash_embed_slots,
     hash_embed_topk, rrf_fusion, weighted_fusion, rerank, confidence_gate, citations, hybrid_answers,
     hybrid_filtered, vector_topk, metadata_filter, kb_stats, paginate, index_upsert,
+    chunks, chunk_totals, chunk_search,
 )}
 
 ORACLE = {
+    "chunk_totals": f"""SELECT record_id, is_table, CASE WHEN NOT is_table THEN md5(array_to_string({sql_words('text')}, ' ')) END AS words_md5, true AS complete
+      FROM (SELECT 'doc_' || doc_id AS record_id, text, len(list_filter(string_split(text, chr(10)), lambda x: contains(x, '|'))) >= 3
+        AND length({sql_strip('text')}) > {v.CHUNK_SIZE} AS is_table FROM documents)""",
     "tokenize": _with(SQL_CHUNKS, SQL_TOKENS) + " SELECT chunk_id, array_to_string(terms, ' ') AS terms, CAST(len(terms) AS BIGINT) AS doc_len FROM toks",
     "corpus_stats": _with(SQL_CHUNKS, SQL_TOKENS) + " SELECT n_docs, round(avg_len, 6) AS avg_len FROM stats",
     "document_frequency": _with(SQL_CHUNKS, SQL_TOKENS) + " SELECT term, df FROM dfs",

@@ -67,6 +67,13 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as finished records, ready to be chunked."""
+    c = document_chunks(spark, sf_dir)
+    return c.withColumn("record_id", F.concat(F.lit("doc_"), F.col("chunk_id").cast("string"))) \
+        .withColumn("subcategory", F.when(F.col("category") == "es", "PH").otherwise("ID")).drop("chunk_id", "metadata")
+
+
 SQL_CHUNKS = f"""
 chunks AS (
   SELECT doc_id AS chunk_id, split_part(text, '.', 1) AS title, lang AS section, text AS content,
