@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = r"[\s\u000B\u001C-\u001F\u0085\p{Z}]"
+# the same characters one by one, for trimming without a regular expression
+SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+               + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def col(c: Column | str) -> Column:
@@ -24,7 +27,7 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    return F.regexp_replace(col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(col(c), F.lit(SPACE_CHARS))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -35,12 +35,12 @@ def feature_rows(df: DataFrame, key: str, c: Column | str, dim: int = v.EMBED_DI
     numbers = F.transform(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)), lambda x: F.concat(F.lit("num_"), x))
     some = prepared.filter(n > 0)
     parts = [
-        some.select(key, F.explode("toks").alias("f"), F.lit(v.EMBED_UNIGRAM).alias("w")),
-        some.filter(n > 1).select(key, F.explode(pairs).alias("f"), F.lit(v.EMBED_BIGRAM).alias("w")),
-        some.select(key, F.explode(numbers).alias("f"), F.lit(v.EMBED_NUMBER).alias("w")),
+        some.select(key, F.explode_outer("toks").alias("f"), F.lit(v.EMBED_UNIGRAM).alias("w")),
+        some.filter(n > 1).select(key, F.explode_outer(pairs).alias("f"), F.lit(v.EMBED_BIGRAM).alias("w")),
+        some.select(key, F.explode_outer(numbers).alias("f"), F.lit(v.EMBED_NUMBER).alias("w")),
     ]
     every = parts[0].unionAll(parts[1]).unionAll(parts[2])
-    return every.select(key, slot(F.col("f"), dim).alias("slot"), "w") \
+    return every.filter("f IS NOT NULL").select(key, slot(F.col("f"), dim).alias("slot"), "w") \
         .groupBy(key, "slot").agg(F.sum("w").alias("weight"))
 
 

@@ -80,5 +80,5 @@ def conflicts_of(records: DataFrame, wanted: DataFrame, require_digit: bool = Fa
             F.lit("version").alias("field"), F.col("a.version").alias("value"),
             F.col("b.version").alias("other_value"), F.lit("low").alias("severity"))),
     ), lambda k: k.isNotNull())
-    return pairs.select(F.col("a.record_id").alias("record_id"), F.col("b.record_id").alias("other_id"), F.explode(kinds).alias("k")) \
+    return pairs.select(F.col("a.record_id").alias("record_id"), F.col("b.record_id").alias("other_id"), F.explode_outer(kinds).alias("k")).filter("k IS NOT NULL") \
         .select("record_id", "other_id", "k.*", F.lit("unresolved").alias("status"))

@@ -18,8 +18,8 @@ def text_elements(texts: DataFrame, source_id: str, text: str, separator: str =
     """Non-empty stripped paragraphs; one starting with ``#`` is a heading."""
     parts = F.filter(F.transform(F.split(F.col(text), _literal(separator)), strip), lambda p: p != "")
     return texts.select(
-        F.col(source_id).alias("source_id"), F.posexplode(parts).alias("ord", "text"),
-    ).select(
+        F.col(source_id).alias("source_id"), F.posexplode_outer(parts).alias("ord", "text"),
+    ).filter("ord IS NOT NULL").select(
         "source_id", F.col("ord").cast("long").alias("ord"), "text",
         F.when(F.col("text").startswith("#"), "heading").otherwise("paragraph").alias("element_type"),
     )

@@ -19,7 +19,6 @@ the edges of all their copies.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -32,7 +31,7 @@ from pyspark.sql import types as T
 from callbrook import fixed_values as v
 from callbrook.functions.text import fold_for_hash
 from callbrook.operators.carry import Running, running
-from callbrook.session import shared_dir
+from callbrook.session import written
 
 GRAM_SIZES = (16, 8, 5, 3, 2, 1)
 GOOD_SHARE = 0.2
@@ -118,14 +117,6 @@ def contents(records: DataFrame, seq: str = "seq") -> DataFrame:
         F.min_by("text", "seq").alias("text"), F.count("*").alias("copies"))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Materialise in the shared folder: read several times, computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def near_contents(records: DataFrame, threshold: float = v.NEAR_DUPLICATE_THRESHOLD, seq: str = "seq") -> DataFrame:
     """Directed edges (new_cid, earlier_cid, new_id, earlier_id, similarity)
     between contents, where some record of the first comes after one of the
@@ -136,7 +127,7 @@ def near_contents(records: DataFrame, threshold: float = v.NEAR_DUPLICATE_THRESH
     def planned(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([gram_plan(x, t) for x in texts], columns=["q", "need"])
 
-    docs = _written(contents(records, seq).withColumn("n", F.length("text")).withColumn("p", planned("text"))
+    docs = written(contents(records, seq).withColumn("n", F.length("text")).withColumn("p", planned("text"))
                     .select("cid", "last_seq", "first_id", "text", "n", "p.q", "p.need")
                     .withColumn("possible", F.col("need") <= F.col("n")), "contents")
     # at most six rows: which text lengths use which q
@@ -150,16 +141,16 @@ def near_contents(records: DataFrame, threshold: float = v.NEAR_DUPLICATE_THRESH
     def gram_list(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: np.concatenate([grams(x, q) for q in sizes(len(x))] or [np.empty(0, np.int64)]))
 
-    listed = docs.select("cid", F.explode(gram_list("text")).alias("gram"))
+    listed = docs.select("cid", F.explode_outer(gram_list("text")).alias("gram")).filter("gram IS NOT NULL")
     shared = listed.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    common = _written(listed.join(shared, "gram"), "grams")
+    common = written(listed.join(shared, "gram"), "grams")
 
     # the earlier side keeps the rarest grams of its own size
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def own_grams(texts: pd.Series, q: pd.Series) -> pd.Series:
         return pd.Series([grams(x, k) for x, k in zip(texts, q)])
 
-    own = docs.filter("possible").select("cid", "need", F.explode(own_grams("text", "q")).alias("gram")).join(common, ["cid", "gram"])
+    own = docs.filter("possible").select("cid", "need", F.explode_outer(own_grams("text", "q")).alias("gram")).filter("gram IS NOT NULL").join(common, ["cid", "gram"])
     rarest = Window.partitionBy("cid").orderBy("df", "gram")
     size = Window.partitionBy("cid")
     prefix = own.withColumn("rn", F.row_number().over(rarest)).withColumn("total", F.count("*").over(size)) \

@@ -48,7 +48,9 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 def postings(chunks: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     """(chunk_id, doc_len, term, tf).  With ``only_terms`` the term filter runs
     right after the explode, so only wanted terms are counted and shuffled."""
-    exploded = index_tokens(chunks).select("chunk_id", "doc_len", F.explode("terms").alias("term"))
+    # the outer form: a plain explode makes the optimizer test size(terms) > 0
+    # below it, which tokenises every text a second time
+    exploded = index_tokens(chunks).select("chunk_id", "doc_len", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
     if only_terms is not None:
         exploded = exploded.join(only_terms, "term", "left_semi")
     return exploded.groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf"))
@@ -61,7 +63,7 @@ def document_frequency(posts: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, occurrences): a repeated query term counts each time."""
     terms = without(tokens("query"), v.STOPWORDS)
-    return queries.select("query_id", F.explode(terms).alias("term")) \
+    return queries.select("query_id", F.explode_outer(terms).alias("term")).filter("term IS NOT NULL") \
         .groupBy("query_id", "term").agg(F.count("*").alias("occurrences"))
 
 

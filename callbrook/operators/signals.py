@@ -106,7 +106,7 @@ def detect_signals(events: DataFrame, rules: Sequence = v.SIGNAL_RULES, context_
         F.concat(F.lit("Shifted from "), F.col("last_topic"), F.lit(" to "), F.col("topic")).alias("evidence"),
         F.lit("semantic").alias("source"), F.col("topic").alias("new_topic")))).otherwise(F.array())
     out = e.select("session_id", "chunk_sequence", "timestamp", "is_final", "speaker",
-                   F.explode(F.concat(hits, shift)).alias("s"))
+                   F.explode_outer(F.concat(hits, shift)).alias("s")).filter("s IS NOT NULL")
     return out.select("session_id", "chunk_sequence", "timestamp", "is_final", "speaker", "s.*") \
         .withColumn("signal_id", F.concat_ws("_", F.lit("sig"), F.coalesce("rule_name", F.lit("topic")),
                                              F.floor(F.col("timestamp") * 1000).cast("string")))

@@ -16,6 +16,7 @@ from callbrook.operators import calls as c
 from callbrook.operators import nudges as nd
 from callbrook.operators import signals as sg
 from callbrook.operators.carry import previous
+from callbrook.session import written
 from callbrook.plans.tables import read, sql_list, sql_str, sql_strip, sql_words
 
 PHRASES = (
@@ -182,7 +183,7 @@ def rule_signals(spark, sf):
 
 
 def _decisions(spark, sf):
-    return nd.nudge_decisions(sg.detect_signals(_events(spark, sf)))
+    return nd.nudge_decisions(written(sg.detect_signals(_events(spark, sf)), "signals"))
 
 
 def nudges_greedy(spark, sf):
@@ -232,7 +233,7 @@ def latency_summary(spark, sf):
 
 def session_stats(spark, sf):
     e = sg.usable_events(_events(spark, sf))
-    s = sg.detect_signals(_events(spark, sf))
+    s = written(sg.detect_signals(_events(spark, sf)), "signals")
     return c.session_stats(e, s, nd.nudge_decisions(s))
 
 

@@ -11,6 +11,7 @@ from callbrook.operators import conflicts as cf
 from callbrook.operators import ingest as g
 from callbrook.operators.neardup import duplicate_of, near_contents
 from callbrook.plans.tables import read, sql_list, sql_str, sql_strip
+from callbrook.session import written
 from callbrook.sources import files
 from callbrook.sources.html import html_elements
 
@@ -137,22 +138,21 @@ def extraction_diagnostics(spark, sf):
         "repeated_pages", F.round("garbage_ratio", 6).alias("garbage_ratio"), "status")
 
 
-def _record_quality(spark, sf):
+def _record_quality(kept):
     """Finished records: terms normalised, e-mail masked, hashed, chained, flagged."""
-    kept = g.clean_elements(line_elements(spark, sf)).filter("removal_reason IS NULL")
     r = g.section_records(kept).withColumn("content", q.normalize_terms("content"))
-    counts = q.pii_type_counts("content")
-    r = r.withColumn("pii_count", counts["email"]) \
+    r = r.withColumn("pii_count", q.pii_type_counts("content")["email"]) \
         .withColumn("content", q.mask_emails("content")) \
-        .withColumn("seq", F.struct("source_id", "section_start"))
-    r = r.withColumn("flags", q.validation_flags("title", "source_id", "content"))
-    return r
+        .withColumn("seq", F.col("source_id") * 1_000_000 + F.col("section_start"))
+    return r.withColumn("flags", q.validation_flags("title", "source_id", "content"))
 
 
 def ingest_report(spark, sf):
-    flagged = g.clean_elements(line_elements(spark, sf))
-    r = _record_quality(spark, sf).withColumn("seq", F.col("source_id") * 1_000_000 + F.col("section_start"))
-    return g.processing_report(flagged, g.exact_duplicate_chain(r))
+    """The elements and records tables of an ingest are written, as later jobs
+    need them anyway, and the report is read off them."""
+    elements = written(g.clean_elements(line_elements(spark, sf)), "elements")
+    records = written(_record_quality(elements.filter("removal_reason IS NULL")), "records")
+    return g.processing_report(elements, g.exact_duplicate_chain(records))
 
 
 def ingest_totals(spark, sf):

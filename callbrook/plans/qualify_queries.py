@@ -298,7 +298,7 @@ def wer(spark, sf):
 
 def _misheard(spark, sf):
     t = turns(spark, sf).select("session_id", "chunk_sequence", F.posexplode(F.split("text", r"[.,\n]")).alias("sentence", "reference"))
-    h = F.regexp_replace(F.regexp_replace("reference", r"\b(the|de|la|le) ", ""), "tion", "shun")
+    h = F.regexp_replace(F.regexp_replace("reference", " (the|de|la|le) ", " "), "tion", "shun")
     return t.withColumn("hypothesis", F.when(F.col("session_id") % 10 != 9, h)).withColumn("sentence", F.col("sentence").cast("long")) \
         .withColumn("market", F.when(F.col("session_id") % 2 == 0, "PH").otherwise("ID"))
 
@@ -309,7 +309,7 @@ def wer_summary(spark, sf):
 
 SQL_MISHEARD = f"""
 sent AS (SELECT session_id, chunk_sequence, unnest(range(0, len(p))) AS sentence, unnest(p) AS reference FROM (SELECT *, regexp_split_to_array(text, '[.,\n]') AS p FROM turns)),
-pairs AS (SELECT *, CASE WHEN session_id % 10 <> 9 THEN regexp_replace(regexp_replace(reference, '\\b(the|de|la|le) ', '', 'g'), 'tion', 'shun', 'g') END AS hypothesis,
+pairs AS (SELECT *, CASE WHEN session_id % 10 <> 9 THEN regexp_replace(regexp_replace(reference, ' (the|de|la|le) ', ' ', 'g'), 'tion', 'shun', 'g') END AS hypothesis,
     CASE WHEN session_id % 2 = 0 THEN 'PH' ELSE 'ID' END AS market FROM sent),
 wd AS (SELECT *, {sql_words('lower(reference)')} AS r, {sql_words('lower(hypothesis)')} AS h FROM pairs),
 cd AS (SELECT *, array_to_string(list_transform(r, lambda w: chr(CAST(list_position(list_distinct(list_concat(r, h)), w) AS INTEGER))), '') AS rc,

@@ -10,6 +10,7 @@ from callbrook.functions.vectors import dot, feature_rows
 from callbrook.operators import search as s
 from callbrook.operators.carry import broadcast_if_small
 from callbrook.operators.chunking import chunk_records
+from callbrook.session import written
 from callbrook.plans.tables import (
     SQL_CHUNKS, SQL_QUERIES, benchmark_queries, document_chunks, document_records, read, sql_list, sql_str, sql_strip, sql_words,
 )
@@ -340,8 +341,9 @@ def chunk_totals(spark, sf):
 
 
 def chunk_search(spark, sf):
-    """Flagship: documents cut into chunks, indexed and searched."""
-    return s.hybrid_search(chunk_records(document_records(spark, sf)), benchmark_queries(spark, sf))[1].select(*ANSWER)
+    """Documents cut into chunks, the chunk table written, and searched."""
+    c = written(chunk_records(document_records(spark, sf)), "chunks")
+    return s.hybrid_search(c, benchmark_queries(spark, sf))[1].select(*ANSWER)
 
 
 QUERIES = {f.__name__: f for f in (

@@ -143,7 +143,7 @@ def _parse(pages: pd.Series) -> pd.Series:
 def html_elements(pages: DataFrame, source_id: str = "page_id", html: str = "html") -> DataFrame:
     """Elements of each page.  Parsing is row-local: no shuffle."""
     parsed = pages.select(F.col(source_id).alias("source_id"),
-                          F.posexplode(_parse(F.col(html))).alias("ord", "e"))
+                          F.posexplode_outer(_parse(F.col(html))).alias("ord", "e")).filter("ord IS NOT NULL")
     text: Column = F.when(F.col("e.kind") == "table", table_text(F.col("e.columns"), F.col("e.rows"))) \
         .otherwise(F.col("e.text"))
     return parsed.select(
