@@ -21,6 +21,10 @@ def alias_pairs(terminology=v.KB_TERMINOLOGY) -> list[tuple[str, str]]:
     return sorted(last.items(), key=lambda kv: -len(kv[0]))
 
 
+def _replaced_by(form: str):
+    return lambda hit: F.struct(hit.alias("original"), F.lit(form).alias("normalized"))
+
+
 def names_alias(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
     """Cheap test whether any alias may occur: substring search on the lowered
     text, and anything holding a letter that only case-folds to ASCII."""
@@ -43,8 +47,7 @@ def term_replacements(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
     for alias, form in alias_pairs(terminology):
         pattern = "(?iu)" + re.escape(alias)
         hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(F.transform(hits, lambda h, form=form: F.struct(
-            h.alias("original"), F.lit(form).alias("normalized"))))
+        found.append(F.transform(hits, _replaced_by(form)))
         text = F.regexp_replace(text, pattern, form)
     none = F.array().cast("array<struct<original:string,normalized:string>>")
     return F.when(names_alias(c, terminology), F.flatten(F.array(*found))).otherwise(none)

@@ -28,30 +28,30 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     n = df.groupBy(*keys).agg(F.count(value).alias("__n"), F.percentile_approx(
         value, [x for p in probs.values() for x in (max(0.0, p - eps), min(1.0, p + eps))], accuracy).alias("__b"))
     wanted = F.explode(F.array(*[F.struct(
-        F.lit(name).alias("name"), F.lit(p).alias("p"),
-        (F.lit(float("-inf")) if p - eps <= 0 else F.get("__b", F.lit(2 * i))).alias("lo"),
-        (F.lit(float("inf")) if p + eps >= 1 else F.get("__b", F.lit(2 * i + 1))).alias("hi"))
+        F.lit(name).alias("__name"), F.lit(p).alias("__p"),
+        (F.lit(float("-inf")) if p - eps <= 0 else F.get("__b", F.lit(2 * i))).alias("__lo"),
+        (F.lit(float("inf")) if p + eps >= 1 else F.get("__b", F.lit(2 * i + 1))).alias("__hi"))
         for i, (name, p) in enumerate(probs.items())]))
     brackets = n.select(*keys, "__n", wanted.alias("w")).select(*keys, "__n", "w.*")
-    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    near = values.join(brackets, list(keys)).filter(F.col(value) <= F.col("hi"))
-    below = near.groupBy(*keys, "name").agg(
-        F.coalesce(F.sum(F.when(F.col(value) < F.col("lo"), F.col("c"))), F.lit(0)).alias("below"))
-    inside = near.filter(F.col(value) >= F.col("lo")).join(below, [*keys, "name"])
-    w = Window.partitionBy(*keys, "name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("below") + F.sum("c").over(w) - 1  # zero-based rank of the value's last copy
+    values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    near = values.join(brackets, list(keys)).filter(F.col(value) <= F.col("__hi"))
+    below = near.groupBy(*keys, "__name").agg(
+        F.coalesce(F.sum(F.when(F.col(value) < F.col("__lo"), F.col("__c"))), F.lit(0)).alias("__below"))
+    inside = near.filter(F.col(value) >= F.col("__lo")).join(below, [*keys, "__name"])
+    w = Window.partitionBy(*keys, "__name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.col("__below") + F.sum("__c").over(w) - 1  # zero-based rank of the value's last copy
     last_rank = F.col("__n") - 1
-    k = F.greatest(F.lit(0.0), F.least(last_rank, (F.col("__n") + 1) * F.col("p") - 1)) if exclusive else last_rank * F.col("p")
-    ranked = inside.withColumn("last", last).withColumn("first", F.col("last") - F.col("c") + 1) \
-        .withColumn("f", F.floor(k)).withColumn("g", F.ceil(k)).withColumn("k", k)
+    k = F.greatest(F.lit(0.0), F.least(last_rank, (F.col("__n") + 1) * F.col("__p") - 1)) if exclusive else last_rank * F.col("__p")
+    ranked = inside.withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__c") + 1) \
+        .withColumn("__f", F.floor(k)).withColumn("__g", F.ceil(k)).withColumn("__k", k)
 
     def at(rank: str) -> Column:
-        return F.max(F.when((F.col("first") <= F.col(rank)) & (F.col(rank) <= F.col("last")), F.col(value)))
+        return F.max(F.when((F.col("__first") <= F.col(rank)) & (F.col(rank) <= F.col("__last")), F.col(value)))
 
-    picked = ranked.groupBy(*keys, "name").agg(
-        at("f").alias("a"), at("g").alias("b"), F.max(F.col("k") - F.col("f")).alias("t"))
-    exact = picked.withColumn("x", F.col("a") * (1 - F.col("t")) + F.col("b") * F.col("t"))
-    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in probs])
+    picked = ranked.groupBy(*keys, "__name").agg(
+        at("__f").alias("__a"), at("__g").alias("__z"), F.max(F.col("__k") - F.col("__f")).alias("__t"))
+    exact = picked.withColumn("__x", F.col("__a") * (1 - F.col("__t")) + F.col("__z") * F.col("__t"))
+    return exact.groupBy(*keys).agg(*[F.max(F.when(F.col("__name") == name, F.col("__x"))).alias(name) for name in probs])
 
 
 def latency_segments(m: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def register_sources(files: DataFrame) -> DataFrame:
         F.col("path").alias("uri"),
         F.sha2(F.col("content"), 256).alias("content_hash"),
         F.concat(F.lit("native_"), kind).alias("extraction_method"),
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.decode("content", "UTF-8").alias("text"),
     )
 
 

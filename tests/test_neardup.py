@@ -66,7 +66,7 @@ def test_complete_on_documents(spark, sf):
     """Every document of the smallest table with its own edited copies."""
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     edited = d.select((F.col("doc_id") + 1000).alias("doc_id"), F.regexp_replace("text", "tion", "sion").alias("text"))
-    both = d.unionAll(edited).filter(F.length("text") < 1500)
+    both = d.unionAll(edited).filter(F.length("text") < 600)
     rows = sorted((r["doc_id"], r["text"]) for r in both.collect())
     want, _ = brute_force([x for _, x in rows], 0.9)
     df = spark.createDataFrame([(f"r{i}", i, x) for i, (_, x) in enumerate(rows)], "record_id string, seq long, content string")
