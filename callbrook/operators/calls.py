@@ -11,6 +11,7 @@ from callbrook import fixed_values as v
 from callbrook.functions.clock import epoch_micros
 from callbrook.functions.quality import sanitize_map
 from callbrook.functions.text import contains_any, words
+from callbrook.operators.carry import Running, running
 
 # --- percentiles and latency -------------------------------------------------
 
@@ -156,16 +157,20 @@ def call_event_log(events: DataFrame) -> DataFrame:
     return events.withColumn("payload", sanitize_map("payload"))
 
 
-def upsert_leads(updates: DataFrame, order: Sequence[str]) -> DataFrame:
+def upsert_leads(updates: DataFrame, order: Sequence[str], notes_text: bool = False) -> DataFrame:
     """One lead per call from its updates in order: last given value per field,
-    last status, non-empty notes joined by newlines."""
+    last status.  Every figure combines map-side.  Notes are counted here and
+    listed by ``lead_notes``; ``notes_text`` joins them into the lead instead,
+    for data where no call collects an unbounded number."""
     at = F.struct(*order)
 
     def last(c: str, given: Column | None = None) -> Column:
         known = F.col(c).isNotNull() if given is None else given
         return F.max_by(F.col(c), F.when(known, at))
 
-    note = F.when(F.coalesce("notes", F.lit("")) != "", F.struct(*order, "notes"))
+    noted = F.coalesce("notes", F.lit("")) != ""
+    listed = F.array_sort(F.collect_list(F.when(noted, F.struct(*order, "notes"))))
+    text = [F.array_join(F.transform(listed, lambda s: s["notes"]), "\n").alias("notes")] if notes_text else []
     fields = [c for c in ("years_in_business", "monthly_revenue", "requested_amount") if c in updates.columns]
     return updates.groupBy("call_id").agg(
         F.coalesce(last("business_type"), F.lit("")).alias("business_type"),
@@ -173,24 +178,38 @@ def upsert_leads(updates: DataFrame, order: Sequence[str]) -> DataFrame:
         F.max_by("qualification_status", at).alias("qualification_status"),
         last("recommended_product", F.coalesce("recommended_product", F.lit("")) != "").alias("recommended_product"),
         F.max_by("contact_permission", at).alias("contact_permission"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(note)), lambda s: s["notes"]), "\n").alias("notes"),
+        F.count_if(noted).alias("n_notes"),
+        *text,
         F.min("updated_at").alias("created_at"),
         F.max("updated_at").alias("updated_at"),
     )
 
 
+def lead_notes(updates: DataFrame, order: str, segment: int = 4096) -> DataFrame:
+    """Notes of every lead, numbered in order."""
+    noted = updates.filter("notes <> ''").select("call_id", order, "notes")
+    return running(noted, ["call_id"], [order], F.floor(F.col(order) / segment),
+                   [Running("note_no", "sum", F.lit(1), inclusive=True)])
+
+
 def call_summary(turns: DataFrame) -> DataFrame:
-    """One nested row per call: ordered transcript, last state and language,
-    flags and distinct terms."""
-    line = F.struct("turn", "role", "text")
-    return turns.groupBy("call_id").agg(
-        F.array_sort(F.collect_list(line)).alias("transcript"),
+    """One row per call: turns, last state and language, flags and distinct
+    terms.  The transcript itself stays a table (``call_transcript``)."""
+    terms = turns.select("call_id", F.explode_outer("terms").alias("term")).filter("term IS NOT NULL").distinct() \
+        .groupBy("call_id").agg(F.array_sort(F.collect_list("term")).alias("detected_terms"))
+    calls = turns.groupBy("call_id").agg(
         F.count("*").alias("turns"),
         F.max_by("state", "turn").alias("final_state"),
         F.max_by("language", "turn").alias("final_language"),
         F.bool_or("escalated").alias("escalated"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("terms")))).alias("detected_terms"),
     )
+    return calls.join(terms, "call_id", "left") \
+        .withColumn("detected_terms", F.coalesce("detected_terms", F.array().cast("array<string>")))
+
+
+def call_transcript(turns: DataFrame) -> DataFrame:
+    """Turns in reading order, range-partitioned so that a long call spreads."""
+    return turns.repartitionByRange("call_id", "turn").sortWithinPartitions("call_id", "turn")
 
 
 def fallback_turns(turns: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import numpy as np
@@ -232,21 +232,31 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, n: int, filters: Mapping[s
     elif filters:
         chunk_vectors = chunk_vectors.join(pool.select("chunk_id"), "chunk_id", "left_semi")
     asked = queries.filter("query <> ''")
+    return vector_topk(chunk_vectors, asked, lambda part: vectors(part, F.col("query"), "query_id"), n)
+
+
+def vector_topk(vectors_df: DataFrame, queries: DataFrame, embed: Callable[[DataFrame], DataFrame], n: int,
+                key: str = "chunk_id", vector: str = "vector") -> DataFrame:
+    """Top ``n`` of ``vectors_df`` for every query.
+
+    ``embed`` turns queries into (query_id, vector).  A block of query vectors
+    travels with the scoring task; more queries make more blocks.
+    """
+    total = queries.count()
+    blocks = -(-2 * total // QUERY_BLOCK) if total > QUERY_BLOCK else 1
     query_type = queries.schema["query_id"].dataType.simpleString()
-    total = asked.count()
-    blocks = max(1, -(-2 * total // QUERY_BLOCK)) if total > QUERY_BLOCK else 1
     out = None
     for block in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        table = vectors(part, F.col("query"), "query_id").toArrow()
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        table = embed(part).toArrow()
         if not table.num_rows:
             continue
         matrix = np.vstack(table.column("vector").to_pylist())
-        found = nearest(chunk_vectors, "chunk_id", "vector", table.column("query_id").to_pylist(), matrix, n, query_type)
+        found = nearest(vectors_df, key, vector, table.column("query_id").to_pylist(), matrix, n, query_type)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        key_type = chunks.schema["chunk_id"].dataType.simpleString()
-        return chunks.sparkSession.createDataFrame(
+        key_type = vectors_df.schema[key].dataType.simpleString()
+        return vectors_df.sparkSession.createDataFrame(
             [], f"query_id {query_type}, chunk_id {key_type}, dense_score double, dense_rank int")
     return out
 

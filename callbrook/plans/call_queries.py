@@ -305,8 +305,7 @@ def _call_turns(spark, sf):
 
 def call_summary(spark, sf):
     s = c.call_summary(_call_turns(spark, sf))
-    return s.select("call_id", F.array_join(F.transform("transcript", lambda x: x["role"]), ">").alias("roles"), "turns",
-                    "final_state", "final_language", "escalated", F.array_join("detected_terms", ",").alias("detected_terms"))
+    return s.select("call_id", "turns", "final_state", "final_language", "escalated", F.array_join("detected_terms", ",").alias("detected_terms"))
 
 
 def escalation_extract(spark, sf):
@@ -337,6 +336,10 @@ def lead_upsert(spark, sf):
     return c.upsert_leads(_lead_updates(spark, sf), ["seq"])
 
 
+def lead_notes(spark, sf):
+    return c.lead_notes(_lead_updates(spark, sf), "seq")
+
+
 def _attempts(spark, sf):
     e = read(spark, sf, "events")
     failed = F.col("event_type").isin("error", "view", "click") & (F.col("event_id") % 4 != 0)
@@ -373,7 +376,7 @@ def retryable_errors(spark, sf):
 QUERIES = {f.__name__: f for f in (
     transcript_events, topic_shift, disclosure_gap, rule_signals, nudges_greedy, nudges_of_events, expired_nudges,
     latency_summary, session_stats, tumbling_slices, audio_slices, transition_audit, final_states, event_log_sanitize,
-    event_log_map, last_user_query, rolling_context, call_summary, escalation_extract, fallback_extract, lead_upsert,
+    event_log_map, last_user_query, rolling_context, call_summary, escalation_extract, fallback_extract, lead_upsert, lead_notes,
     provider_health, fallback_outcome, retryable_errors,
 )}
 
@@ -429,7 +432,7 @@ ORACLE = {
     "event_log_map": _with(SQL_TURNS) + f" SELECT session_id, chunk_sequence, CAST(chunk_sequence AS VARCHAR) AS turn, {_SANITIZED} AS text FROM turns",
     "last_user_query": "SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role IN ('user', 'human')), arg_max(text, turn)) AS query FROM conversations GROUP BY 1",
     "rolling_context": """SELECT conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""",
-    "call_summary": _with(*_CALLS) + """ SELECT call_id, string_agg(role, '>' ORDER BY turn) AS roles, count(*) AS turns, arg_max(state, turn) AS final_state,
+    "call_summary": _with(*_CALLS) + """ SELECT call_id, count(*) AS turns, arg_max(state, turn) AS final_state,
       arg_max(language, turn) AS final_language, bool_or(escalated) AS escalated, array_to_string(list_sort(list_distinct(flatten(list(terms)))), ',') AS detected_terms FROM calls GROUP BY 1""",
     "escalation_extract": _with(*_CALLS) + " SELECT call_id, arg_min(text, turn) FILTER (role = 'user') AS first_utterance FROM calls GROUP BY 1 HAVING bool_or(escalated)",
     "fallback_extract": _with(*_CALLS) + """ SELECT call_id, turn, grounded, state FROM calls WHERE NOT grounded OR contains(lower(text), 'clarify') OR contains(lower(text), 'don''t have verified')""",
@@ -439,8 +442,10 @@ ORACLE = {
         arg_max((n % 9)::DOUBLE, n) FILTER (n % 4 = 0) AS years_in_business, arg_max(o_totalprice, n) FILTER (n % 2 = 0) AS monthly_revenue,
         arg_max(o_totalprice * 2, n) FILTER (n % 5 <> 0) AS requested_amount, arg_max(o_orderstatus, n) AS qualification_status,
         arg_max(prod, n) FILTER (prod <> '') AS recommended_product, arg_max(n % 7 <> 0, n) AS contact_permission,
-        coalesce(string_agg('note ' || n, chr(10) ORDER BY n) FILTER (n % 8 = 0), '') AS notes,
+        count(*) FILTER (n % 8 = 0) AS n_notes,
         CAST(epoch(min(o_orderdate)) AS BIGINT) AS created_at, CAST(epoch(max(o_orderdate)) AS BIGINT) AS updated_at FROM u GROUP BY 1""",
+    "lead_notes": """SELECT o_custkey AS call_id, o_orderkey AS seq, 'note ' || o_orderkey AS notes,
+      row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS note_no FROM orders WHERE o_orderkey % 8 = 0""",
     "provider_health": _with(SQL_ATTEMPTS, """
       f AS (SELECT *, NOT success AND (contains(lower(error), 'timed out') OR contains(lower(error), 'timeout') OR error_type = 'timeout') AS to_, event_id AS seq FROM attempts),
       last AS (SELECT provider, max(seq) FILTER (success) AS ls FROM f GROUP BY 1),

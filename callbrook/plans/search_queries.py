@@ -8,7 +8,6 @@ from callbrook import fixed_values as v
 from callbrook.functions.text import strip, words
 from callbrook.functions.vectors import dot, feature_rows
 from callbrook.operators import search as s
-from callbrook.operators.carry import broadcast_if_small
 from callbrook.operators.chunking import chunk_records
 from callbrook.session import written
 from callbrook.plans.tables import (
@@ -277,22 +276,19 @@ def hybrid_filtered(spark, sf):
 def vector_topk(spark, sf):
     """Nearest stored embeddings of every class's first vector."""
     e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
-    firsts = e.groupBy("label").agg(F.min_by("vector", "vec_id").alias("qv"))
-    few = broadcast_if_small(firsts.select(F.col("label").alias("query_id"), "qv"), 10_000)
-    return _nearest_by_expression(e, few)
-
-
-def _nearest_by_expression(e, few):
-    # every class centre meets every vector through its own label's list of centres
-    centres = few.agg(F.array_sort(F.collect_list(F.struct("query_id", "qv"))).alias("cs"))
-    scored = e.select(F.col("vec_id").alias("chunk_id"), "vector", F.explode(centres.scalar()).alias("c")) \
-        .select(F.col("c.query_id").cast("long").alias("query_id"), "chunk_id",
-                dot("vector", F.col("c.qv")).alias("dense_score"))
-    top = s.top_ranked(scored, "dense_score", 10, "dense_rank")
+    firsts = e.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min_by("vector", "vec_id").alias("vector"))
+    top = s.vector_topk(e, firsts, lambda part: part, 10, "vec_id")
     return top.select("query_id", "chunk_id", F.round("dense_score", 6).alias("dense_score"),
                       F.col("dense_rank").cast("long").alias("dense_rank"))
 
 
+def vector_cosine(spark, sf):
+    """Every stored embedding against its class's first one."""
+    e = read(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    firsts = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("first"))
+    return e.join(firsts, "label").select("vec_id", "label", F.round(dot("v", "first"), 6).alias("cosine"))
+
+
 def metadata_filter(spark, sf):
     return s.filter_chunks(document_chunks(spark, sf), _FILTER).select("chunk_id", "category", "source_name")
 
@@ -349,7 +345,7 @@ def chunk_search(spark, sf):
 QUERIES = {f.__name__: f for f in (
     tokenize, corpus_stats, document_frequency, bm25_topk, bm25_filtered, bm25_after_removal, hash_embed_slots,
     hash_embed_topk, rrf_fusion, weighted_fusion, rerank, confidence_gate, citations, hybrid_answers,
-    hybrid_filtered, vector_topk, metadata_filter, kb_stats, paginate, index_upsert,
+    hybrid_filtered, vector_topk, vector_cosine, metadata_filter, kb_stats, paginate, index_upsert,
     chunks, chunk_totals, chunk_search,
 )}
 
@@ -400,6 +396,10 @@ ORACLE = {
       SELECT query_id, chunk_id, round(s, 6) AS dense_score, dense_rank FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS dense_rank FROM sims)
       WHERE dense_rank <= 10""",
+    "vector_cosine": """
+      WITH firsts AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS f FROM embeddings GROUP BY label)
+      SELECT vec_id, label, round(greatest(-1.0, least(1.0, list_sum(list_transform(range(1, len(f) + 1), lambda i: f[i] * CAST(embedding[i] AS DOUBLE))))), 6) AS cosine
+      FROM embeddings JOIN firsts USING (label)""",
     "metadata_filter": _with(SQL_CHUNKS) + f" SELECT chunk_id, category, source_name FROM chunks WHERE {_SQL_FILTER}",
     "kb_stats": _with(SQL_CHUNKS) + """ SELECT count(*) AS total_chunks, count(DISTINCT nullif(source_id, '')) AS total_sources,
       string_agg(DISTINCT category, ',' ORDER BY category) AS categories, string_agg(DISTINCT product, ',' ORDER BY product) AS products FROM chunks""",
