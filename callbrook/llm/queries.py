@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbrook.llm import mixing, packing, urlfilter
+from callbrook.llm import licenses, mixing, packing, quality, urlfilter
 from callbrook.llm.common import LOWER, UPPER, documents
 from callbrook.plans import tables
 
@@ -14,6 +14,10 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op2_quality_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(documents(spark, sf_dir), columns=("doc_id",))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -23,15 +27,95 @@ def op6_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(documents(spark, sf_dir), with_ids=False)
 
 
+def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = tables.read(spark, sf_dir, "pages").select("page_id", "url")
     return urlfilter.filter_urls(pages, rules)[["page_id", "host", "path", "rule", "verdict"]]
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op6_pack_powers, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op2_quality_fences, op3_mix_sources, op6_pack_powers, op8_license_diagonals, op10_url_trie)}
+
+_M = quality.MEASURES
+_BUCKET = "greatest(length(bin({v})) - 6, 0)"
+
+
+def _quartile_sql(name: str, keys: str) -> str:
+    """Quartiles of the added sketches by ``keys``, as a common table expression."""
+    by = f"{keys}, measure" if keys else "measure"
+    return f"""{name} AS (SELECT {by}, max(total) AS n, min(low) FILTER (WHERE 4 * upto >= total) AS q1, min(low) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM (
+  SELECT {by}, low, sum(sum(c)) OVER (PARTITION BY {by} ORDER BY low) AS upto, sum(sum(c)) OVER (PARTITION BY {by}) AS total
+  FROM sketch GROUP BY {by}, low) GROUP BY {by})"""
+
+
+def _quality_sql(enough: int = 200, reach: int = 3) -> str:
+    values = ", ".join(f"CASE WHEN {d} > 0 THEN ({n}) // ({d}) ELSE 0 END AS {m}" for m, (n, d, *_) in _M.items())
+    tests = " AND ".join(
+        f"v.{m} <= max(f.q3 + greatest({reach} * (f.q3 - f.q1), {up})) FILTER (WHERE f.measure = '{m}')"
+        + (f" AND v.{m} >= max(f.q1 - greatest({reach} * (f.q3 - f.q1), {down})) FILTER (WHERE f.measure = '{m}')" if down is not None else "")
+        for m, (_, _, up, down) in _M.items())
+    return f"""
+WITH w AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+grams AS (SELECT doc_id, r.i AS i, r.g AS g FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 6), lambda i: struct_pack(i := i, g := words[i:i + 7]))) AS r FROM w)),
+twice AS (SELECT doc_id, g FROM grams GROUP BY ALL HAVING count(*) > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM grams JOIN twice USING (doc_id, g)) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, source, len(words) AS n_words, length(t) - length(regexp_replace(t, '[^\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM m),
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS x FROM v WHERE NOT base_failed" for m in _M)}),
+sketch AS (SELECT lang, source, measure, (x >> {_BUCKET.format(v="x")}) << {_BUCKET.format(v="x")} AS low, count(*) AS c FROM long GROUP BY ALL),
+{_quartile_sql("fine", "lang, source")}, {_quartile_sql("wide", "lang")}, {_quartile_sql("whole", "")},
+f AS (
+  SELECT fine.lang, fine.source, fine.measure,
+    CASE WHEN fine.n >= {enough} THEN fine.q1 WHEN wide.n >= {enough} THEN wide.q1 ELSE whole.q1 END AS q1,
+    CASE WHEN fine.n >= {enough} THEN fine.q3 WHEN wide.n >= {enough} THEN wide.q3 ELSE whole.q3 END AS q3
+  FROM fine JOIN wide ON fine.lang IS NOT DISTINCT FROM wide.lang AND fine.measure = wide.measure JOIN whole ON fine.measure = whole.measure)
+SELECT v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed,
+  NOT v.base_failed AND coalesce({tests}, false) AS kept
+FROM v LEFT JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source
+GROUP BY v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed, {", ".join("v." + m for m in _M)}"""
+
+
+def _license_sql() -> str:
+    phrases = ", ".join(f"('{p}', '{x}')" for p, x in licenses.PHRASES)
+    templates = ", ".join(f"({n}, '{x}', '{t}')" for n, (x, t) in enumerate(licenses.TEMPLATES))
+    k = licenses.GRAM
+    gram = " || ' ' || ".join(f"words[i + {j}]" for j in range(k))
+    return f"""
+WITH phrases(phrase, label) AS (VALUES {phrases}), texts(template, label, body) AS (VALUES {templates}),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+placed AS (SELECT doc_id, r.i AS i, r.g AS g FROM (
+  SELECT doc_id, unnest(list_transform(range(1, len(words) + 1), lambda i: struct_pack(i := i, g := words[i:i + 3]))) AS r FROM w)),
+base AS (SELECT doc_id, i - 1 AS place, label FROM placed JOIN phrases ON g[1] = split_part(phrase, ' ', 1)
+         WHERE array_to_string(g[1:len(string_split(phrase, ' '))], ' ') = phrase),
+based AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM base GROUP BY doc_id),
+tw AS (SELECT template, label, string_split(body, ' ') AS words FROM texts),
+tg AS (SELECT template, label, len(words) - {k - 1} AS grams, i - 1 AS t_place, {gram} AS gram
+       FROM (SELECT *, unnest(range(1, len(words) - {k - 2})) AS i FROM tw)),
+votes AS (SELECT doc_id, template, label, grams, t_place, i - 1 - t_place AS diagonal FROM placed JOIN tg ON array_to_string(g[1:{k}], ' ') = gram),
+steps AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) <= {licenses.GAP} THEN 0 ELSE 1 END AS new FROM votes),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM steps),
+found AS (SELECT doc_id, label, count(DISTINCT t_place) / grams AS covered FROM runs GROUP BY doc_id, template, label, grams, run
+          HAVING count(DISTINCT t_place) / grams >= {licenses.COVER}),
+added AS (SELECT doc_id, list(DISTINCT label) AS labels, max(covered) AS covered FROM found GROUP BY doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(based.n, 0) AS n_base, lo AS first_word, hi AS last_word,
+  array_to_string(list_sort(coalesce(based.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(based.labels, []) || coalesce(added.labels, []))), ',') AS labels,
+  CASE WHEN based.n > 0 THEN 1.0 ELSE coalesce(covered, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN based USING (doc_id) LEFT JOIN added USING (doc_id)"""
+
 
 ORACLE = {
+    "op2_quality_fences": _quality_sql(),
+    "op8_license_diagonals": _license_sql(),
     "op10_url_trie": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
 parts AS (
