@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbrook.llm import licenses, mixing, packing, quality, urlfilter
+from callbrook.llm import licenses, linededup, mixing, packing, quality, simhash, urlfilter
 from callbrook.llm.common import LOWER, UPPER, documents
 from callbrook.plans import tables
 
@@ -23,10 +23,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return linededup.dedup_lines(docs)[["doc_id", "n_removed", "text"]]
+
+
 def op6_pack_powers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces(documents(spark, sf_dir), with_ids=False)
 
 
+def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -37,7 +46,7 @@ def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, rules)[["page_id", "host", "path", "rule", "verdict"]]
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_fences, op3_mix_sources, op6_pack_powers, op8_license_diagonals, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op2_quality_fences, op3_mix_sources, op4_line_windows, op6_pack_powers, op7_simhash_vptree, op8_license_diagonals, op10_url_trie)}
 
 _M = quality.MEASURES
 _BUCKET = "greatest(length(bin({v})) - 6, 0)"
@@ -115,6 +124,18 @@ FROM w LEFT JOIN based USING (doc_id) LEFT JOIN added USING (doc_id)"""
 
 ORACLE = {
     "op2_quality_fences": _quality_sql(),
+    "op4_line_windows": f"""
+WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
+lines AS (SELECT doc_id, r.i AS i, r.t AS t FROM (SELECT doc_id, unnest(list_transform(range(0, len(ps)),
+  lambda i: struct_pack(i := i, t := trim(ps[i + 1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS r FROM p) WHERE r.t <> ''),
+wins AS (SELECT doc_id, i AS a, lead(i, 2) OVER d AS b, t AS x, lead(t) OVER d AS y, lead(t, 2) OVER d AS z FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, a) AS nth FROM wins
+           WHERE z IS NOT NULL AND length(x) + length(y) + length(z) >= {linededup.LEAST_CHARS}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE nth > 1),
+whole AS (SELECT doc_id, r.i AS i, r.x AS x FROM (SELECT doc_id, unnest(list_transform(range(0, len(ps)), lambda i: struct_pack(i := i, x := ps[i + 1]))) AS r FROM p)),
+kept AS (SELECT doc_id, count(gone.i) AS n, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE gone.i IS NULL), '') AS text
+         FROM whole LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE kept.text END AS text FROM documents d LEFT JOIN kept USING (doc_id)""",
     "op8_license_diagonals": _license_sql(),
     "op10_url_trie": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
