@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbrook.llm import licenses, linededup, mixing, packing, quality, simhash, urlfilter
+from callbrook.llm import langid, licenses, linededup, mixing, packing, quality, simhash, urlfilter
 from callbrook.llm.common import LOWER, UPPER, documents
 from callbrook.plans import tables
 
@@ -14,6 +14,10 @@ URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
+def op1_language_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir))
+
+
 def op2_quality_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -46,7 +50,7 @@ def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, rules)[["page_id", "host", "path", "rule", "verdict"]]
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_fences, op3_mix_sources, op4_line_windows, op6_pack_powers, op7_simhash_vptree, op8_license_diagonals, op10_url_trie)}
+QUERIES = {f.__name__: f for f in (op1_language_bytes, op2_quality_fences, op3_mix_sources, op4_line_windows, op6_pack_powers, op7_simhash_vptree, op8_license_diagonals, op10_url_trie)}
 
 _M = quality.MEASURES
 _BUCKET = "greatest(length(bin({v})) - 6, 0)"
