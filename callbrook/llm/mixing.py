@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbrook.llm.common import words
+from callbrook.llm.common import ranked, words
 from callbrook.session import written
 
 BUCKET, FAN, CHANGE = 4096, 64, 64
@@ -40,17 +40,8 @@ def targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     round; only sums come to the driver.
     """
     per = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    ranked = written(per.repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
-                     .withColumn("__id", F.monotonically_increasing_id()), "sources")
-    part = F.shiftright("__id", 33)
-    counts = sorted(tuple(r) for r in ranked.groupBy(part).count().collect())  # one row per partition
-    starts, before = [], 0
-    for number, n in counts:
-        starts += [F.lit(number), F.lit(before)]
-        before += n
-    first = F.create_map(*starts)[part] if starts else F.lit(0)
-    placed = ranked.withColumn("place", first + F.col("__id").bitwiseAND((1 << 33) - 1)) \
-        .withColumn("__w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int")))
+    placed = written(ranked(per, "sources", F.col("source").isNull(), F.col("source")).withColumnRenamed("rank", "place")
+                     .withColumn("__w", F.element_at(F.array(*map(F.lit, map(float, weights))), (F.col("place") % len(weights) + 1).cast("int"))), "placed")
     cap = F.col("source_size") * most
     total = placed.agg(F.sum("source_size")).first()[0] or 0
     level, known = 0.0, -1
@@ -63,7 +54,7 @@ def targets(sized: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
         if not weight:
             break
         level = (share * total - held) / weight
-    return placed.withColumn("target", F.least(cap, F.col("__w") * level)).drop("__id", "__w")
+    return placed.withColumn("target", F.least(cap, F.col("__w") * level)).drop("__w")
 
 
 def _pair(size, p, u):
