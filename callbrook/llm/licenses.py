@@ -61,7 +61,7 @@ def template_grams(spark, templates=TEMPLATES, k: int = GRAM) -> DataFrame:
 def spans(docs: DataFrame, templates=TEMPLATES, k: int = GRAM, gap: int = GAP, cover: float = COVER, text: str = "text",
           id_col: str = "doc_id") -> DataFrame:
     """``id, content, label, first, last, covered``: the accepted spans, in words; ``content`` is the text's hash."""
-    grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.explode(_grams(license_words(F.col(text)), k)).alias("g")) \
+    grams = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.explode_outer(let(license_words(F.col(text)), lambda w: _grams(w, k))).alias("g")) \
         .select("id", "content", F.col("g.place").alias("place"), F.col("g.gram").alias("gram"), F.xxhash64("g.gram").alias("h"))
     # the templates are a fixed list of some hundred positions
     votes = grams.join(F.broadcast(template_grams(docs.sparkSession, templates, k)), "h").filter(F.col("gram") == F.col("t_gram"))

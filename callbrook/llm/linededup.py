@@ -42,8 +42,8 @@ def windows(docs: DataFrame, text: str, id_col: str, least_chars: int = LEAST_CH
                             (one["n"] + two["n"] + three["n"]).alias("n"))
         made = F.transform(F.sequence(F.lit(0), F.size(lines) - 3), window)
         return F.when(F.size(lines) >= 3, F.filter(made, lambda x: x["n"] >= least_chars))
-    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.explode(let(_lines(F.col(text)), each)).alias("x"))
-    return found.select("id", "content", "x.w", "x.a", "x.b")
+    found = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.explode_outer(let(_lines(F.col(text)), each)).alias("x"))
+    return found.filter(F.col("x").isNotNull()).select("id", "content", "x.w", "x.a", "x.b")
 
 
 def stretches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least_chars: int = LEAST_CHARS) -> DataFrame:
