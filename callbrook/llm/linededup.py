@@ -50,9 +50,10 @@ def stretches(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least
     """``id, content, gone``: for each document that loses lines the sorted stretches ``(a, b)`` of pieces to remove."""
     all_windows = written(windows(docs, text, id_col, least_chars), "windows")
     place = F.struct("id", "content", "a")
-    twice = all_windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w")
+    # written, so that both joins read plain shuffles, whose hot hashes Spark can split
+    twice = written(all_windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w"), "twice")
     repeated = written(all_windows.join(twice, "w", "left_semi"), "repeated")
-    first = repeated.groupBy("w").agg(F.min(place).alias("first"))
+    first = written(repeated.groupBy("w").agg(F.min(place).alias("first")), "first")
     later = repeated.join(first, "w").filter(place > F.col("first")).select("id", "content", "a", "b").distinct()
     by = "partition by id, content order by a, b"
     runs = later.withColumn("new", F.expr(f"coalesce(a > max(b) over ({by} rows between unbounded preceding and 1 preceding), true)")) \
