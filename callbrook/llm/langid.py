@@ -62,15 +62,16 @@ class Network:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 4e-3, seed: int = 6):
-        """Adam on the cross-entropy; half the windows of a batch are shortened, so that short texts are learned too."""
+    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 64, rate: float = 4e-3, seed: int = 6):
+        """Adam on the cross-entropy, as many steps for few windows as for many; half the windows of a batch are shortened, so
+        that short texts are learned too."""
         rng = np.random.default_rng(seed)
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        steps, t = epochs * -(-len(x) // batch), 0
+        t = 0
         weight = (len(y) / (len(self.classes) * np.maximum(1, np.bincount(y, minlength=len(self.classes)))))[y].astype(np.float32)
-        for _ in range(epochs):
+        while t < steps:
             order = rng.permutation(len(x))
-            for at in range(0, len(x), batch):
+            for at in range(0, min(len(x), (steps - t) * batch), batch):
                 rows = order[at:at + batch]
                 b = x[rows].copy()
                 for i in np.flatnonzero(rng.random(len(b)) < 0.5):

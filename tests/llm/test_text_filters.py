@@ -38,7 +38,7 @@ def test_language_gradient():
     for k in range(60):
         letters = (b"abc", b"xyz")[y[k]]
         x[k] = rng.choice(np.frombuffer(letters, np.uint8), langid.WINDOW)
-    net = langid.Network(["p", "q"]).train(x, y, epochs=8)
+    net = langid.Network(["p", "q"]).train(x, y, steps=100)
     assert (net.probabilities(x).argmax(1) == y).all()
     one = net.of_texts(np.frombuffer(b"abcabc" * 200, np.uint8), np.array([0, 6, 6, 1200]))
     assert one[0].argmax() == 0 and one[2].argmax() == 0
