@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -66,31 +67,30 @@ _SPANS = T.StructType([
     ]))),
 ])
 
-_DETECTORS = (
-    [("email", re.compile(v.PII_EMAIL))]
-    + [("phone", re.compile(p)) for p in v.PII_PHONES]
-    + [("account_id", re.compile(p, re.IGNORECASE)) for p in v.PII_ACCOUNTS]
-    + [("person_name", re.compile(v.PII_TITLED_NAME))]
-)
-_NOT_DIGITS = re.compile(r"[ .-]")
-
-
-def personal_spans(text: str) -> list[tuple]:
-    """Non-overlapping (type, start, end, text, confidence).  Earliest start
-    wins; confidence decides only between equal starts."""
-    found = []
-    for kind, pattern in _DETECTORS:
-        for m in pattern.finditer(text):
-            if kind == "phone" and len(_NOT_DIGITS.sub("", m.group())) < 7:
-                continue
-            found.append((kind, m.start(), m.end(), m.group(), v.PII_CONFIDENCE[kind]))
-    found.sort(key=lambda e: (e[1], -e[4]))
-    kept, end = [], -1
-    for e in found:
-        if e[1] >= end:
-            kept.append(e)
-            end = e[2]
-    return kept
+#: (type, pattern, fewest digits or signs without separators)
+_DETECTORS = [
+    *((kind, re.compile(p), 7 if kind == "phone" else 0) for kind, ps in (("email", (v.PII_EMAIL,)), ("phone", v.PII_PHONES)) for p in ps),
+    *(("account_id", re.compile(p, re.IGNORECASE), 0) for p in v.PII_ACCOUNTS),
+    ("person_name", re.compile(v.PII_TITLED_NAME), 0),
+]
+_SEPARATORS = re.compile(r"[ .-]")
+
+
+def personal_spans(texts: Sequence[str]) -> list[list[tuple]]:
+    """For each text its non-overlapping (type, start, end, text, confidence).
+
+    One sorted pass over the matches of the whole batch: the earliest start wins, confidence and the order of the detectors
+    decide only between equal starts.
+    """
+    hits = sorted(
+        (row, m.start(), -v.PII_CONFIDENCE[kind], rank, m.end())
+        for rank, (kind, pattern, least) in enumerate(_DETECTORS) for row, text in enumerate(texts)
+        for m in pattern.finditer(text) if not least or len(_SEPARATORS.sub("", m[0])) >= least)
+    out: list[list[tuple]] = [[] for _ in texts]
+    for row, start, minus, rank, end in hits:
+        if not out[row] or start >= out[row][-1][2]:
+            out[row].append((_DETECTORS[rank][0], start, end, texts[row][start:end], -minus))
+    return out
 
 
 def masked_text(text: str, spans: list[tuple]) -> str:
@@ -104,12 +104,9 @@ def masked_text(text: str, spans: list[tuple]) -> str:
 @F.pandas_udf(_SPANS)
 def _detect(texts: pd.Series) -> pd.DataFrame:
     names = ("entity_type", "start", "end", "text", "confidence")
-    masked, entities = [], []
-    for t in texts:
-        spans = personal_spans(t) if t is not None else []
-        masked.append(masked_text(t, spans) if t is not None else None)
-        entities.append([dict(zip(names, s)) for s in spans])
-    return pd.DataFrame({"masked": masked, "entities": entities})
+    found = personal_spans(["" if t is None else t for t in texts])
+    masked = [None if t is None else masked_text(t, x) for t, x in zip(texts, found)]
+    return pd.DataFrame({"masked": masked, "entities": [[dict(zip(names, s)) for s in x] for x in found]})
 
 
 _MAY_HOLD_PII = r"(?U)@|\d|(?:Mr|Mrs|Ms|Dr|Prof)"

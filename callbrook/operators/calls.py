@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from callbrook import fixed_values as v
 from callbrook.functions.clock import epoch_micros
 from callbrook.functions.quality import sanitize_map
-from callbrook.functions.text import contains_any, words
+from callbrook.functions.text import contains_any
 from callbrook.operators.carry import Running, running
+from callbrook.session import written
 
 # --- percentiles and latency -------------------------------------------------
 
@@ -22,16 +23,28 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     (``exclusive`` treats the data as a sample: ranks run over n + 1).
 
     A sketch brackets each wanted rank, values below the bracket are only
-    counted, and just the bracket (about 4 / accuracy of the group, equal
-    values collapsed) is ranked.  No task holds a group's values.
+    counted, and just the bracket (equal values collapsed) is ranked.  The
+    bracket must lie beyond the needed ranks by the sketch's own error and some
+    whole rows; of a ladder of widths each group takes the first that does, so
+    a small group is ranked whole and a large one to a few parts in
+    ``accuracy``.  No task holds a large group's values.
     """
-    eps = 2.0 / accuracy
+    widths = [4.0 ** j / accuracy for j in range(1, 30) if 4.0 ** (j - 1) < accuracy]
+    ends = [(p, e) for p in probs.values() for e in widths]
     n = df.groupBy(*keys).agg(F.count(value).alias("__n"), F.percentile_approx(
-        value, [x for p in probs.values() for x in (max(0.0, p - eps), min(1.0, p + eps))], accuracy).alias("__b"))
+        value, [x for p, e in ends for x in (max(0.0, p - e), min(1.0, p + e))], accuracy).alias("__b"))
+
+    def end(i: int, p: float, side: int) -> Column:
+        out = F.lit(side * float("inf"))
+        for j in reversed(range(len(widths))):
+            e = widths[j]
+            open_ = p - e <= 0 if side < 0 else p + e >= 1
+            found = F.lit(side * float("inf")) if open_ else F.get("__b", F.lit(2 * (i * len(widths) + j) + (side > 0)))
+            out = F.when(F.col("__n") * e >= F.col("__n") / accuracy + 4, found).otherwise(out)
+        return out
+
     wanted = F.explode(F.array(*[F.struct(
-        F.lit(name).alias("__name"), F.lit(p).alias("__p"),
-        (F.lit(float("-inf")) if p - eps <= 0 else F.get("__b", F.lit(2 * i))).alias("__lo"),
-        (F.lit(float("inf")) if p + eps >= 1 else F.get("__b", F.lit(2 * i + 1))).alias("__hi"))
+        F.lit(name).alias("__name"), F.lit(p).alias("__p"), end(i, p, -1).alias("__lo"), end(i, p, 1).alias("__hi"))
         for i, (name, p) in enumerate(probs.items())]))
     brackets = n.select(*keys, "__n", wanted.alias("w")).select(*keys, "__n", "w.*")
     values = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
@@ -124,29 +137,58 @@ def next_state(state: Column, asked: Column) -> Column:
     return F.when(ok, asked).otherwise(state)
 
 
-def final_states(log: DataFrame, start: str = "GREETING", block: int = 1024) -> DataFrame:
-    """State each session ends in when invalid requests leave it unchanged.
+def _state_functions(log: DataFrame, block: int):
+    """Requests of consecutive blocks, and the functions from states to states that blocks and blocks of blocks are.
 
-    A run of requests is a function from states to states, and functions
-    compose: blocks of consecutive requests are reduced to one such function,
-    blocks of blocks likewise, and only then is a session put together.
+    A run of requests is such a function, and functions compose, so no session is walked row by row in one task.
     """
     states = list(v.STATE_MOVES)
-    runs = log.withColumn("b1", F.floor(F.col("seq") / block)).groupBy("session_id", "b1").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "to_state"))), lambda r: r["to_state"]).alias("asked"))
-    first = runs.select("session_id", "b1", F.create_map(*[x for s in states for x in (
-        F.lit(s), F.aggregate("asked", F.lit(s), next_state))]).alias("fn"))
+    counted = running(log, ["session_id"], ["seq"], F.floor(F.col("seq") / block), [Running("__i", "sum", F.lit(1))])
+    runs = counted.withColumn("b1", F.floor(F.col("__i") / block)).groupBy("session_id", "b1") \
+        .agg(F.array_sort(F.collect_list(F.struct("seq", "to_state"))).alias("asked"))
+    asked = F.transform("asked", lambda r: r["to_state"])
+    runs = written(runs.withColumn("fn", F.array(*[F.aggregate(asked, F.lit(s), next_state) for s in states]))
+                   .withColumn("b2", F.floor(F.col("b1") / block)), "blocks")
+    listed = runs.groupBy("session_id", "b2").agg(F.array_sort(F.collect_list(F.struct("b1", "fn"))).alias("fns"))
+    return runs, listed.withColumn("fn", F.array(*[_through("fns", F.lit(s)) for s in states]))
+
+
+def _apply(fn: Column, state: Column) -> Column:
+    return F.get(fn, F.array_position(F.array(*map(F.lit, v.STATE_MOVES)), state).cast("int") - 1)
+
+
+def _through(fns: str, start: Column) -> Column:
+    return F.aggregate(fns, start, lambda state, f: _apply(f["fn"], state))
 
-    def composed(level: DataFrame, order: str, keys: list[str]) -> DataFrame:
-        listed = level.groupBy(*keys).agg(F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.map_entries("fn").alias("e")))),
-            lambda r: F.map_from_entries(r["e"])).alias("fns"))
-        return listed.select(*keys, F.create_map(*[x for s in states for x in (
-            F.lit(s), F.aggregate("fns", F.lit(s), lambda acc, f: F.element_at(f, acc)))]).alias("fn"))
 
-    second = composed(first.withColumn("b2", F.floor(F.col("b1") / block)), "b1", ["session_id", "b2"])
-    whole = composed(second, "b2", ["session_id"])
-    return whole.select("session_id", F.element_at("fn", F.lit(start)).alias("final_state"))
+def _starts(fns: str, start: Column, order: str) -> Column:
+    """(order, state before it) of a list of functions."""
+    first = F.struct(F.array().cast(f"array<struct<{order}:bigint,state:string>>").alias("out"), start.alias("state"))
+    return F.aggregate(fns, first, lambda acc, f: F.struct(
+        F.array_append(acc["out"], F.struct(f[order].cast("long").alias(order), acc["state"].alias("state"))).alias("out"),
+        _apply(f["fn"], acc["state"]).alias("state")), lambda acc: acc["out"])
+
+
+def state_log(log: DataFrame, start: str = "GREETING", block: int = 1024) -> DataFrame:
+    """Each request with ``from_state``, the state it meets: invalid requests leave the state as it was."""
+    runs, second = _state_functions(log, block)
+    whole = second.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("b2", "fn"))).alias("fns2"))
+    at2 = whole.select("session_id", F.explode(_starts("fns2", F.lit(start), "b2")).alias("x")).select("session_id", "x.b2", F.col("x.state").alias("s2"))
+    at1 = second.join(at2, ["session_id", "b2"]).select("session_id", F.explode(_starts("fns", F.col("s2"), "b1")).alias("x")) \
+        .select("session_id", "x.b1", F.col("x.state").alias("s1"))
+    rows = runs.join(at1, ["session_id", "b1"])
+    first = F.struct(F.array().cast("array<struct<seq:bigint,from_state:string,to_state:string>>").alias("out"), F.col("s1").alias("state"))
+    walked = F.aggregate("asked", first, lambda acc, r: F.struct(
+        F.array_append(acc["out"], F.struct(r["seq"].cast("long").alias("seq"), acc["state"].alias("from_state"), r["to_state"].alias("to_state"))).alias("out"),
+        next_state(acc["state"], r["to_state"]).alias("state")), lambda acc: acc["out"])
+    return rows.select("session_id", F.explode(walked).alias("x")).select("session_id", "x.*")
+
+
+def final_states(log: DataFrame, start: str = "GREETING", block: int = 1024) -> DataFrame:
+    """State each session ends in when invalid requests leave it unchanged."""
+    _, second = _state_functions(log, block)
+    whole = second.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("b2", "fn"))).alias("fns"))
+    return whole.select("session_id", _through("fns", F.lit(start)).alias("final_state"))
 
 
 # --- call events and leads ---------------------------------------------------
@@ -234,16 +276,20 @@ def last_user_message(messages: DataFrame) -> DataFrame:
 def rolling_context(turns: DataFrame, n: int = 4, block: int = 1024) -> DataFrame:
     """Previous ``n`` turns in one text per turn.
 
-    Each block of turns also receives copies of the ``n`` turns before it, so
-    the window never has to cross a block.
+    Turns are counted first, whatever numbers they bear, and blocks are made
+    of consecutive counts.  Each block also receives copies of the ``n`` turns
+    before it, so the window never has to cross a block.
     """
-    own = turns.withColumn("__b", F.floor(F.col("turn") / block)).withColumn("__copy", F.lit(False))
-    ahead = turns.filter(F.col("turn") % block >= block - n) \
-        .withColumn("__b", F.floor(F.col("turn") / block) + 1).withColumn("__copy", F.lit(True))
-    w = Window.partitionBy("conv_id", "__b").orderBy("turn").rowsBetween(-n, -1)
+    if block < n:
+        raise ValueError("a block must hold the context")
+    counted = written(running(turns, ["conv_id"], ["turn"], F.floor(F.col("turn") / block), [Running("__i", "sum", F.lit(1))]), "turns")
+    own = counted.withColumn("__b", F.floor(F.col("__i") / block)).withColumn("__copy", F.lit(False))
+    ahead = counted.filter(F.col("__i") % block >= block - n) \
+        .withColumn("__b", F.floor(F.col("__i") / block) + 1).withColumn("__copy", F.lit(True))
+    w = Window.partitionBy("conv_id", "__b").orderBy("__i").rowsBetween(-n, -1)
     line = F.concat(F.col("role"), F.lit(": "), F.col("text"))
     return own.unionByName(ahead).withColumn("context", F.array_join(F.collect_list(line).over(w), "\n")) \
-        .filter(~F.col("__copy")).drop("__b", "__copy")
+        .filter(~F.col("__copy")).drop("__b", "__copy", "__i")
 
 
 # --- providers ---------------------------------------------------------------
@@ -296,7 +342,3 @@ def fallback_outcome(attempts: DataFrame) -> DataFrame:
              F.col("first_ok").isNotNull().alias("success"),
              F.coalesce(F.col("first_ok") > 0, F.lit(False)).alias("fallback_used"),
              F.coalesce("first_ok", F.lit(0)).cast("long").alias("fallback_count"), "attempts")
-
-
-def word_count(c: Column | str) -> Column:
-    return F.size(words(c))

@@ -15,7 +15,6 @@ from callbrook.functions.quality import sanitize
 from callbrook.operators import calls as c
 from callbrook.operators import nudges as nd
 from callbrook.operators import signals as sg
-from callbrook.operators.carry import previous
 from callbrook.session import written
 from callbrook.plans.tables import read, sql_list, sql_str, sql_strip, sql_words
 
@@ -264,9 +263,7 @@ SQL_ASKED = f"""asked AS (SELECT conv_id AS session_id, turn AS seq, {sql_list(_
 
 
 def transition_audit(spark, sf):
-    log = previous(_asked(spark, sf), ["session_id"], ["seq"], F.floor(F.col("seq") / 1024), "from_state", F.col("to_state")) \
-        .withColumn("from_state", F.coalesce("from_state", F.lit("GREETING")))
-    return c.invalid_moves(log).select("session_id", "seq", "from_state", "to_state")
+    return c.invalid_moves(c.state_log(_asked(spark, sf))).select("session_id", "seq", "from_state", "to_state")
 
 
 def final_states(spark, sf):
@@ -422,9 +419,11 @@ ORACLE = {
       LEFT JOIN (SELECT session_id, count(*) AS n, count(*) FILTER (decision = 'emitted') AS emitted FROM decided GROUP BY 1) s USING (session_id)""",
     "tumbling_slices": "SELECT event_type, epoch_us(ts) // 500000 * 500000 AS slice_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "audio_slices": _with(SQL_TURNS) + " SELECT session_id, CAST(sum(greatest(1, len(string_split(text, ' ')))) AS BIGINT) AS chunk_count, CAST(sum(greatest(1, len(string_split(text, ' ')))) * 500.0 AS DOUBLE) AS duration_ms FROM turns GROUP BY 1",
-    "transition_audit": _with(SQL_ASKED) + f""" SELECT session_id, seq, from_state, to_state FROM (
-      SELECT *, coalesce(lag(to_state) OVER (PARTITION BY session_id ORDER BY seq), 'GREETING') AS from_state FROM asked)
-      WHERE (from_state, to_state) NOT IN (VALUES {_MOVES}) AND to_state NOT IN {v.ALWAYS_REACHABLE}""",
+    "transition_audit": _with(SQL_ASKED, "a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM asked)",
+                              f"s AS (SELECT session_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::VARCHAR AS from_state, NULL::VARCHAR AS to_state, 'GREETING' AS state FROM a GROUP BY 1 "
+                              f"UNION ALL SELECT a.session_id, a.rn, a.seq, s.state, a.to_state, {_STEP} FROM s JOIN a ON a.session_id = s.session_id AND a.rn = s.rn + 1)",
+                              recursive=True) + f""" SELECT session_id, seq, from_state, to_state FROM s WHERE rn > 0
+      AND (from_state, to_state) NOT IN (VALUES {_MOVES}) AND to_state NOT IN {v.ALWAYS_REACHABLE}""",
     "final_states": _with(SQL_ASKED, "a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM asked)",
                           f"s AS (SELECT session_id, 0::BIGINT AS rn, 'GREETING' AS state FROM a GROUP BY 1 UNION ALL SELECT a.session_id, a.rn, {_STEP} FROM s JOIN a ON a.session_id = s.session_id AND a.rn = s.rn + 1)",
                           recursive=True) + " SELECT session_id, arg_max(state, rn) AS final_state FROM s GROUP BY 1",

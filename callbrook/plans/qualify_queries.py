@@ -10,6 +10,7 @@ from callbrook.operators import evaluation as ev
 from callbrook.operators import localization as lo
 from callbrook.operators import qualification as ql
 from callbrook.operators import search as s
+from callbrook.operators.ranking import ranked
 from callbrook.plans.call_queries import SQL_TURNS, turns
 from callbrook.plans.search_queries import _RANKED, SQL_GATE, _ranked
 from callbrook.plans.tables import benchmark_queries, document_chunks, read, sql_list, sql_str, sql_strip, sql_words
@@ -340,7 +341,7 @@ def _verdicts(spark, sf):
     n = F.col("query_id")
     cases = q.select(
         "query_id", (n % 4 != 3).alias("should_answer"), F.when(n % 3 == 0, F.concat(F.lit("src"), (n % 20).cast("string"))).alias("expected_source"),
-        F.slice(F.filter(words("query"), lambda w: F.length(w) > 5), 1, 3).alias("keywords"))
+        F.filter(words("query"), lambda w: F.length(w) > 5).alias("keywords"))
     return ev.retrieval_verdicts(cases, out).withColumn("latency_ms", (F.pmod(n * 7, F.lit(53)) + F.col("confidence")).cast("double"))
 
 
@@ -354,7 +355,7 @@ def retrieval_eval_summary(spark, sf):
 
 SQL_VERDICTS = f"""
 vcases AS (SELECT query_id, query_id % 4 <> 3 AS should_answer, CASE WHEN query_id % 3 = 0 THEN 'src' || (query_id % 20) END AS expected_source,
-    list_filter({sql_words('query')}, lambda w: length(w) > 5)[1:3] AS keywords FROM queries),
+    list_filter({sql_words('query')}, lambda w: length(w) > 5) AS keywords FROM queries),
 verdicts AS (
   SELECT query_id, should_answer, abstain_reason IS NULL AS grounded, query_id * 7 % 53 + confidence AS latency_ms,
     CASE WHEN NOT should_answer THEN abstain_reason IS NOT NULL
@@ -364,10 +365,10 @@ verdicts AS (
 
 
 def _paired(spark, sf):
-    """Every document with one benchmark passage (by document id)."""
-    q = benchmark_queries(spark, sf)
-    d = document_chunks(spark, sf).select("chunk_id", "content", (F.col("chunk_id") % 40).alias("query_id"))
-    return d.join(q, "query_id")
+    """Every document with one benchmark passage, the passages taking turns."""
+    q = ranked(benchmark_queries(spark, sf), "queries", "query_id").drop("query_id").withColumnRenamed("rank", "turn")
+    d = document_chunks(spark, sf).select("chunk_id", "content", F.pmod("chunk_id", F.lit(max(1, q.count()))).alias("turn"))
+    return d.join(q, "turn").drop("turn")
 
 
 def keyword_similarity(spark, sf):
@@ -383,13 +384,13 @@ def model_comparison(spark, sf):
 
 def terms_preserved(spark, sf):
     t = _misheard(spark, sf).filter("hypothesis IS NOT NULL")
-    terms = F.slice(words("reference"), 1, 2)
-    return t.select("session_id", "chunk_sequence", "sentence", ev.terms_preserved(terms, "hypothesis").alias("preserved"))
+    return t.select("session_id", "chunk_sequence", "sentence", ev.terms_preserved(words("reference"), "hypothesis").alias("preserved"))
 
 
 _Q = (SQL_TURNS,)
 _PAIRED = ("queries AS (SELECT item_id AS query_id, " + sql_strip("text") + " AS query FROM benchmark)",
-           "paired AS (SELECT doc_id AS chunk_id, text AS content, query FROM documents JOIN queries ON query_id = doc_id % 40)")
+           "turns_of AS (SELECT query, row_number() OVER (ORDER BY query_id) - 1 AS turn, count(*) OVER () AS n FROM queries)",
+           "paired AS (SELECT doc_id AS chunk_id, text AS content, query FROM documents JOIN turns_of ON turn = doc_id % n)")
 
 
 def _sql_similarity(q, d):
@@ -485,5 +486,5 @@ ORACLE = {
     "model_comparison": _with(*_PAIRED, f"sc AS (SELECT chunk_id, {_sql_similarity('query', 'content')} AS score, contains(lower(content), lower(query)) AS baseline FROM paired)")
     + " SELECT chunk_id, score, baseline, score >= 0.3 AS candidate_grounded, CASE WHEN (score >= 0.3) = baseline THEN 'PASS' ELSE 'FAIL' END AS verdict FROM sc",
     "terms_preserved": _with(*_Q, SQL_MISHEARD.split("wd AS")[0].rstrip().rstrip(",")) + f""" SELECT session_id, chunk_sequence, sentence,
-      len(list_filter({sql_words('reference')}[1:2], lambda t: NOT (contains(lower(hypothesis), lower(t)) OR contains(lower(hypothesis), lower(replace(t, ' ', '')))))) = 0 AS preserved FROM pairs WHERE hypothesis IS NOT NULL""",
+      len(list_filter({sql_words('reference')}, lambda t: NOT (contains(lower(hypothesis), lower(t)) OR contains(lower(hypothesis), lower(replace(t, ' ', '')))))) = 0 AS preserved FROM pairs WHERE hypothesis IS NOT NULL""",
 }

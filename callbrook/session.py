@@ -31,13 +31,16 @@ def build_session(master: str | None = None, app: str = "callbrook", **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only when ``spark.checkpoint.dir`` is unset (a local test) a temporary
-    folder is chosen and recorded.
+    Only when ``spark.checkpoint.dir`` is unset and executors run in this very
+    process (a local test) a temporary folder is chosen and recorded; on a
+    cluster the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)

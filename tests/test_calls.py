@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from callbrook import fixed_values as v
 from callbrook.operators import calls, evaluation as ev, localization as lo, nudges as nd, qualification as ql, search, signals as sg
 from callbrook.plans import call_queries as cq
 from callbrook.streaming import calls as st
@@ -82,6 +83,47 @@ def test_exact_percentiles(spark):
     assert calls.exact_percentiles(skewed, ["k"], "v", {"p": 0.95}, accuracy=500).first()["p"] == exact
 
 
+def test_exact_percentiles_of_any_size(spark):
+    rows = [(n, float((k * 7919) % (n + 3)), float(k % 3)) for n in range(1, 401) for k in range(n)]
+    df = spark.createDataFrame(rows, "k long, v double, tied double").repartition(8).cache()
+    probs = {"low": 0.05, "mid": 0.5, "high": 0.95}
+    for c in ("v", "tied"):
+        got = {r.k: (r.low, r.mid, r.high) for r in calls.exact_percentiles(df, ["k"], c, probs).collect()}
+        want = df.groupBy("k").agg(F.percentile(c, F.array(*map(F.lit, probs.values()))).alias("p")).collect()
+        assert len(got) == 400
+        for r in want:
+            assert all(abs(a - b) < 1e-9 for a, b in zip(got[r.k], r.p)), r.k
+    sample = {r.k: r.p for r in calls.exact_percentiles(df, ["k"], "v", {"p": 0.95}, exclusive=True).collect()}
+    for n in range(1, 401):
+        v = sorted(x for k, x, _ in rows if k == n)
+        at = min(max((n + 1) * 0.95 - 1, 0.0), n - 1)
+        low = int(at)
+        assert abs(sample[n] - (v[low] + (v[min(low + 1, n - 1)] - v[low]) * (at - low))) < 1e-9, n
+
+
+def test_context_over_sparse_turn_numbers(spark):
+    numbers = [0, 3, 7, 1000, 1010, 1030, 1040, 1041, 5000, 9000, 9001, 40000]
+    df = spark.createDataFrame([(1, n, "r", str(n)) for n in numbers] + [(2, 5, "r", "5")], "conv_id long, turn long, role string, text string")
+    for block in (4, 5, 1024):
+        got = {(r.conv_id, r.turn): r.context for r in calls.rolling_context(df, block=block).collect()}
+        assert got == {(1, n): "\n".join(f"r: {x}" for x in numbers[max(0, k - 4):k]) for k, n in enumerate(numbers)} | {(2, 5): ""}
+
+
+def test_states_met_by_requests(spark):
+    rng = random.Random(3)
+    states = list(v.STATE_MOVES)
+    rows = [(s, 10 * k, rng.choice(states)) for s in range(3) for k in range(60)]
+    df = spark.createDataFrame(rows, "session_id long, seq long, to_state string")
+    want, at = {}, {}
+    for s, k, asked in rows:
+        now = at.get(s, "GREETING")
+        want[(s, k)] = now
+        at[s] = asked if asked in v.ALWAYS_REACHABLE or asked in v.STATE_MOVES[now] else now
+    for block in (3, 16, 1024):
+        assert {(r.session_id, r.seq): r.from_state for r in calls.state_log(df, block=block).collect()} == want
+        assert {r.session_id: r.final_state for r in calls.final_states(df, block=block).collect()} == at
+
+
 def test_final_states_in_blocks(spark):
     rows = [(1, 0, "QUALIFICATION"), (1, 1, "LEAD_CONFIRMATION"), (1, 2, "REVIEW"), (1, 3, "LEAD_CONFIRMATION"), (2, 0, "REVIEW"), (2, 1, "ESCALATION"), (2, 2, "QUALIFICATION")]
     df = spark.createDataFrame(rows, "session_id long, seq long, to_state string")
