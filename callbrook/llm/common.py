@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callbrook.plans import tables
-from callbrook.session import written
 
 BLANKS = "\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,16 +38,3 @@ def spaced(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The runs of `[^\\x20\\x09-\\x0D]+` as an array."""
     return F.array_remove(F.split(spaced(text), " "), "")
-
-
-def ranked(df: DataFrame, name: str, *order) -> DataFrame:
-    """Write ``df`` globally sorted and add ``rank`` from 0.  Only one count per partition comes to the driver."""
-    t = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
-    counts = sorted(tuple(r) for r in t.groupBy(F.shiftright("__at", 33)).count().collect())
-    starts, before = [], 0
-    for part, n in counts:
-        starts.append((part, before))
-        before += n
-    first = df.sparkSession.createDataFrame(starts, "__part long, __first long")
-    return t.join(F.broadcast(first), F.shiftright("__at", 33) == F.col("__part")) \
-        .withColumn("rank", F.col("__first") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__first")
