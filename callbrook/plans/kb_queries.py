@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
@@ -11,7 +13,7 @@ from callbrook.operators import conflicts as cf
 from callbrook.operators import ingest as g
 from callbrook.operators.neardup import duplicate_of, near_contents
 from callbrook.plans.tables import read, sql_list, sql_str, sql_strip
-from callbrook.session import written
+from callbrook.session import shared_dir, written
 from callbrook.sources import files
 from callbrook.sources.html import html_elements
 
@@ -98,6 +100,24 @@ def source_registration(spark, sf):
     return d.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
 
 
+def csv_scan(spark, sf):
+    """Customers stored as CSV files with a header and read back by name and type."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    c.write.option("header", True).csv(path)
+    return files.csv_rows(spark, path, c.schema)
+
+
+def json_records(spark, sf):
+    """Records stored as JSON and read back under the record schema, joined by records that lack most columns."""
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    d = read(spark, sf, "documents")
+    d.select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("record_id"), F.col("text").alias("content"), F.col("source").alias("source_id"),
+             F.col("lang").alias("language")).write.json(path)
+    pages = read(spark, sf, "pages").select(F.concat(F.lit("page_"), F.col("page_id")).alias("record_id"), F.col("url").alias("source_name"))
+    return files.union_records(files.read_records(spark, path, lines=True), pages).select("record_id", "content", "source_id", "source_name", "language")
+
+
 def duplicate_sources(spark, sf):
     d = read(spark, sf, "documents").select(
         F.col("doc_id").alias("source_id"), F.col("doc_id").alias("seq"),
@@ -298,7 +318,7 @@ def html_headings(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    source_types, source_registration, duplicate_sources, latest_source_by_hash, text_elements, table_rendering,
+    source_types, source_registration, csv_scan, json_records, duplicate_sources, latest_source_by_hash, text_elements, table_rendering,
     clean_elements, section_records, extraction_diagnostics, ingest_report, ingest_totals, terminology_normalize,
     pii_email_mask, pii_type_counts, pii_spans, validate_records, amount_sets, conflicts, conflict_values,
     content_hashes, exact_dups_chain, near_dups, duplicate_targets, html_page_elements, html_headings,
@@ -338,6 +358,9 @@ report AS (
 ORACLE = {
     "source_types": f"""SELECT page_id, {_KINDS} AS source_type FROM (SELECT page_id, lower(regexp_extract(
       regexp_replace(url, '\\?.*$', '') || ['.html', '.HTM', '.txt', '.md', '.csv', '.tar', ''][page_id % 7 + 1], '(\\.[^./]+)$', 1)) AS ext FROM pages)""",
+    "csv_scan": "SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer",
+    "json_records": """SELECT 'doc_' || doc_id AS record_id, text AS content, source AS source_id, NULL AS source_name, lang AS language FROM documents
+      UNION ALL SELECT 'page_' || page_id, NULL, NULL, url, NULL FROM pages""",
     "source_registration": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "duplicate_sources": _with(_CHAIN.format(h="text")) + " SELECT doc_id AS source_id, prev AS previous_source_id FROM chain WHERE prev IS NOT NULL",
     "latest_source_by_hash": "SELECT sha256(text) AS content_hash, max(doc_id) AS source_id FROM documents GROUP BY 1",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
@@ -9,7 +11,7 @@ from callbrook.functions.text import strip, words
 from callbrook.functions.vectors import dot, feature_rows
 from callbrook.operators import search as s
 from callbrook.operators.chunking import chunk_records
-from callbrook.session import written
+from callbrook.session import shared_dir, written
 from callbrook.plans.tables import (
     SQL_CHUNKS, SQL_QUERIES, benchmark_queries, document_chunks, document_records, read, sql_list, sql_str, sql_strip, sql_words,
 )
@@ -268,6 +270,14 @@ def hybrid_answers(spark, sf):
     return s.hybrid_search(c, q)[1].select(*ANSWER)
 
 
+def index_search(spark, sf):
+    """The index is written once; the search reads chunks, postings, vectors and figures from it."""
+    c, q = _inputs(spark, sf)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    s.write_index(c, path)
+    return s.search_index(s.read_index(spark, path), q)[1].select(*ANSWER)
+
+
 def hybrid_filtered(spark, sf):
     c, q = _inputs(spark, sf)
     return s.hybrid_search(c, q, filters=_FILTER)[1].select(*ANSWER).drop("query")
@@ -344,7 +354,7 @@ def chunk_search(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     tokenize, corpus_stats, document_frequency, bm25_topk, bm25_filtered, bm25_after_removal, hash_embed_slots,
-    hash_embed_topk, rrf_fusion, weighted_fusion, rerank, confidence_gate, citations, hybrid_answers,
+    hash_embed_topk, rrf_fusion, weighted_fusion, rerank, confidence_gate, citations, hybrid_answers, index_search,
     hybrid_filtered, vector_topk, vector_cosine, metadata_filter, kb_stats, paginate, index_upsert,
     chunks, chunk_totals, chunk_search,
 )}
@@ -408,3 +418,4 @@ ORACLE = {
       CASE WHEN quality IS NULL THEN version ELSE '2.' || quality END AS version, CASE WHEN quality IS NULL THEN 1 ELSE 2 END::BIGINT AS batch
       FROM chunks LEFT JOIN labels ON chunk_id = doc_id""",
 }
+ORACLE["index_search"] = ORACLE["hybrid_answers"]

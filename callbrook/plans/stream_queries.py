@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
 from callbrook.operators.signals import transcript_events
+from callbrook.functions.clock import epoch_seconds
 from callbrook.plans import call_queries as cq
+from callbrook.plans.tables import read
 from callbrook.session import shared_dir
 from callbrook.streaming import calls as st
 
@@ -23,9 +25,9 @@ def _work(spark, name: str) -> str:
 def _event_stream(spark, sf):
     path = _work(spark, "transcripts")
     events = transcript_events(cq.turns(spark, sf).drop("role")).select(*st.EVENT.fieldNames())
-    events.write.parquet(path)
+    files = st.write_slices(events, path, "timestamp")
     st.use_rocksdb(spark)
-    return st.read_transcripts(spark, path)
+    return st.read_transcripts(spark, path, files)
 
 
 def signals_stream(spark, sf):
@@ -41,9 +43,37 @@ def nudges_stream(spark, sf):
     return out.filter("decision <> 'expired'").select("session_id", "chunk_sequence", "is_final", "signal_type", "decision", "expires_at")
 
 
+def expired_nudges_stream(spark, sf):
+    """Nudges whose validity the watermark has passed: the clock is driven on by one late heartbeat of a session of its own."""
+    path = _work(spark, "signals")
+    signals = st.run_available(st.signals_stream(_event_stream(spark, sf)), path, _work(spark, "ckpt"))
+    beat = signals.agg(F.max("timestamp").alias("timestamp")).select(
+        F.lit(-1).cast("long").alias("session_id"), (F.col("timestamp") + 1e6).alias("timestamp"), F.lit(0.0).alias("confidence"),
+        F.lit("heartbeat").alias("signal_type"))
+    ahead, out, ckpt = _work(spark, "beat"), _work(spark, "out"), _work(spark, "ckpt")
+    signals.write.parquet(ahead)
+    stream = lambda: st.nudges_stream(spark.readStream.schema(signals.schema).parquet(ahead))
+    st.run_available(stream(), out, ckpt)
+    signals.limit(0).unionByName(beat, allowMissingColumns=True).write.mode("append").parquet(ahead)
+    return st.run_available(stream(), out, ckpt).filter("decision = 'expired'").select("session_id", "signal_type", "expires_at")
+
+
+def slices_stream(spark, sf):
+    """Half-minute slices of the stored events, closed by the watermark; the last ones stay open and are left out."""
+    path = _work(spark, "events")
+    e = read(spark, sf, "events").select(F.col("user_id").alias("session_id"), epoch_seconds("ts").alias("timestamp"), F.col("value").alias("duration_ms"))
+    files = st.write_slices(e, path, "timestamp")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files).parquet(path)
+    out = st.run_available(st.slices(stream, "1 hour"), _work(spark, "out"), _work(spark, "ckpt"))
+    return out.select("session_id", (F.unix_timestamp("window.start") - int(st.ORIGIN_SECONDS)).alias("slice_start"), "chunks", F.round("duration_ms", 4).alias("duration_ms"))
+
+
 def session_counters_stream(spark, sf):
-    """Counters kept by a complete-mode aggregation, as of the last batch."""
-    counted = st.session_counters(st.counted_source(st.once_per_event(_event_stream(spark, sf))))
+    """Counters kept by a complete-mode aggregation, as of the last batch.  Every third event comes twice."""
+    events = _event_stream(spark, sf)
+    again = F.array_repeat(F.lit(1), F.when(F.col("chunk_sequence") % 3 == 0, 2).otherwise(1))
+    repeated = events.withColumn("again", F.explode(again)).drop("again")
+    counted = st.session_counters(st.counted_source(st.once_per_event(repeated)))
     path = _work(spark, "counters")
 
     def keep(batch, _batch_id):
@@ -57,9 +87,9 @@ def session_counters_stream(spark, sf):
 def conversation_stream(spark, sf):
     path = _work(spark, "requests")
     asked = cq._asked(spark, sf)
-    asked.write.parquet(path)
+    files = st.write_slices(asked, path, "seq")
     st.use_rocksdb(spark)
-    stream = spark.readStream.schema(asked.schema).parquet(path)
+    stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", files).parquet(path)
     return st.run_available(st.conversation_states(stream), _work(spark, "out"), _work(spark, "ckpt")) \
         .select("session_id", "seq", "from_state", "to_state", "state_after")
 
@@ -83,13 +113,16 @@ def event_log_stream(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    signals_stream, nudges_stream, session_counters_stream, conversation_stream, leads_stream, event_log_stream)}
+    signals_stream, nudges_stream, expired_nudges_stream, slices_stream, session_counters_stream, conversation_stream, leads_stream, event_log_stream)}
 
 _STEP = cq._STEP
 ORACLE = {
     "signals_stream": cq._with(*cq._SIG) + " SELECT session_id, chunk_sequence, is_final, signal_type, rule_name, evidence, new_topic FROM signals",
     "nudges_stream": cq._with(*cq._NUDGED, recursive=True) + f""" SELECT session_id, chunk_sequence, is_final, signal_type, decision,
       CASE WHEN decision = 'emitted' THEN ts + {v.NUDGE_EXPIRY} END AS expires_at FROM decided""",
+    "expired_nudges_stream": cq._with(*cq._NUDGED, recursive=True) + f" SELECT session_id, signal_type, ts + {v.NUDGE_EXPIRY} AS expires_at FROM decided WHERE decision = 'emitted'",
+    "slices_stream": """WITH e AS (SELECT user_id, floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS slice_start, value, max(epoch_us(ts)) OVER () / 1000000.0 - 60 AS mark FROM events)
+      SELECT user_id AS session_id, slice_start, count(*) AS chunks, round(sum(value), 4) AS duration_ms FROM e WHERE slice_start + 3600 <= mark GROUP BY ALL""",
     "session_counters_stream": cq._with(cq.SQL_TURNS, cq.SQL_EVENTS) + " SELECT session_id, count(*) AS transcripts_count, count(*) FILTER (is_final) AS final_count FROM raw_events GROUP BY 1",
     "conversation_stream": cq._with(
         cq.SQL_ASKED, "a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM asked)",

@@ -86,13 +86,13 @@ def csv_table_text(df: DataFrame, keys: list[str], order: str, columns: list[str
                           F.size("rows").cast("long").alias("n_rows"))
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType = KB_RECORD) -> DataFrame:
-    """JSON arrays of records (or JSON lines); a missing path gives no rows."""
+def read_records(spark: SparkSession, path: str, schema: T.StructType = KB_RECORD, lines: bool = False) -> DataFrame:
+    """Files of one JSON array each, or of one record per line, which Spark can split; a missing path gives no rows."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(hadoop):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_records(records: DataFrame, path: str, partition_by: tuple[str, ...] = ("language",)) -> None:

@@ -25,6 +25,9 @@ from callbrook.session import ROCKSDB
 
 WATERMARK = "60 seconds"  # longer than a nudge lives
 ORIGIN_SECONDS = 86400.0
+#: For streams that never end: a session silent for a day is over and its state goes.  Expiry runs on processing time, and a
+#: bounded replay (``availableNow``) would wait for it for ever, so it is off unless asked for.
+IDLE_MS = 24 * 3600 * 1000
 
 EVENT = T.StructType([
     T.StructField("session_id", T.LongType()), T.StructField("chunk_sequence", T.LongType()),
@@ -61,6 +64,17 @@ def once_per_event(events: DataFrame) -> DataFrame:
         .dropDuplicatesWithinWatermark(["session_id", "chunk_sequence", "is_final"])
 
 
+def write_slices(events: DataFrame, path: str, by: str, slices: int = 3) -> int:
+    """Replay a table as a stream: its rows in ``by`` order as ``slices`` writes.  A session's rows of one write share a file,
+    so a batch never sees later rows first.  Returns the files of a write, the rate limit that makes a batch of each."""
+    cuts = events.approxQuantile(by, [k / slices for k in range(1, slices)], 0.01)
+    files = events.sparkSession.sparkContext.defaultParallelism
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.filter((F.lit(True) if low is None else F.col(by) > low) & (F.lit(True) if high is None else F.col(by) <= high))
+        part.repartition(files, "session_id").write.mode("append").parquet(path)
+    return files
+
+
 def counted_source(events: DataFrame, name: str = "source") -> DataFrame:
     """Expose per-batch row counts to listeners.  A bounded queue would drop
     rows when full; here the source is rate-limited and nothing is dropped."""
@@ -77,13 +91,13 @@ def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 class _SignalState(StatefulProcessor):
     """Per session: final turns so far, the last one disclosing, the last topic."""
 
-    def __init__(self, context_turns: int, gated: list[str], shift_order: int):
-        self.context_turns, self.gated, self.shift_order = context_turns, frozenset(gated), shift_order
+    def __init__(self, context_turns: int, gated: list[str], shift_order: int, idle_ms: int | None):
+        self.context_turns, self.gated, self.shift_order, self.idle_ms = context_turns, frozenset(gated), shift_order, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("context", "finals long, told long, topic string")
+        self.state = handle.getValueState("context", "finals long, told long, topic string", ttlDurationMs=self.idle_ms)
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         finals, told, topic = self.state.get() if self.state.exists() else (0, -1, v.FIRST_TOPIC)
         out = []
         for e in _sorted(rows, _ORDER).to_dict("records"):
@@ -110,7 +124,7 @@ class _SignalState(StatefulProcessor):
         pass
 
 
-def signals_stream(events: DataFrame, context_turns: int = v.CONTEXT_TURNS, rules=v.SIGNAL_RULES) -> DataFrame:
+def signals_stream(events: DataFrame, context_turns: int = v.CONTEXT_TURNS, rules=v.SIGNAL_RULES, idle_ms: int | None = None) -> DataFrame:
     """Matching is stateless and stays on the JVM; the state only decides which
     matches stand."""
     hits = rule_hits(F.col("text"), F.col("speaker"), F.lit(False), rules)
@@ -119,7 +133,8 @@ def signals_stream(events: DataFrame, context_turns: int = v.CONTEXT_TURNS, rule
         F.when(F.col("is_final"), topic_of("text")).alias("topic"), F.col("text").rlike("(?iuU)" + v.DISCLOSURE_PATTERN).alias("says"))
     gated = [r[0] for r in rules if r[5]]
     return prepared.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_SignalState(context_turns, gated, len(rules)), outputStructType=SIGNAL, outputMode="Append", timeMode="None")
+        statefulProcessor=_SignalState(context_turns, gated, len(rules), idle_ms), outputStructType=SIGNAL, outputMode="Append",
+        timeMode="ProcessingTime" if idle_ms else "None")
 
 
 # --- nudges ------------------------------------------------------------------
@@ -136,7 +151,7 @@ class _NudgeState(StatefulProcessor):
         self.until = handle.getMapState("until", "signal_type string", "at double")
         self.fired = handle.getMapState("fired", "signal_type string, rule string", "at double")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         out = []
         for s in _sorted(rows, [*_ORDER, "rule_order"]).to_dict("records"):
             kind, rule = s["signal_type"], s["rule_name"] or s["signal_type"]
@@ -151,19 +166,22 @@ class _NudgeState(StatefulProcessor):
                 expires = state["until"]
                 self.until.updateValue((kind,), (expires,))
                 self.fired.updateValue((kind, rule), (s["timestamp"],))
-                self.handle.registerTimer(int((expires + ORIGIN_SECONDS) * 1000))
+                for end in {expires, s["timestamp"] + self.policy.cooldown_of(kind)}:  # when either memory can go
+                    self.handle.registerTimer(int((end + ORIGIN_SECONDS) * 1000))
             out.append({**s, "decision": decision, "expires_at": expires})
         yield pd.DataFrame(out, columns=[f.split()[0] for f in DECISION.split(", ")])
 
-    def handleExpiredTimer(self, key, timer_values, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """Event time has passed a nudge's validity: report it and forget it."""
-        now = expired.getExpiryTimeInMs() / 1000.0 - ORIGIN_SECONDS
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000.0 - ORIGIN_SECONDS
         gone = [(k[0], at[0]) for k, at in self.until.iterator() if at[0] <= now]
         for kind, _ in gone:
             self.until.removeKey((kind,))
+        for k in [k for k, at in self.fired.iterator() if at[0] + self.policy.cooldown_of(k[0]) <= now]:
+            self.fired.removeKey(tuple(k))
         columns = [f.split()[0] for f in DECISION.split(", ")]
-        yield pd.DataFrame([{"session_id": key[0], "timestamp": at, "signal_type": kind, "decision": "expired", "expires_at": at}
-                            for kind, at in gone], columns=columns)
+        known = [{"session_id": key[0], "timestamp": at, "signal_type": kind, "decision": "expired", "expires_at": at} for kind, at in gone]
+        yield pd.DataFrame([[x.get(c) for c in columns] for x in known], columns=columns, dtype=object)
 
     def close(self) -> None:
         pass
@@ -196,13 +214,14 @@ def slices(chunks: DataFrame, width: str = "500 milliseconds") -> DataFrame:
 
 
 class _Conversation(StatefulProcessor):
-    def __init__(self):
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
         self.moves = {a: frozenset(b) for a, b in v.STATE_MOVES.items()}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string")
+        self.state = handle.getValueState("state", "state string", ttlDurationMs=self.idle_ms)
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         current = self.state.get()[0] if self.state.exists() else "GREETING"
         out = []
         for r in _sorted(rows, ["seq"]).to_dict("records"):
@@ -218,10 +237,10 @@ class _Conversation(StatefulProcessor):
         pass
 
 
-def conversation_states(requests: DataFrame) -> DataFrame:
+def conversation_states(requests: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Transition log of each live session; an invalid request changes nothing."""
     return requests.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Conversation(), outputMode="Append", timeMode="None",
+        statefulProcessor=_Conversation(idle_ms), outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None",
         outputStructType="session_id long, seq long, from_state string, to_state string, state_after string, valid boolean")
 
 
