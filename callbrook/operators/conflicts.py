@@ -50,6 +50,18 @@ def conflict_counts(records: DataFrame, require_digit: bool = False) -> DataFram
     return out.filter(F.col("amount_conflicts") + F.col("version_conflicts") > 0)
 
 
+def conflict_rows(records: DataFrame, require_digit: bool = False) -> DataFrame:
+    """One row per record and kind of conflict: what the record says, how many records of its topic say otherwise, and how
+    grave that is.  Partners are counted, not listed."""
+    counts = conflict_counts(records, require_digit)
+    said = with_amounts(records, require_digit).select("record_id", "category", "version", "amounts").join(counts, "record_id")
+    kinds = F.array(
+        F.struct(F.concat("category", F.lit(".amounts")).alias("field"), F.col("amounts").cast("string").alias("value"), F.lit("medium").alias("severity"),
+                 F.col("amount_conflicts").alias("partners")),
+        F.struct(F.lit("version").alias("field"), F.col("version").alias("value"), F.lit("low").alias("severity"), F.col("version_conflicts").alias("partners")))
+    return said.select("record_id", F.explode(kinds).alias("k")).filter("k.partners > 0").select("record_id", "k.*", F.lit("unresolved").alias("status"))
+
+
 def conflict_values(records: DataFrame, require_digit: bool = False) -> DataFrame:
     """The disagreeing statements of each topic: any two rows of a topic that
     come from different sources are one conflict, unresolved."""

@@ -23,6 +23,8 @@ from callbrook.operators.carry import broadcast_if_small, is_small
 
 SMALL_QUERY_ROWS = 200_000     # exploded query terms that may be broadcast
 QUERY_BLOCK = 20_000           # query vectors held by one scoring task (60 MB)
+TILE = 256                     # queries scored at once: 20 MB for an Arrow batch of 10 000 rows
+BROADCAST_BYTES = 64 << 20     # of candidates with their query's text and features
 RANK_PLACES = 9
 
 
@@ -206,11 +208,13 @@ def nearest(vectors_df: DataFrame, key: str, vector: str, query_ids: list, matri
                 continue
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            sims = np.clip(flat.reshape(batch.num_rows, -1) @ matrix.T, -1.0, 1.0)
-            rows, cols = _best_per_batch(batch.column(0), sims, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([query_ids[j] for j in cols]), batch.column(0).take(pa.array(rows)),
-                 pa.array(sims[rows, cols])], ["query_id", "chunk_id", "dense_score"])
+            flat = flat.reshape(batch.num_rows, -1)
+            for at in range(0, len(matrix), TILE):
+                sims = np.clip(flat @ matrix[at:at + TILE].T, -1.0, 1.0)
+                rows, cols = _best_per_batch(batch.column(0), sims, n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([query_ids[at + j] for j in cols]), batch.column(0).take(pa.array(rows)),
+                     pa.array(sims[rows, cols])], ["query_id", "chunk_id", "dense_score"])
 
     key_type = vectors_df.schema[key].dataType.simpleString()
     found = vectors_df.select(key, vector).mapInArrow(
@@ -349,12 +353,13 @@ def rerank(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, n: int,
            numeric: float = v.RERANK_NUMERIC, coverage: float = v.RERANK_COVERAGE) -> DataFrame:
     """Best ``n`` candidates per query by half fused score, half lexical boost.
 
-    A query brings at most ``6 * n`` candidates (two lists of ``3 * n``), so
-    counting queries bounds them; when few they are sent to the chunk table
-    rather than the chunk table to them.
+    A query brings at most ``6 * n`` candidates (two lists of ``3 * n``), each with the query's text and its features, which
+    are about four times as long.  When all that fits ``BROADCAST_BYTES`` the candidates are sent to the chunk table, otherwise
+    both are shuffled.
     """
     few = candidates.join(query_features(queries), "query_id")
-    if is_small(queries, SMALL_QUERY_ROWS // (6 * n)):
+    size = queries.agg(F.sum(200 + 5 * F.octet_length("query"))).first()[0] or 0
+    if 6 * n * size <= BROADCAST_BYTES:
         few = F.broadcast(few)
     joined = chunks.join(few, "chunk_id")
     body, stop = F.lower("content"), string_array(v.STOPWORDS)

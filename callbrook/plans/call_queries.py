@@ -242,11 +242,13 @@ def tumbling_slices(spark, sf):
 
 
 def audio_slices(spark, sf):
-    """Half-second slices of each call with their sequence and cumulative start."""
-    t = turns(spark, sf)
-    n = F.greatest(F.lit(1), F.size(F.split("text", " ")))
-    s = t.select("session_id", "chunk_sequence", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return s.groupBy("session_id").agg(F.count("*").alias("chunk_count"), F.sum(F.lit(500.0)).alias("duration_ms"))
+    """Half-second slices with activity per user of the stored events, and the time they cover."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.floor(epoch_seconds("ts") * 2).alias("slice")).distinct()
+    return e.groupBy("session_id").agg(F.count("*").alias("chunk_count"), F.sum(F.lit(500.0)).alias("duration_ms"))
+
+
+def call_transcript(spark, sf):
+    return c.call_transcript(_call_turns(spark, sf)).select("call_id", "turn", "role", "text")
 
 
 def _asked(spark, sf):
@@ -373,7 +375,7 @@ def retryable_errors(spark, sf):
 QUERIES = {f.__name__: f for f in (
     transcript_events, topic_shift, disclosure_gap, rule_signals, nudges_greedy, nudges_of_events, expired_nudges,
     latency_summary, session_stats, tumbling_slices, audio_slices, transition_audit, final_states, event_log_sanitize,
-    event_log_map, last_user_query, rolling_context, call_summary, escalation_extract, fallback_extract, lead_upsert, lead_notes,
+    event_log_map, last_user_query, rolling_context, call_summary, escalation_extract, fallback_extract, call_transcript, lead_upsert, lead_notes,
     provider_health, fallback_outcome, retryable_errors,
 )}
 
@@ -418,7 +420,8 @@ ORACLE = {
       FROM (SELECT session_id, count(*) AS n, count(*) FILTER (is_final) AS f FROM events GROUP BY 1) e
       LEFT JOIN (SELECT session_id, count(*) AS n, count(*) FILTER (decision = 'emitted') AS emitted FROM decided GROUP BY 1) s USING (session_id)""",
     "tumbling_slices": "SELECT event_type, epoch_us(ts) // 500000 * 500000 AS slice_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
-    "audio_slices": _with(SQL_TURNS) + " SELECT session_id, CAST(sum(greatest(1, len(string_split(text, ' ')))) AS BIGINT) AS chunk_count, CAST(sum(greatest(1, len(string_split(text, ' ')))) * 500.0 AS DOUBLE) AS duration_ms FROM turns GROUP BY 1",
+    "audio_slices": "SELECT user_id AS session_id, count(DISTINCT floor(epoch_us(ts) / 500000.0)) AS chunk_count, CAST(count(DISTINCT floor(epoch_us(ts) / 500000.0)) * 500.0 AS DOUBLE) AS duration_ms FROM events GROUP BY 1",
+    "call_transcript": _with(SQL_TURNS) + " SELECT session_id AS call_id, chunk_sequence AS turn, role, text FROM turns",
     "transition_audit": _with(SQL_ASKED, "a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM asked)",
                               f"s AS (SELECT session_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::VARCHAR AS from_state, NULL::VARCHAR AS to_state, 'GREETING' AS state FROM a GROUP BY 1 "
                               f"UNION ALL SELECT a.session_id, a.rn, a.seq, s.state, a.to_state, {_STEP} FROM s JOIN a ON a.session_id = s.session_id AND a.rn = s.rn + 1)",

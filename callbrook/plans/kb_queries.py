@@ -261,6 +261,10 @@ def conflicts(spark, sf):
     return cf.conflict_counts(_conflict_records(spark, sf))
 
 
+def conflict_rows(spark, sf):
+    return cf.conflict_rows(_conflict_records(spark, sf))
+
+
 def conflict_values(spark, sf):
     return cf.conflict_values(_conflict_records(spark, sf)).select(
         "category", "amounts", "n_records", "n_sources")
@@ -320,7 +324,7 @@ def html_headings(spark, sf):
 QUERIES = {f.__name__: f for f in (
     source_types, source_registration, csv_scan, json_records, duplicate_sources, latest_source_by_hash, text_elements, table_rendering,
     clean_elements, section_records, extraction_diagnostics, ingest_report, ingest_totals, terminology_normalize,
-    pii_email_mask, pii_type_counts, pii_spans, validate_records, amount_sets, conflicts, conflict_values,
+    pii_email_mask, pii_type_counts, pii_spans, validate_records, amount_sets, conflicts, conflict_rows, conflict_values,
     content_hashes, exact_dups_chain, near_dups, duplicate_targets, html_page_elements, html_headings,
 )}
 
@@ -395,6 +399,12 @@ ORACLE = {
         count(*) FILTER (a.version <> b.version) AS version_conflicts
       FROM recs a JOIN recs b ON a.category = b.category AND a.source_id <> b.source_id GROUP BY a.record_id
       HAVING amount_conflicts + version_conflicts > 0""",
+    "conflict_rows": _with(SQL_CONFLICT, """
+      n AS (SELECT a.record_id, a.category, a.version, a.amounts, count(*) FILTER (a.has AND b.has AND a.amounts <> b.amounts) AS by_amount,
+        count(*) FILTER (a.version <> b.version) AS by_version
+        FROM recs a JOIN recs b ON a.category = b.category AND a.source_id <> b.source_id GROUP BY ALL)""") + """
+      SELECT record_id, category || '.amounts' AS field, amounts AS value, 'medium' AS severity, by_amount AS partners, 'unresolved' AS status FROM n WHERE by_amount > 0
+      UNION ALL SELECT record_id, 'version', version, 'low', by_version, 'unresolved' FROM n WHERE by_version > 0""",
     "conflict_values": _with(SQL_CONFLICT) + """
       SELECT category, amounts, count(*) AS n_records, count(DISTINCT source_id) AS n_sources FROM recs WHERE has
         AND category IN (SELECT category FROM recs WHERE has GROUP BY 1 HAVING count(DISTINCT amounts) > 1 AND count(DISTINCT source_id) > 1) GROUP BY ALL""",
