@@ -22,8 +22,8 @@ SYMBOLS, WINDOW = "#*$%&|<>", 8
 #: measure: (numerator, denominator, least distance of the upper fence, least distance of the lower one or None)
 MEASURES = {
     "symbols": ("1000 * n_symbols", "n_words", 50, None),
-    "dup_lines": ("1000 * n_dup_lines", "n_lines", 100, None),
-    "repeats": ("1000 * n_repeat_words", "n_words", 100, None),
+    "dup_lines": ("1000 * n_dup_lines", "n_lines", 350, None),
+    "repeats": ("1000 * n_repeat_words", "n_words", 250, None),
     "word_length": ("100 * word_chars", "n_words", 150, 150),
 }
 #: Thousandths of words, lines and words, and hundredths of code points.
