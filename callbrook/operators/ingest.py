@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from callbrook.functions.text import (
     content_hash, dashed_dates, is_blank, matches_any, stable_id, strip, tidy_whitespace,
 )
 from callbrook.operators.carry import Running, previous, running, runs
+from callbrook.operators.ranking import ranked
 
 SEGMENT = 4096  # consecutive rows of one source handled by one window task
 
@@ -124,14 +127,20 @@ def extraction_diagnostics(elements: DataFrame) -> DataFrame:
     return per_source.withColumn("garbage_ratio", ratio).withColumn("status", status).drop("garbage")
 
 
+def placed_in_key(df: DataFrame, name: str, key: str, order: Sequence[str]) -> DataFrame:
+    """Add ``place``: the segment of full length in which a row lies when all rows are sorted by key and order.  Whatever numbers
+    the order has, a key with a third of all rows is cut into as many segments as its rows fill."""
+    return ranked(df, name, key, *order).withColumn("place", F.floor(F.col("rank") / SEGMENT)).drop("rank")
+
+
 def duplicate_sources(sources: DataFrame, order: str = "seq") -> DataFrame:
     """Previous registration of the same bytes (each copy points one back).
 
     Copies are chained through the segmented scan, so a hash shared by a third
     of all sources is still spread over tasks.
     """
-    return previous(sources, ["content_hash"], [order], F.floor(F.col(order) / SEGMENT),
-                    "previous_source_id", F.col("source_id"))
+    placed = placed_in_key(sources, "sources", "content_hash", [order])
+    return previous(placed, ["content_hash"], [order], F.col("place"), "previous_source_id", F.col("source_id")).drop("place")
 
 
 def latest_by_hash(sources: DataFrame, order: str = "seq") -> DataFrame:
@@ -165,11 +174,11 @@ def ingest_totals(report: DataFrame) -> DataFrame:
     )
 
 
-def exact_duplicate_chain(records: DataFrame, seq: str = "seq") -> DataFrame:
-    """Previous copy (chain) and first copy (canonical) of equal content."""
-    keyed = records.withColumn("dup_hash", content_hash("content"))
-    chained = running(keyed, ["dup_hash"], [seq], F.floor(F.col(seq) / SEGMENT), [
+def exact_duplicate_chain(records: DataFrame, order: Sequence[str] = ("seq",)) -> DataFrame:
+    """Previous copy (chain) and first copy (canonical) of equal content; ``order`` is total."""
+    placed = placed_in_key(records.withColumn("dup_hash", content_hash("content")), "chain", "dup_hash", order)
+    chained = running(placed, ["dup_hash"], list(order), F.col("place"), [
         Running("exact_of", "last", F.col("record_id")),
-        Running("__first_seq", "min", F.struct(F.col(seq), F.col("record_id"))),
+        Running("__first", "min", F.struct(*order, "record_id")),
     ])
-    return chained.withColumn("canonical_id", F.col("__first_seq.record_id")).drop("__first_seq")
+    return chained.withColumn("canonical_id", F.col("__first.record_id")).drop("__first", "place")

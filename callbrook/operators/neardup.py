@@ -199,7 +199,7 @@ def duplicate_of(records: DataFrame, edges: DataFrame, seq: str = "seq") -> Data
     earliest near match.  Only a content's first record lacks an equal copy."""
     from callbrook.operators.ingest import exact_duplicate_chain
     earliest = edges.filter("earlier_cid < new_cid").groupBy("new_id").agg(F.min_by("earlier_id", "earlier_cid").alias("near_of"))
-    chain = exact_duplicate_chain(records, seq).select("record_id", "exact_of")
+    chain = exact_duplicate_chain(records, [seq]).select("record_id", "exact_of")
     out = chain.join(earliest, chain.record_id == earliest.new_id, "left")
     return out.select("record_id", F.coalesce("exact_of", "near_of").alias("duplicate_of")).filter("duplicate_of IS NOT NULL")
 

@@ -162,8 +162,7 @@ def _record_quality(kept):
     """Finished records: terms normalised, e-mail masked, hashed, chained, flagged."""
     r = g.section_records(kept).withColumn("content", q.normalize_terms("content"))
     r = r.withColumn("pii_count", q.pii_type_counts("content")["email"]) \
-        .withColumn("content", q.mask_emails("content")) \
-        .withColumn("seq", F.col("source_id") * 1_000_000 + F.col("section_start"))
+        .withColumn("content", q.mask_emails("content"))
     return r.withColumn("flags", q.validation_flags("title", "source_id", "content"))
 
 
@@ -172,7 +171,7 @@ def ingest_report(spark, sf):
     need them anyway, and the report is read off them."""
     elements = written(g.clean_elements(line_elements(spark, sf)), "elements")
     records = written(_record_quality(elements.filter("removal_reason IS NULL")), "records")
-    return g.processing_report(elements, g.exact_duplicate_chain(records))
+    return g.processing_report(elements, g.exact_duplicate_chain(records, ["source_id", "section_start"]))
 
 
 def ingest_totals(spark, sf):

@@ -162,3 +162,18 @@ def test_chunk_rows(spark):
     rows = chunk_records(df).orderBy("chunk_index").collect()
     assert [r["chunk_index"] for r in rows] == list(range(rows[0]["total_chunks"])) and rows[0]["section"] == "T"
     assert all(r["char_count"] == len(r["content"]) and r["token_count"] == max(1, int(len(r["content"].split()) * 1.3)) for r in rows)
+
+
+def test_a_hot_hash_is_cut_into_segments(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "SEGMENT", 64)
+    rows = [(str(k), 1_000_003 * (k * 7919 % 3001), "hot" if k % 3 == 0 else f"text {k % 700}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "record_id string, seq long, content string")
+    got = {r.record_id: (r.exact_of, r.canonical_id) for r in ingest.exact_duplicate_chain(df).collect()}
+    last, first, want = {}, {}, {}
+    for i, _, text in sorted(rows, key=lambda r: r[1]):
+        want[i] = (last.get(text), first.get(text))
+        first.setdefault(text, i)
+        last[text] = i
+    assert got == want
+    hot = ingest.placed_in_key(df, "test", "content", ["seq"]).filter("content = 'hot'").groupBy("place").count().collect()
+    assert len(hot) >= 15 and max(r["count"] for r in hot) <= 64
