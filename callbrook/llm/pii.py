@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -339,8 +340,11 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", sure: floa
         base = base_spans(t)
         added = []
         if shared.value is not None:
+            placed = sorted(x[1:] for x in base)
+            starts, longest = [x[0] for x in placed], max((e - s for s, e in placed), default=0)
             for s, e in regions(t):
-                added += [x for x in shared.value.spans(t, s, e, sure) if all(x[2] <= b[1] or b[2] <= x[1] for b in base if b[1] < e and s < b[2])]
+                near = placed[bisect_left(starts, s - longest):bisect_left(starts, e)]
+                added += [x for x in shared.value.spans(t, s, e, sure) if all(x[2] <= b[0] or b[1] <= x[1] for b in near)]
         listed = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
         both = sorted({*base, *added}, key=lambda x: (TYPES.index(x[0]), x[1], x[2]))
         count = [sum(b[0] == k for b in base) for k in KINDS]
