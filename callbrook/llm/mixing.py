@@ -126,15 +126,19 @@ def _settle(root: bool, change: int):
 
 
 def copies(units: DataFrame, bucket: int = BUCKET, fan: int = FAN, change: int = CHANGE, seed: int = 17) -> DataFrame:
-    """``__row, __copies`` for rows ``__row, __place, __size, __rate, __n`` (``__n``: the documents of the row's source)."""
-    spark, whole = units.sparkSession, F.floor("__rate")
+    """``__row, __copies`` for rows ``__row, __h, __place, __size, __rate, __n``: ``__h`` is a hash of the row's id and content, on
+    which its draw depends however rows are numbered, and ``__n`` the documents of its source."""
+    whole = F.floor("__rate")
     top = units.agg(F.max("__n")).first()[0] or 0
-    draw = F.shiftrightunsigned(F.xxhash64("__row", F.lit(seed)), 11) * F.lit(2.0 ** -53)
+    # rows alike in id and content that would overfill a bucket are told apart by their numbers; of others the numbers do not matter
+    many = written(units.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("__h", F.lit(True).alias("__many")), "many")
+    units = units.join(many, "__h", "left").withColumn("__h", F.when(F.col("__many"), F.xxhash64("__h", "__row")).otherwise(F.col("__h")))
+    draw = F.shiftrightunsigned(F.xxhash64("__h", F.lit(seed)), 11) * F.lit(2.0 ** -53)
     units = units.withColumns({"__u": draw, "__whole": whole, "__f": F.col("__rate") - whole})
     blank = F.col("__size") == 0
     units = units.withColumns({
         "__p": F.when(blank, (F.col("__u") < F.col("__f")).cast("double")).otherwise(F.col("__f")),
-        "__bucket": F.pmod(F.xxhash64("__row", F.lit(seed + 1)), F.ceil(F.col("__n") / bucket)), "__spare": F.lit(False)})
+        "__bucket": F.pmod(F.xxhash64("__h", F.lit(seed + 1)), F.ceil(F.col("__n") / bucket)), "__spare": F.lit(False)})
     names = [c.split()[0] for c in UNIT.split(", ")]
     fixed = [units.filter(F.col("__p").isin(0.0, 1.0)).select("__row", "__p")]
     loose, buckets = units.filter(~F.col("__p").isin(0.0, 1.0)).select(*names), -(-top // bucket)
@@ -156,16 +160,16 @@ def copies(units: DataFrame, bucket: int = BUCKET, fan: int = FAN, change: int =
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, text: str = "text",
-        source: str = "source", columns: Sequence[str] = (), seed: int = 17) -> DataFrame:
+        source: str = "source", columns: Sequence[str] = (), seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """Each document with ``size, source_size, target, copies``; ``columns`` of the input are kept beside them."""
     keep = [c for c in columns if c.lower() not in ("size", "source_size", "target", "copies")]
     base = docs.select(*(F.col(c).alias(f"in_{k}") for k, c in enumerate(keep)), F.col(source).alias("__source"),
-                       F.size(words(F.col(text))).cast("long").alias("size"))
+                       F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(id_col, text).alias("__h"))
     base = written(base.withColumn("__row", F.monotonically_increasing_id()), "sized")
     goal = targets(base, weights, share, most, "__source")
-    rated = base.select("__row", "__source", F.col("size").cast("double").alias("__size")) \
+    rated = base.select("__row", "__h", "__source", F.col("size").cast("double").alias("__size")) \
         .join(goal.withColumnRenamed("source", "__of"), F.col("__source").eqNullSafe(F.col("__of")))
-    rated = written(rated.select("__row", F.col("place").cast("long").alias("__place"), "__size", F.col("n_docs").alias("__n"),
+    rated = written(rated.select("__row", "__h", F.col("place").cast("long").alias("__place"), "__size", F.col("n_docs").alias("__n"),
                                  F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"),
                                  "source_size", "target"), "rated")
     drawn = copies(rated.drop("source_size", "target"), seed=seed)

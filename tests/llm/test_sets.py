@@ -264,3 +264,11 @@ def test_pipeline_takes_awkward_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "")
             docs = spark.createDataFrame(docs.collect(), docs.schema)
+
+
+def test_repeated_rows_share_no_overfull_bucket(spark):
+    docs = spark.createDataFrame([(1, "same words here", "s")] * 300 + [(k, "other words", "t") for k in range(2, 60)], "doc_id long, text string, source string")
+    base = docs.select(F.monotonically_increasing_id().alias("__row"), F.xxhash64("doc_id", "text").alias("__h"), F.lit(0).cast("long").alias("__place"),
+                       F.lit(3.0).alias("__size"), F.lit(0.5).alias("__rate"), F.lit(358).cast("long").alias("__n"))
+    got = mixing.copies(mixing.written(base, "units"), bucket=16, fan=4, change=2).collect()
+    assert len(got) == 358 and abs(sum(r["__copies"] for r in got) - 179) <= 1
