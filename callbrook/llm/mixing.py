@@ -5,7 +5,8 @@ settled in pairs: words move from one document to the other until one of the two
 every document's expectation, and the other document meets the next.  Words are conserved at each step.  A bucket of a source
 leaves one unsettled document and, kept aside as small change, a few others; these meet the leftovers of other buckets in a tree of
 bounded fan-in.  At a source's root a large document is settled against the small change as a whole, so that the last
-rounding error is that of a small document.
+rounding error is that of a small document.  Units are ordered by one hash and drawn by another, fresh at each level, so that
+neighbours in a bucket do not share their draws, nor do repeated rows.
 
 Defined results: a null or blank text has size 0 and is copied by its own draw; a null source is a source of its own, ordered last;
 null and repeated ids and repeated rows are separate documents; an empty table gives an empty table.  Reruns over the same
@@ -26,7 +27,7 @@ from callbrook.operators.ranking import ranked
 from callbrook.session import written
 
 BUCKET, FAN, CHANGE = 4096, 64, 64
-UNIT = "__row long, __place long, __bucket long, __size double, __p double, __u double, __spare boolean"
+UNIT = "__row long, __h long, __place long, __bucket long, __size double, __p double, __order long, __spare boolean"
 
 
 def sizes_of(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -109,10 +110,25 @@ def _root(size, p, u):
     return back
 
 
-def _settle(root: bool, change: int):
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _draws(h: np.ndarray, nth: np.ndarray, seed: int, level: int) -> np.ndarray:
+    """Draws in [0, 1) by hash, occurrence of the hash, seed and level."""
+    x = h.astype(np.int64).view(np.uint64)
+    for salt in (np.full(1, seed), np.full(1, level), nth):
+        x = _mixed(x + (salt.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    return (x >> np.uint64(11)) * 2.0 ** -53
+
+
+def _settle(root: bool, change: int, seed: int, level: int):
     def settle(units: pd.DataFrame) -> pd.DataFrame:
-        units = units.sort_values(["__u", "__row"], kind="stable").reset_index(drop=True)
-        size, p, u = (units[c].to_numpy(float).copy() for c in ("__size", "__p", "__u"))
+        units = units.sort_values(["__order", "__row"], kind="stable").reset_index(drop=True)
+        size, p = (units[c].to_numpy(float).copy() for c in ("__size", "__p"))
+        u = _draws(units["__h"].to_numpy(), units.groupby("__h").cumcount().to_numpy(), seed, level)
         spare = np.zeros(len(units), bool)
         if root:
             p = _root(size, p, u)
@@ -133,23 +149,24 @@ def copies(units: DataFrame, bucket: int = BUCKET, fan: int = FAN, change: int =
     # rows alike in id and content that would overfill a bucket are told apart by their numbers; of others the numbers do not matter
     many = written(units.groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket).select("__h", F.lit(True).alias("__many")), "many")
     units = units.join(many, "__h", "left").withColumn("__h", F.when(F.col("__many"), F.xxhash64("__h", "__row")).otherwise(F.col("__h")))
-    draw = F.shiftrightunsigned(F.xxhash64("__h", F.lit(seed)), 11) * F.lit(2.0 ** -53)
-    units = units.withColumns({"__u": draw, "__whole": whole, "__f": F.col("__rate") - whole})
+    draw = F.shiftrightunsigned(F.xxhash64("__h", F.lit(seed + 2)), 11) * F.lit(2.0 ** -53)
+    units = units.withColumns({"__u": draw, "__order": F.xxhash64("__h", F.lit(seed)), "__whole": whole, "__f": F.col("__rate") - whole})
     blank = F.col("__size") == 0
     units = units.withColumns({
         "__p": F.when(blank, (F.col("__u") < F.col("__f")).cast("double")).otherwise(F.col("__f")),
         "__bucket": F.pmod(F.xxhash64("__h", F.lit(seed + 1)), F.ceil(F.col("__n") / bucket)), "__spare": F.lit(False)})
     names = [c.split()[0] for c in UNIT.split(", ")]
     fixed = [units.filter(F.col("__p").isin(0.0, 1.0)).select("__row", "__p")]
-    loose, buckets = units.filter(~F.col("__p").isin(0.0, 1.0)).select(*names), -(-top // bucket)
+    loose, buckets, level = units.filter(~F.col("__p").isin(0.0, 1.0)).select(*names), -(-top // bucket), 0
     while top:
         root = buckets <= 1
-        done = loose.groupBy("__place", "__bucket").applyInPandas(_settle(root, change), UNIT)
+        done = loose.groupBy("__place", "__bucket").applyInPandas(_settle(root, change, seed, level), UNIT)
         if root:
             fixed.append(done.select("__row", "__p"))
             break
         done = written(done, "mix")
         fixed.append(done.filter(F.col("__p").isin(0.0, 1.0)).select("__row", "__p"))
+        level += 1
         loose = done.filter(~F.col("__p").isin(0.0, 1.0)).withColumn("__bucket", F.floor(F.col("__bucket") / fan))
         buckets = -(-buckets // fan)
     settled = fixed[0]
