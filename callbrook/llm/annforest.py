@@ -2,8 +2,9 @@
 
 Each tree gives every vector a string of 64 hash bits (signs of orthogonal projections) and keeps the vectors sorted by it.  In a
 sorted array the neighbours of a query are its longest prefix matches; going outward from its place ascends to shorter and shorter
-prefixes.  All trees ascend together by the same number of places, ``reach``.  The arrays are cut into cells of consecutive places
-with margins of ``reach`` on either side, so a query finds all its candidates in one cell of each tree and only its best ones leave it.
+prefixes.  All trees ascend together by the same number of places, ``reach``.  The arrays are cut into cells of a fixed number
+of consecutive places; blocks of queries travel to the cells they reach, and only the best candidates of each cell leave it, so a
+group's size does not grow with the reach.
 After a search the recall of a bounded number of queries is measured against brute force over all rows; while it is below
 ``recall`` all trees ascend further.
 
@@ -82,7 +83,7 @@ def arrays(pts: DataFrame, trees: int, seed: int) -> DataFrame:
 
     types = dict(pts.dtypes)
     made = pts.select("rep", "v", "asks").mapInArrow(hashes, f"tree int, key long, rep long, v {types['v']}, asks {types['asks']}")
-    return ranked(made, "arrays", "tree", "key", "rep")
+    return ranked(made, "arrays", "tree", "key", F.xxhash64("rep", "tree"), "rep")  # equal keys lie in another order in each tree
 
 
 def _best(score: np.ndarray, reps: np.ndarray, k: int) -> np.ndarray:
@@ -95,20 +96,34 @@ def _best(score: np.ndarray, reps: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((reps[near], -score[near]))][:k]
 
 
-def search(sorted_arrays: DataFrame, reach: int, cell: int, k: int) -> DataFrame:
-    """``q, c, score``: for each asking point the best candidates of each tree within ``reach`` places."""
-    size = max(cell, reach)
+def asked(sorted_arrays: DataFrame, cell: int) -> DataFrame:
+    """The asking points of all trees, in blocks of ``cell`` in the order of the arrays."""
+    asking = sorted_arrays.filter("asks").select("tree", "rep", "v", F.col("rank").alias("place"))
+    return ranked(asking, "asked", "place").select("tree", "rep", "v", "place", F.floor(F.col("rank") / cell).alias("block"))
 
+
+def groups(sorted_arrays: DataFrame, asking: DataFrame, n: int, reach: int, cell: int) -> DataFrame:
+    """``cell, block, tree, rank, rep, v, asks``: each block of queries with each cell of points that one of its queries reaches.
+    A group holds at most ``cell`` queries and ``cell`` points, however far queries reach."""
+    first, last = F.col("tree") * F.lit(n).cast("long"), (F.col("tree") + 1) * F.lit(n).cast("long") - 1  # of the tree's places
+    met = F.sequence(F.floor(F.greatest(F.col("place") - reach, first) / cell), F.floor(F.least(F.col("place") + reach, last) / cell))
+    visits = asking.withColumn("cell", F.explode(met))
+    pairs = visits.select("cell", "block").distinct()
+    held = sorted_arrays.withColumn("cell", F.floor(F.col("rank") / cell)).join(pairs, "cell")
+    return held.select("cell", "block", "tree", "rank", "rep", "v", F.lit(False).alias("asks")) \
+        .union(visits.select("cell", "block", "tree", "place", "rep", "v", F.lit(True)))
+
+
+def search(sorted_arrays: DataFrame, asking: DataFrame, n: int, reach: int, cell: int, k: int) -> DataFrame:
+    """``q, c, score``: for each asking point the best candidates of each cell within ``reach`` places of its tree."""
     def in_cell(key: tuple, table: pa.Table) -> pa.Table:
-        number = key[0].as_py()
         tree, rank, rep, asks = (table[c].to_numpy() for c in ("tree", "rank", "rep", "asks"))
         m = _matrix(table["v"])
         norm = np.linalg.norm(m, axis=1)
-        home = asks & (rank // size == number)
         out: list[tuple] = []
-        for t in np.unique(tree[home]):
-            mine = np.flatnonzero(tree == t)
-            ask = np.flatnonzero(home & (tree == t))
+        for t in np.unique(tree[asks]):
+            mine = np.flatnonzero(~asks & (tree == t))
+            ask = np.flatnonzero(asks & (tree == t))
             for at in range(0, len(ask), 128):
                 part = ask[at:at + 128]
                 score = (m[part] @ m[mine].T) / (norm[part][:, None] * norm[mine][None, :])
@@ -118,8 +133,7 @@ def search(sorted_arrays: DataFrame, reach: int, cell: int, k: int) -> DataFrame
         cols = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"q": pa.array(cols[0], pa.int64()), "c": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
-    cells = F.array_distinct(F.transform(F.array(F.lit(-reach), F.lit(0), F.lit(reach)), lambda s: F.floor((F.col("rank") + s) / size)))
-    return sorted_arrays.withColumn("cell", F.explode(cells)).groupBy("cell").applyInArrow(in_cell, FOUND)
+    return groups(sorted_arrays, asking, n, reach, cell).groupBy("cell", "block").applyInArrow(in_cell, FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -153,11 +167,12 @@ def neighbours(vectors: DataFrame, queries, k: int = 5, trees: int = TREES, reac
     pts = written(points(vectors, queries, k, id_col, vec_col), "points")
     n = pts.count()
     sorted_arrays = arrays(pts, trees, seed)
+    asking = asked(sorted_arrays, cell)
     some = pts.filter("asks").orderBy(F.xxhash64("rep")).limit(measured)
     truth = written(brute(pts, some, k), "truth")
     wanted = truth.count()
     while True:
-        found = written(_top(search(sorted_arrays, reach, cell, k), k), "found")
+        found = written(_top(search(sorted_arrays, asking, n, reach, cell, k), k), "found")
         hits = truth.join(found, ["q", "c"], "left_semi").count()
         if hits >= recall * wanted or reach >= n:
             break
