@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbrook.llm import annforest, langid, licenses, linededup, mixing, packing, pii, quality, simhash, urlfilter
+from callbrook.llm import alignment, annforest, langid, licenses, linededup, mixing, packing, pii, quality, simhash, urlfilter
 from callbrook.llm.common import LOWER, UPPER, documents
 from callbrook.plans import tables
 
@@ -58,7 +58,12 @@ def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, rules)[["page_id", "host", "path", "rule", "verdict"]]
 
 
-QUERIES = {f.__name__: f for f in (op1_language_bytes, op2_quality_fences, op3_mix_sources, op4_line_windows, op5_prefix_forest, op6_pack_powers, op7_simhash_vptree, op8_license_diagonals, op9_pii_segments, op10_url_trie)}
+def op12_align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_bytes, op2_quality_fences, op3_mix_sources, op4_line_windows, op5_prefix_forest, op6_pack_powers,
+                                   op7_simhash_vptree, op8_license_diagonals, op9_pii_segments, op10_url_trie, op12_align_spans)}
 
 _M = quality.MEASURES
 _BUCKET = "greatest(length(bin({v})) - 6, 0)"
