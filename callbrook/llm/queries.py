@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbrook.llm import alignment, annforest, langid, licenses, linededup, mixing, packing, pii, quality, simhash, urlfilter
+from callbrook.llm import alignment, annforest, langid, licenses, linededup, mixing, packing, pii, quality, simhash, urlfilter, warc
 from callbrook.llm.common import LOWER, UPPER, documents
 from callbrook.plans import tables
+from callbrook.session import shared_dir
 
 #: The rules of the URL query.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -62,8 +65,14 @@ def op12_align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(documents(spark, sf_dir))
 
 
+def op13_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(tables.read(spark, sf_dir, "pages"), path)
+    return warc.pages_of(warc.read_archives(spark, path))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_bytes, op2_quality_fences, op3_mix_sources, op4_line_windows, op5_prefix_forest, op6_pack_powers,
-                                   op7_simhash_vptree, op8_license_diagonals, op9_pii_segments, op10_url_trie, op12_align_spans)}
+                                   op7_simhash_vptree, op8_license_diagonals, op9_pii_segments, op10_url_trie, op12_align_spans, op13_warc_ranges)}
 
 _M = quality.MEASURES
 _BUCKET = "greatest(length(bin({v})) - 6, 0)"
@@ -171,4 +180,12 @@ SELECT p.page_id, p.host, p.path, arg_max(rule_host || rule_path, length(rule_ho
 FROM (SELECT row_number() OVER () AS n, * FROM parts) p
 LEFT JOIN rules ON (p.host = rule_host OR p.host LIKE '%.' || rule_host) AND starts_with(p.path, rule_path)
 GROUP BY p.n, p.page_id, p.host, p.path""",
+    "op13_warc_ranges": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER w AS nth, first_value(page_id) OVER w AS first_page FROM p WINDOW w AS (PARTITION BY html ORDER BY page_id NULLS LAST))
+SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+  list_reduce(list_transform(range(0, 8), lambda k: list_reduce(list_transform([15, 10, 5, 0], lambda b:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, 5 * k + 1, 5))::INT >> b) % 32 + 1, 1)), lambda x, y: x || y)), lambda x, y: x || y) AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN first_page END AS refers_to
+FROM r""",
 }
