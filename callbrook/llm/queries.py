@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbrook.llm import alignment, annforest, langid, licenses, linededup, mixing, packing, pii, quality, simhash, urlfilter, warc
+from callbrook.llm import alignment, annforest, covertree, langid, licenses, linededup, mixing, packing, pii, quality, simhash, urlfilter, warc
 from callbrook.llm.common import LOWER, UPPER, documents
 from callbrook.plans import tables
 from callbrook.session import shared_dir
@@ -61,6 +61,10 @@ def op10_url_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(pages, rules)[["page_id", "host", "path", "rule", "verdict"]]
 
 
+def op11_cover_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.quantized(tables.spread(tables.read(spark, sf_dir, "embeddings"), "vec_id"))
+
+
 def op12_align_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(documents(spark, sf_dir))
 
@@ -72,7 +76,7 @@ def op13_warc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_bytes, op2_quality_fences, op3_mix_sources, op4_line_windows, op5_prefix_forest, op6_pack_powers,
-                                   op7_simhash_vptree, op8_license_diagonals, op9_pii_segments, op10_url_trie, op12_align_spans, op13_warc_ranges)}
+                                   op7_simhash_vptree, op8_license_diagonals, op9_pii_segments, op10_url_trie, op11_cover_codes, op12_align_spans, op13_warc_ranges)}
 
 _M = quality.MEASURES
 _BUCKET = "greatest(length(bin({v})) - 6, 0)"
@@ -148,7 +152,31 @@ SELECT w.doc_id, len(words) AS n_words, coalesce(based.n, 0) AS n_base, lo AS fi
 FROM w LEFT JOIN based USING (doc_id) LEFT JOIN added USING (doc_id)"""
 
 
+def _codes_sql(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Lloyd's rounds as common table expressions; squared distances without the points' own squares, which change no order."""
+    steps = [f"c0 AS (SELECT part, rn - 1 AS e, v FROM p WHERE rn <= {entries})"]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rn, part, arg_min(e, d * {entries} + e) AS e, min(d) AS d FROM (
+  SELECT p.rn, p.part, c.e, list_inner_product(c.v, c.v) - 2 * list_inner_product(p.v, c.v) AS d FROM p JOIN c{r} c USING (part)) GROUP BY rn, part)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (
+  SELECT part, e, list(x ORDER BY i) AS v FROM (
+    SELECT part, e, i, floor(sum(v[i]) / count(*)) AS x FROM (SELECT a.part, a.e, p.v, unnest(range(1, {width + 1})) AS i FROM a{r} a JOIN p USING (rn, part)) GROUP BY part, e, i)
+  GROUP BY part, e) m USING (part, e))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rn, part, x[part * {width} + 1:part * {width} + {width}] AS v FROM k, range({parts}) t(part)),
+{", ".join(steps)},
+coded AS (SELECT rn, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(a.d + list_inner_product(p.v, p.v)) AS BIGINT) AS error
+          FROM a{rounds} a JOIN p USING (rn, part) GROUP BY rn),
+digest AS (SELECT sha256(string_agg(array_to_string(list_transform(v, lambda x: x::BIGINT), ','), ',' ORDER BY part, e)) AS h FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM k JOIN coded USING (rn), digest"""
+
+
 ORACLE = {
+    "op11_cover_codes": _codes_sql(),
     "op2_quality_fences": _quality_sql(),
     "op4_line_windows": f"""
 WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
