@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbrook.session import written
+from callbrook.session import discard, written
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges`` (``a, b``, any orderable type): the smallest node it reaches.
 
     Self-links and repeats are allowed, nulls are not links.  Rounds are written to the shared folder, so a lost executor costs
-    one round at most; their number is logarithmic in the length of the longest chain in practice.
+    one round at most, and go when the next is written; their number is logarithmic in the length of the longest chain in practice.
     """
     nodes = edges.filter("a is not null and b is not null").select("a", "b")
     e = written(nodes.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
-        before, e = mark, written(_star(e), "edges")
+        before, old, e = mark, e, written(_star(e), "edges")
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     seen = nodes.select(F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +49,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[DataFrame]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back: a table that several later
-    steps read is computed once, and losing an executor loses none of it."""
+    steps read is computed once, and losing an executor loses none of it.
+    Inside ``temporary()`` the table goes at the end, unless it is to be kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    if _scopes and not keep:
+        _scopes[-1].append(out)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table that ``written`` made and nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables written inside are removed when it ends: what leaves it must be a kept table."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for table in _scopes.pop():
+            discard(table)
