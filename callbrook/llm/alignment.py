@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from callbrook.session import written
 
 #: A block ends after so many code points; units longer than LONG are not remembered beyond their block.
 BLOCK, LONG, REMEMBERED = 1 << 24, 64, 1 << 18
-_ODD, _JOINT = re.compile(r"\s\s|^\s|\s$"), re.compile(r"(?<=\S)(?= \S)")
+_JOINT = re.compile(r"(?<=\S)(?= \S)")
 _ENCODED = ("block long, doc_id long, groups_sha256 string, n_a long, n_b long, n_groups long, n_links long, units array<int>, "
             "unit_pairs array<int>, unit_starts array<int>, a array<int>, b array<int>, c array<long>")
 _NAMES = [x.split()[0] for x in _ENCODED.split(", ")]
@@ -65,22 +66,21 @@ class Pair:
                         for i in range(self.b.get_piece_size())]
         # pieces with a space after another character would join units
         self.joins = any(re.search("[^▁]▁", piece(i)) for i in range(self.b.get_piece_size()))
+        self.digits = [str(i) + mark for ids, marks in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for mark in marks for i in range(ids)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
     def units(self, text: str) -> list[str]:
-        """``text`` with a space before it, cut before the spaces that no token crosses."""
-        if self.joins:
-            return [" " + text]
-        return [" " + w for w in text.split(" ")] if not _ODD.search(text) else _JOINT.split(" " + text)
+        """``text`` with a space before it, cut before the spaces that no token crosses; each without its space."""
+        return [u[1:] for u in _JOINT.split(" " + text)] if not self.joins else [text]
 
     def encoded(self, joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids and span ends of A, then of B, in code points of ``joined``, which begins with the space that B adds."""
         e = self.a.encode(joined, add_special_tokens=False)
         m = self.b.encode(joined[1:], return_type="offset_mapping")
-        a, b = (np.array(x, np.int64).reshape(-1, 2) for x in (e.offsets, m["offsets"]))
-        # bytes of one character: all but the last have an empty span, before it
-        end_b = np.minimum.accumulate(np.where(b[:, 0] < b[:, 1], b[:, 1], len(joined))[::-1])[::-1]
-        return np.array(e.ids, np.int64), a[:, 1], np.array(m["ids"], np.int64), end_b + 1
+        a, b = (np.fromiter([end for _, end in x], np.int64, len(x)) for x in (e.offsets, m["offsets"]))
+        # the bytes of one character: all but the last have an empty span, before it
+        b = np.minimum.accumulate(np.where(np.diff(b, prepend=0) > 0, b, len(joined))[::-1])[::-1]
+        return np.array(e.ids, np.int64), a, np.array(m["ids"], np.int64), b + 1
 
 
 def _fine_ends(spans: np.ndarray, sizes: np.ndarray, cuts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -92,18 +92,19 @@ def _fine_ends(spans: np.ndarray, sizes: np.ndarray, cuts: np.ndarray, at: np.nd
 
 
 def align(pair: Pair, units: list[str]) -> list[tuple | None]:
-    """For each unit ``(n_a, n_b, n_groups, pairs, groups)``; none where the bytes differ.  ``pairs`` has an ``a << 32 | b`` a link."""
-    joined = "".join(units)
+    """For each unit ``(n_a, n_b, n_groups, pairs, groups)``; none where the bytes differ.  ``pairs`` has an ``a << 32 | b`` a link;
+    each of the groups ends with a semicolon."""
+    joined = " " + " ".join(units)
     raw = joined.encode()
     ids_a, span_a, ids_b, span_b = pair.encoded(joined)
     bytes_a, bytes_b = [pair.a_bytes[i] for i in ids_a.tolist()], [pair.b_bytes[i] for i in ids_b.tolist()]
-    stop = np.cumsum([len(u) for u in units])
+    stop = np.cumsum([len(u) + 1 for u in units])
     if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
         if len(units) == 1:
             return [None]
         i, j = (np.searchsorted(s, stop, "right").tolist() for s in (span_a, span_b))
         good = [b"".join(bytes_a[a:c]) == x and b"".join(bytes_b[b:d]) == x for x, a, b, c, d in
-                zip((u.encode() for u in units), [0, *i], [0, *j], i, j)]
+                zip(((" " + u).encode() for u in units), [0, *i], [0, *j], i, j)]
         fine = [u for u, ok in zip(units, good, strict=True) if ok]
         found = iter(align(pair, fine) if 0 < len(fine) < len(units) else [])
         # a neighbour's change may shift spans, so the others are tried alone
@@ -113,15 +114,20 @@ def align(pair: Pair, units: list[str]) -> list[tuple | None]:
     cuts = np.intersect1d(span_a, span_b)
     cuts = cuts[cuts > 0]
     end_a, end_b = _fine_ends(span_a, pair.a_size[ids_a], cuts, at), _fine_ends(span_b, pair.b_size[ids_b], cuts, at)
-    both, either = np.intersect1d(end_a, end_b), np.union1d(end_a, end_b)
+    ends = np.sort(np.concatenate([end_a, end_b]))
+    new = np.diff(ends, prepend=-1) > 0
+    both, either = ends[~new], ends[new]
     codes = ids_a[np.searchsorted(end_a, either)] << 32 | ids_b[np.searchsorted(end_b, either)]
-    text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    i, j = (np.searchsorted(e, both, "right").tolist() for e in (end_a, end_b))
-    groups = [",".join(text_a[a:c]) + "|" + ",".join(text_b[b:d]) for a, b, c, d in zip([0, *i], [0, *j], i, j)]
+    group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
+    last_a, last_b = np.diff(group_a, append=-1) != 0, np.diff(group_b, append=-1) != 0
+    n, m = len(pair.a_bytes), len(pair.b_bytes)
+    # tokens of A with a comma or a bar, of B with a comma or a semicolon, in the order of the groups, A first
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    parts = [pair.digits[k] for k in np.concatenate([ids_a + n * last_a, 2 * n + ids_b + m * last_b])[order].tolist()]
     n_a, n_b, n_g, n_l = (np.searchsorted(e, at[stop], "right").tolist() for e in (end_a, end_b, both, either))
     out, a, b, g, k = [], 0, 0, 0, 0
     for a2, b2, g2, k2 in zip(n_a, n_b, n_g, n_l):
-        out.append((a2 - a, b2 - b, g2 - g, codes[k:k2], ";".join(groups[g:g2])))
+        out.append((a2 - a, b2 - b, g2 - g, codes[k:k2], "".join(parts[a + b:a2 + b2])))
         a, b, g, k = a2, b2, g2, k2
     return out
 
@@ -133,14 +139,20 @@ class Block:
         self.number, self.chars = number, 0
         self.of: dict[str, int] = {}
         self.found: list[tuple | None] = []
-        self.docs: list[tuple[int | None, list[int]]] = []
+        self.docs: list[tuple[int | None, np.ndarray]] = []
+        self.odd: set[str] = set()  # words that are no units, as more white space is beside them
 
     def add(self, pair: Pair, memory: dict, keys: list, texts: list) -> None:
-        cut = [pair.units(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(u for us in cut for u in us if u not in self.of))
+        cut = [t.split(" ") if t else [] for t in texts]
+        new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.of]
+        odd = {u for u in new if not u or u[0].isspace() or u[-1].isspace()} | self.odd
+        if odd or pair.joins:
+            self.odd |= odd
+            cut = [pair.units(t) if t and (pair.joins or not odd.isdisjoint(us)) else us for t, us in zip(texts, cut, strict=True)]
+            new = [u for u in dict.fromkeys(chain.from_iterable(cut)) if u not in self.of]
         unseen, size, part = [u for u in new if u not in memory], 0, []
         for u in unseen:
-            if u[1:2].isspace() or u[-1].isspace():  # at the edge of a text: no neighbours
+            if not u or u[0].isspace() or u[-1].isspace():  # at the edge of a text: no neighbours
                 memory[u] = align(pair, [u])[0]
                 continue
             part.append(u)
@@ -159,7 +171,7 @@ class Block:
         if len(memory) > REMEMBERED:
             memory.clear()
         for key, us in zip(keys, cut, strict=True):
-            self.docs.append((key, [self.of[u] for u in us]))
+            self.docs.append((key, np.fromiter(map(self.of.__getitem__, us), np.int32, len(us))))
         self.chars += sum(len(t or "") for t in texts)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -171,15 +183,16 @@ class Block:
                               ([f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [len(f[3]) for f in found]))
         starts = np.concatenate([[0], np.cumsum(n_l)])
         codes, of = np.unique(np.concatenate([f[3] for f in found] or [none[3]]), return_inverse=True)
-        holds, out = np.zeros(len(codes), np.int64), []
-        for k, (key, us) in enumerate(self.docs):
-            u = np.array(us, np.int64)
+        of = of.astype(np.int32)
+        holds, out, groups = np.zeros(len(codes), np.int64), [], [f[4] for f in found]
+        for k, (key, u) in enumerate(self.docs):
             if not len(u) or not good[u].all():
-                out.append((self.number, key, "", 0, 0, 0, 0, []))
+                out.append((self.number, key, "", 0, 0, 0, 0, u[:0]))
             else:
-                digest = hashlib.sha256(";".join([found[i][4] for i in us]).encode()).hexdigest()
-                out.append((self.number, key, digest, *(int(x[u].sum()) for x in (n_a, n_b, n_g, n_l)), u.astype(np.int32)))
-                holds[np.unique(of[slices(starts, np.unique(u))])] += 1
+                digest = hashlib.sha256("".join([groups[i] for i in u.tolist()])[:-1].encode()).hexdigest()
+                out.append((self.number, key, digest, *(int(x[u].sum()) for x in (n_a, n_b, n_g, n_l)), u))
+                held = np.sort(of[slices(starts, u)])
+                holds[held[np.diff(held, prepend=-1) > 0]] += 1
             if len(out) == 512 or k == len(self.docs) - 1:
                 yield _batch([*zip(*out, strict=True), *[[None] * len(out)] * 5])
                 out = []
