@@ -1,13 +1,19 @@
-"""Near-duplicates by Jaccard similarity of five-word shingles, complete at the threshold.
+"""Near-duplicates by Jaccard similarity of five-word shingles: SimHash and vantage points first, then complete by prefixes.
 
-A text is its set of distinct shingle hashes in ascending order; equal sets are collapsed first.  Of two sets that reach
-``similarity`` each must hold a common hash among its first ``n - ceil(similarity * n) + 1`` ones, so sets meet only under these, by
-length and place there.  Every candidate link is confirmed by the exact similarity of the whole sets before it counts.  Under each
-hash all sets first meet a few chosen centres, which joins large groups with as many pairs as rows; then sets whose components
-differ meet each other, all of them, so that the components are those of all pairs.
+A text is its set of distinct shingle hashes; equal sets are collapsed.  Every candidate link is confirmed by the exact similarity of
+the whole sets before it counts.  Candidates come in two steps:
+
+* SimHash fingerprints of the sets, searched by the vantage-point tree of ``simhash``; this joins most near copies cheaply.
+* SimHash alone misses pairs at a similarity of 0.8, so a complete search follows.  All shingles have one order, rare ones first.  Of
+  two sets that reach ``similarity`` each must hold a common shingle among its first ``n - ceil(similarity * n) + 1`` ones, so sets meet
+  only under these, by length and place there.  Under each shingle the sets first meet a chosen centre, which joins large groups with
+  as many pairs as rows; then sets whose components still differ meet each other, so that the components are those of all pairs.
+
+The order uses estimated counts of the most frequent shingles.  Any order gives the same components; a good one makes few pairs.
 
 Defined results: words are parted by ASCII white space and ASCII case is ignored; fewer words than a shingle form one shingle; null
-and blank texts have the empty set and are copies of one another; an empty table gives an empty table; other columns are kept.
+and blank texts have the empty set and are copies of one another; of repeated rows (same id and text) any one stays; an empty table
+gives an empty table; other columns are kept.
 """
 
 from __future__ import annotations
@@ -15,16 +21,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callbrook.llm import simhash
 from callbrook.operators.components import connected_components
-from callbrook.session import written
+from callbrook.session import temporary, written
 
-SHINGLE, SIMILARITY, CENTRES, SEED = 5, 0.8, 2, 42
-BLOCK = 1 << 22
+SHINGLE, SIMILARITY, CENTRES, SEED, RADIUS = 5, 0.8, 1, 42, 2
+#: A task counts so many shingles at a time and reports the most frequent ones; so many of all are put last in the order.
+COUNTED, REPORTED, FREQUENT = 1 << 22, 1 << 16, 1 << 18
+#: Tables of up to so many keys are sent to the tasks, larger ones are joined by a shuffle.
+SENT = 1 << 21
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -39,102 +48,177 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     last = min(shingle, len(w)) - 1
     digest = xxhash.xxh64_intdigest
     spans = zip((ends - lengths)[: len(w) - last].tolist(), ends[last:].tolist(), strict=True)
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64).view(np.int64))
+    h = np.sort(np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64).view(np.int64))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def first_hashes(n: int, similarity: float) -> int:
-    """How many of ``n`` ascending hashes must hold one that any set of this similarity has among its own first ones."""
+    """How many of ``n`` ordered hashes must hold one that any set of this similarity has among its own first ones."""
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def _bytes(x) -> bytes:
-    return x.as_buffer().to_pybytes() if x.is_valid else b""
+def may_reach(n, i, m, j, similarity: float):
+    """Whether sets of ``n`` and ``m`` hashes whose first common one is at ``i`` and ``j`` can reach the similarity."""
+    need = similarity * (n + m) - 1e-6
+    return ((1 + similarity) * (n - i) >= need) & ((1 + similarity) * (m - j) >= need)  # of columns and arrays alike
 
 
-def marks(text: Column, shingle: int, similarity: float) -> Column:
-    """``digest, n, first``: a digest of the whole set, its size and its first hashes."""
-    @F.arrow_udf("digest binary, n int, first array<long>")
-    def mark(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import xxhash
-        for batch in texts:
-            sets = [shingle_set(_bytes(x), shingle) for x in batch]
-            yield pa.StructArray.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()),
-                 pa.array([s[: first_hashes(len(s), similarity)] for s in sets], pa.list_(pa.int64()))], ["digest", "n", "first"])
-    return mark(text.cast("string"))
+def fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set: a bit is set if it is in over half of the hashes."""
+    bits = np.unpackbits(s.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(s), bitorder="little").view("<i8")[0])
+
+
+def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    return [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in column]
+
+
+def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent hashes, ascending, with the binary order of magnitude of their estimated counts; a bounded list."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def report():
+            h, c = np.unique(np.concatenate(held), return_counts=True)
+            top = np.flatnonzero(c >= 4)
+            if len(top) > REPORTED:
+                top = top[np.argpartition(c[top], -REPORTED)[-REPORTED:]]
+            return pa.RecordBatch.from_arrays([pa.array(h[top]), pa.array(c[top])], ["h", "c"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                held += _sets(batch.column(0).slice(at, 256), shingle)
+                n = n + sum(map(len, held[-min(256, batch.num_rows - at):]))
+                if n >= COUNTED:
+                    yield report()
+                    held, n = [], 0
+        if held:
+            yield report()
 
+    top = texts.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")) \
+        .orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()  # at most FREQUENT rows
+    h, c = top["h"].to_numpy(), top["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], np.ceil(np.log2(np.maximum(c[order], 1))).astype(np.int8)
 
-def whole_set(text: Column, shingle: int) -> Column:
+
+def marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``doc_id, key, digest, n, fp, first`` of rows ``doc_id, key, text``: a digest of the whole set, its size and its first hashes."""
+    known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs.select("text"), shingle))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+        h, level = known.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets, first = _sets(part.column(2), shingle), []
+                for s in sets:
+                    place = np.minimum(np.searchsorted(h, s), max(0, len(h) - 1))
+                    late = np.where(h[place] == s, level[place], 0) if len(h) else np.zeros(len(s), np.int8)
+                    first.append(s[np.argsort(late, kind="stable")[: first_hashes(len(s), similarity)]])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                     pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
+                     pa.array(first, pa.list_(pa.int64()))], ["doc_id", "key", "digest", "n", "fp", "first"])
+
+    return docs.mapInArrow(mark, "doc_id long, key string, digest binary, n int, fp long, first array<long>")
+
+
+def _join(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """A join with a written table, which is sent to the tasks when it is small."""
+    return df.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, shingle: int) -> DataFrame:
+    """``row, s``: whole sets of the wanted rows ``row, key``."""
     @F.arrow_udf("array<long>")
     def hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pa.array([shingle_set(_bytes(x), shingle) for x in batch], pa.list_(pa.int64()))
-    return hashes(text.cast("string"))
+            yield pa.array(_sets(batch, shingle), pa.list_(pa.int64()))
 
+    found = _unrepeated(_join(docs.select("key", "text"), wanted, "key", "inner"), repeated)
+    return written(found.select("row", hashes("text").alias("s")), "sets")
 
-def may_reach(n, i, m, j, similarity: float):
-    """Whether sets of ``n`` and ``m`` hashes whose first common one is at ``i`` and ``j`` can reach the similarity."""
-    need = similarity * (n + m) - 1e-6
-    return ((1 + similarity) * (n - i) >= need) & ((1 + similarity) * (m - j) >= need)  # of columns and arrays alike
 
+def _unrepeated(df: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row a key; only keys that are repeated in the table meet in a shuffle, after a partial aggregation."""
+    if not repeated.count():
+        return df
+    return _join(df, repeated, "key", "left_anti").unionByName(_join(df, repeated, "key", "left_semi").dropDuplicates(["key"]))
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a, b`` whose whole sets reach the similarity."""
     pairs = written(pairs.distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    sets = written(texts.join(ids, "row", "left_semi").select("row", whole_set(F.col("text"), shingle).alias("s")), "sets")
     both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
     # sets hold no repeats; bound once, as the intersection is costly
     common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("all"))
     return written(common.filter(F.col("c") / (F.col("all") - F.col("c")) >= similarity).select("a", "b"), "links")
 
 
-def _across(rows: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Pairs of one hash whose components differ and that may reach the similarity."""
-    rows = rows.sort_values("component", kind="stable")
-    row, n, at, comp = (rows[c].to_numpy() for c in ("row", "n", "at", "component"))
-    ends, out = np.searchsorted(comp, comp, "right"), []
-    step = max(1, BLOCK // len(row))
-    for s in range(0, len(row), step):
-        part, rest = np.arange(s, min(s + step, len(row))), np.arange(ends[s], len(row))
-        fits = (rest[None, :] >= ends[part][:, None]) & may_reach(n[part][:, None], at[part][:, None], n[rest][None, :], at[rest][None, :], similarity)
-        i, j = np.nonzero(fits)
-        out.append(np.stack([row[part[i]], row[rest[j]]], 1))
-    ab = np.sort(np.concatenate(out), 1)
-    return pd.DataFrame({"a": ab[:, 0], "b": ab[:, 1]})
+def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows under shingles whose rows are not yet all of one component."""
+    joined = written(connected_components(links).filter("node <> component"), "components")
+    placed = shared.join(joined, shared["row"] == joined["node"], "left").withColumn("component", F.coalesce("component", "row")).drop("node")
+    several = written(placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h"), "open")
+    return written(_join(placed, several, "h", "left_semi"), "placed")
 
 
-def set_links(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float, centres: int = CENTRES) -> DataFrame:
-    """``a, b``: confirmed links that connect the sets ``row, n, first`` as all pairs that reach the similarity would."""
+def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES) -> DataFrame:
+    """``a, b``: confirmed links that connect the sets ``row, n, fp, first`` as all pairs that reach the similarity would.
+    ``whole`` gives the table of whole sets of a table of rows."""
     at = sets.select("row", "n", F.posexplode("first").alias("at", "h"))
     twice = written(at.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "twice")
-    shared = written(at.join(twice, "h", "left_semi"), "shared")
-    links, placed = None, shared.withColumn("component", F.col("row"))
+    shared = written(_join(at, twice, "h", "left_semi"), "shared")
+    rows = written(shared.groupBy("row").agg(F.first("n").alias("n")).select("row"), "rows")
+    full = whole(rows)
+
+    fps = written(_join(sets.select("row", "fp"), rows, "row", "left_semi"), "fingerprints")
+    named = written(fps.groupBy("fp").agg(F.min("row").alias("row")), "named")
+    near = simhash.links(named.select("fp"), RADIUS)
+    a, b = (named.select(F.col("fp").alias(x), F.col("row").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    met = near.join(a, "a").join(b, "b").select("x", "y")
+    same = fps.join(named.withColumnRenamed("row", "x"), "fp").filter("row <> x").select("x", F.col("row").alias("y"))
+    links = _confirmed(met.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), full, similarity)
+
     for k in range(centres):
-        centre = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("row", F.lit(k)).alias("order"), "row", "n", "at", "component")).alias("c"))
+        placed = _with_components(shared, links)
+        centre = written(placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("component", F.lit(k)).alias("order"), "row", "n", "at", "component")).alias("c")), "centres")
         met = placed.join(centre, "h").filter((F.col("component") != F.col("c.component"))
                                               & may_reach(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), similarity))
-        found = _confirmed(met.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")), texts, shingle, similarity)
-        links = found if links is None else links.unionByName(found)
-        placed = _with_components(shared, links)
-    several = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("h")
-    across = placed.join(several, "h", "left_semi").groupBy("h").applyInPandas(lambda rows: _across(rows, similarity), "a long, b long")
-    return links.unionByName(_confirmed(across, texts, shingle, similarity))
+        found = _confirmed(met.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")), full, similarity)
+        links = links.unionByName(found)
+    placed = _with_components(shared, links)
+    x, y = (placed.select("h", *[F.col(c).alias(c + side) for c in ("row", "n", "at", "component")]) for side in "xy")
+    across = x.join(y, "h").filter((F.col("componentx") < F.col("componenty")) & may_reach(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"), similarity))
+    return links.unionByName(_confirmed(across.select(F.least("rowx", "rowy").alias("a"), F.greatest("rowx", "rowy").alias("b")), full, similarity))
 
 
-def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
-    joined = connected_components(links)
-    return written(shared.join(joined, F.col("row") == F.col("node"), "left").withColumn("component", F.coalesce("component", "row")).drop("node"), "placed")
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A digest of a row's id and text; nulls differ from every value."""
+    return F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(F.md5(text.cast("string")), F.lit("-"))))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One document of each component of near-duplicates: the smallest id, null last, then the first row."""
-    tagged = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"), marks(F.col(text), shingle, similarity).alias("m"))
-    tagged = written(tagged.select("doc", "doc_id", "m").withColumn("row", F.monotonically_increasing_id()), "tagged")
-    key = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    least = written(tagged.groupBy("m.digest").agg(F.min(key).alias("least")).select("least", F.col("least.row").alias("row")), "distinct")
-    firsts = tagged.join(least, "row", "left_semi")
-    links = set_links(firsts.select("row", "m.n", "m.first"), firsts.select("row", F.col(f"doc.`{text}`").alias("text")), shingle, similarity)
-    best = least.join(connected_components(links), F.col("row") == F.col("node"), "left") \
-        .groupBy(F.coalesce("component", "row").alias("component")).agg(F.min("least").alias("k"))
-    return tagged.join(best.select("k.row"), "row", "left_semi").select("doc.*")
+    """One document of each component of near-duplicates: the smallest id, null last."""
+    key = row_key(F.col(id_col), F.col(text))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text).cast("string").alias("text"))
+    with temporary():
+        tagged = written(marks(plain, shingle, similarity).withColumn("row", F.monotonically_increasing_id()), "marks")
+        repeated = written(tagged.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"), "repeated", keep=True)
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+        least = written(tagged.groupBy("digest").agg(F.min(order).alias("least")).select("least", F.col("least.row").alias("row")), "distinct")
+        firsts = _join(tagged, least.select("row"), "row", "left_semi")
+        links = set_links(firsts.select("row", "n", "fp", "first"),
+                          lambda rows: _sets_of(plain, written(_join(tagged.select("row", "key"), rows, "row", "left_semi"), "wanted"), repeated, shingle), similarity)
+        best = least.join(connected_components(links), F.col("row") == F.col("node"), "left") \
+            .groupBy(F.coalesce("component", "row").alias("component")).agg(F.min("least").alias("k")).select("k.row")
+        stays = tagged.select("row", "key").join(best, "row", "left_semi").select("key").distinct()
+        gone = written(tagged.select("key").distinct().join(stays, "key", "left_anti"), "gone", keep=True)
+    name = "__key"
+    kept = _join(docs.withColumn(name, key), gone.withColumnRenamed("key", name), name, "left_anti")
+    if not repeated.count():
+        return kept.drop(name)
+    again = repeated.withColumnRenamed("key", name)
+    return _join(kept, again, name, "left_anti").unionByName(_join(kept, again, name, "left_semi").dropDuplicates([name])).drop(name)

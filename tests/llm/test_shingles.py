@@ -60,10 +60,14 @@ def fixture():
     return [(None if k % 40 == 7 else 1000 - k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("centres", [1, 2])
-def test_stage_against_brute_force(spark, centres, monkeypatch):
+@pytest.mark.parametrize("centres, sent, radius", [(0, 1 << 21, 2), (1, 0, 2), (2, 1 << 21, 0)])
+def test_stage_against_brute_force(spark, centres, sent, radius, monkeypatch):
     monkeypatch.setattr(shingles.set_links, "__defaults__", (centres,))
+    monkeypatch.setattr(shingles, "SENT", sent)
+    monkeypatch.setattr(shingles, "RADIUS", radius)
+    monkeypatch.setattr(shingles, "FREQUENT", 300)
     rows = fixture()
+    rows += rows[:30]  # repeated rows
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_keep(rows)
     assert ids(corpus_pipeline.near_duplicates(spark, docs, "")) == want and len(want) < 0.6 * len(rows)
