@@ -7,12 +7,14 @@ reaches the threshold.  A lossless filter finds the candidates:
 * Matching blocks are few.  Between two blocks at least one character is
   unmatched; and in texts of 200 characters or more every block but a common
   beginning holds a character that is rare in the earlier text.
-* So ``M - blocks * (q - 1)`` q-grams must be shared.  Each text picks the
-  longest q for which that is a good part of its q-grams.
-
-Texts needing T shared grams must meet within their rarest (all - T + 1) grams,
-so only those are joined.  Grams shared by very many texts are split over
-salts.  Equal texts are collapsed first, and edges between contents stand for
+* Grams are winnowed: of each ``w`` q-grams in a row the one with the least
+  hash stays.  Inside a block both texts choose alike, so at least
+  ``(M - blocks * (q + w - 2)) / w`` chosen grams are shared.  Each text takes
+  the longest grams for which that is a good part of its chosen ones.
+
+Texts needing T shared grams must share k of them within their rarest
+(all - T + k) grams, so only those are joined and counted.  Grams shared by very
+many texts are split over salts.  Equal texts are collapsed first, and edges between contents stand for
 the edges of all their copies.
 """
 
@@ -33,9 +35,10 @@ from callbrook.functions.text import fold_for_hash
 from callbrook.operators.carry import Running, running
 from callbrook.session import written
 
-GRAM_SIZES = (16, 8, 5, 3, 2, 1)
-GOOD_SHARE = 0.2
+PLANS = ((24, 8), (14, 6), (8, 4), (4, 2), (2, 1), (1, 1))  # (q, w), long ones first
+GOOD_SHARE = 0.02
 SALT_ROWS = 1000
+PART_NEEDED = 2  # candidates share this part of the needed grams within the rarest ones
 
 
 # --- bounds ------------------------------------------------------------------
@@ -50,53 +53,62 @@ def rare_positions(text: str) -> int | None:
     return sum(c for c in Counter(text).values() if c <= limit)
 
 
-def needed_grams(n: int, rare: int | None, q: int, t: float) -> int:
-    """Least number of q-grams shared with any earlier text of length ``n``."""
+def needed_grams(n: int, rare: int | None, q: int, w: int, t: float) -> int:
+    """Least number of chosen grams shared with any earlier text of length ``n``."""
     shortest, longest = max(2 * n / (2 - t), 1 / max(1 - t, 1e-9)), 2 * n / t
     if longest < shortest:
         return n + 1  # too short to differ and still reach the threshold
 
     def by_gaps(total: float) -> float:
-        return t * total / 2 - ((1 - t) * total + 1) * (q - 1)
+        return t * total / 2 - ((1 - t) * total + 1) * (q + w - 2)
 
     bound = min(by_gaps(shortest), by_gaps(longest))
     if rare is not None:
-        bound = max(bound, t * shortest / 2 - (rare + 1) * (q - 1))
-    return math.ceil(bound - 1e-6)
+        bound = max(bound, t * shortest / 2 - (rare + 1) * (q + w - 2))
+    return math.ceil(bound / w - 1e-6)
 
 
 def gram_plan(text: str, t: float) -> tuple[int, int]:
-    """(q, shared q-grams needed) for a text in the earlier role."""
+    """(plan, shared grams needed) for a text in the earlier role."""
     n, rare = len(text), rare_positions(text)
-    best = (1, max(1, needed_grams(n, rare, 1, t)))
-    for q in GRAM_SIZES:
-        need = needed_grams(n, rare, q, t)
-        if need >= max(1, GOOD_SHARE * (n - q + 1)):
-            return q, need
-    return best
-
-
-def grams(text: str, q: int) -> np.ndarray:
-    """Hashes of all q-grams; the k-th copy of a gram hashes differently from
-    the others, so set overlap equals multiset overlap."""
+    last = len(PLANS) - 1
+    for k, (q, w) in enumerate(PLANS):
+        need = needed_grams(n, rare, q, w, t)
+        if need >= max(1, GOOD_SHARE * 2 / (w + 1) * (n - q + 1)):
+            return k, need
+    return last, max(1, needed_grams(n, rare, *PLANS[last], t))
+
+
+def grams(text: str, plan: int) -> np.ndarray:
+    """Hashes of the chosen grams; the k-th copy of a gram hashes differently
+    from the others, so set overlap equals multiset overlap."""
+    q, w = PLANS[plan]
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     m = len(codes) - q + 1
-    if m <= 0:
+    if m < w:
         return np.empty(0, dtype=np.int64)
     h = np.zeros(m, dtype=np.uint64)
     for j in range(q):
         h = h * np.uint64(1099511628211) + codes[j:j + m] + np.uint64(1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    if w > 1:
+        windows = np.lib.stride_tricks.sliding_window_view(h, w)
+        chosen = np.zeros(m, bool)
+        for at in range(0, len(windows), 1 << 16):  # of equal ones the last
+            part = windows[at:at + (1 << 16)]
+            chosen[at + np.arange(len(part)) + w - 1 - part[:, ::-1].argmin(1)] = True
+        h = h[chosen]
     h.sort()
     first = np.concatenate(([True], h[1:] != h[:-1]))
     starts = np.flatnonzero(first)
-    copy = np.arange(m) - np.repeat(starts, np.diff(np.append(starts, m)))
-    h = (h ^ (copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(q)
+    copy = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    h = (h ^ (copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(plan)
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
-def ratio_if_near(new: str, earlier: str, q: int, need: int, t: float) -> float | None:
+def ratio_if_near(new: str, earlier: str, plan: int, need: int, t: float) -> float | None:
     """The ratio when it reaches ``t``.  Cheap upper bounds go first."""
-    if np.intersect1d(grams(new, q), grams(earlier, q)).size < need:
+    if np.intersect1d(grams(new, plan), grams(earlier, plan)).size < need:
         return None
     m = SequenceMatcher(None, new, earlier)
     if m.quick_ratio() < t:
@@ -123,57 +135,58 @@ def near_contents(records: DataFrame, threshold: float = v.NEAR_DUPLICATE_THRESH
     second and the ratio (which depends on direction) reaches ``threshold``."""
     t = threshold
 
-    @F.pandas_udf(T.StructType([T.StructField("q", T.IntegerType()), T.StructField("need", T.IntegerType())]))
+    @F.pandas_udf(T.StructType([T.StructField("plan", T.IntegerType()), T.StructField("need", T.IntegerType())]))
     def planned(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([gram_plan(x, t) for x in texts], columns=["q", "need"])
+        return pd.DataFrame([gram_plan(x, t) for x in texts], columns=["plan", "need"])
 
     docs = written(contents(records, seq).withColumn("n", F.length("text")).withColumn("p", planned("text"))
-                    .select("cid", "last_seq", "first_id", "text", "n", "p.q", "p.need")
+                    .select("cid", "last_seq", "first_id", "text", "n", "p.plan", "p.need")
                     .withColumn("possible", F.col("need") <= F.col("n")), "contents")
-    # at most six rows: which text lengths use which q
-    spans = [(r["q"], r["lo"], r["hi"]) for r in docs.filter("possible").groupBy("q")
+    # a row a plan: which text lengths use it
+    spans = [(r["plan"], r["lo"], r["hi"]) for r in docs.filter("possible").groupBy("plan")
              .agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect()]
 
-    def sizes(n: int) -> list[int]:
-        return [q for q, lo, hi in spans if lo <= n * (2 - t) / t and hi >= n * t / (2 - t)]
+    def plans(n: int) -> list[int]:
+        return [k for k, lo, hi in spans if lo <= n * (2 - t) / t and hi >= n * t / (2 - t)]
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def gram_list(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: np.concatenate([grams(x, q) for q in sizes(len(x))] or [np.empty(0, np.int64)]))
+        return texts.map(lambda x: np.concatenate([grams(x, k) for k in plans(len(x))] or [np.empty(0, np.int64)]))
 
     listed = docs.select("cid", F.explode_outer(gram_list("text")).alias("gram")).filter("gram IS NOT NULL")
     shared = listed.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
     common = written(listed.join(shared, "gram"), "grams")
 
-    # the earlier side keeps the rarest grams of its own size
+    # the earlier side keeps the rarest grams of its own plan: without the other (need - least) ones, least must still be shared
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def own_grams(texts: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([grams(x, k) for x, k in zip(texts, q)])
+    def own_grams(texts: pd.Series, plan: pd.Series) -> pd.Series:
+        return pd.Series([grams(x, k) for x, k in zip(texts, plan)])
 
-    own = docs.filter("possible").select("cid", "need", F.explode_outer(own_grams("text", "q")).alias("gram")).filter("gram IS NOT NULL").join(common, ["cid", "gram"])
+    own = docs.filter("possible").select("cid", "n", "need", F.ceil(F.col("need") / PART_NEEDED).alias("least"), F.explode_outer(own_grams("text", "plan")).alias("gram")) \
+        .filter("gram IS NOT NULL").join(common, ["cid", "gram"])
     rarest = Window.partitionBy("cid").orderBy("df", "gram")
     size = Window.partitionBy("cid")
     prefix = own.withColumn("rn", F.row_number().over(rarest)).withColumn("total", F.count("*").over(size)) \
-        .filter(F.col("rn") <= F.col("total") - F.col("need") + 1)
+        .filter(F.col("rn") <= F.col("total") - F.col("need") + F.col("least"))
 
     salts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
-    earlier = prefix.select(F.col("cid").alias("earlier_cid"), "gram", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    new = common.select(F.col("cid").alias("new_cid"), "gram", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"))
-    pairs = new.join(earlier, ["gram", "salt"]).filter("new_cid <> earlier_cid").select("new_cid", "earlier_cid").distinct()
-
-    a = docs.select(F.col("cid").alias("new_cid"), F.col("n").alias("na"), "last_seq")
-    b = docs.select(F.col("cid").alias("earlier_cid"), F.col("n").alias("nb"), "q", "need")
-    fit = pairs.join(a, "new_cid").filter("last_seq > earlier_cid").join(b, "earlier_cid") \
-        .filter(2 * F.least("na", "nb") >= t * (F.col("na") + F.col("nb")))
+    earlier = prefix.select(F.col("cid").alias("earlier_cid"), F.col("n").alias("nb"), "least", "gram", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    new = common.join(docs.select("cid", F.col("n").alias("na"), "last_seq"), "cid") \
+        .select(F.col("cid").alias("new_cid"), "na", "last_seq", "gram", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"))
+    fit = new.join(earlier, ["gram", "salt"]).filter("new_cid <> earlier_cid AND last_seq > earlier_cid").filter(2 * F.least("na", "nb") >= t * (F.col("na") + F.col("nb"))) \
+        .groupBy("new_cid", "earlier_cid").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least").select("new_cid", "earlier_cid")
+    # few, costly rows: spread by pair, however small the table is
+    fit = written(fit, "candidates").repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "new_cid", "earlier_cid") \
+        .join(docs.select(F.col("cid").alias("earlier_cid"), "plan", "need"), "earlier_cid")
 
     @F.pandas_udf(T.DoubleType())
-    def checked(new_text: pd.Series, old_text: pd.Series, q: pd.Series, need: pd.Series) -> pd.Series:
-        return pd.Series([ratio_if_near(x, y, k, m, t) for x, y, k, m in zip(new_text, old_text, q, need)], dtype="float64")
+    def checked(new_text: pd.Series, old_text: pd.Series, plan: pd.Series, need: pd.Series) -> pd.Series:
+        return pd.Series([ratio_if_near(x, y, k, m, t) for x, y, k, m in zip(new_text, old_text, plan, need)], dtype="float64")
 
     texts_a = docs.select(F.col("cid").alias("new_cid"), F.col("text").alias("new_text"), F.col("first_id").alias("new_id"))
     texts_b = docs.select(F.col("cid").alias("earlier_cid"), F.col("text").alias("old_text"), F.col("first_id").alias("earlier_id"))
     scored = fit.join(texts_a, "new_cid").join(texts_b, "earlier_cid") \
-        .withColumn("similarity", checked("new_text", "old_text", "q", "need"))
+        .withColumn("similarity", checked("new_text", "old_text", "plan", "need"))
     return scored.filter("similarity IS NOT NULL").select(
         "new_cid", "earlier_cid", "new_id", "earlier_id", F.round("similarity", 4).alias("similarity"))
 

@@ -55,14 +55,15 @@ _scopes: list[list[DataFrame]] = []
 def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read back: a table that several later
     steps read is computed once, and losing an executor loses none of it.
-    Inside ``temporary()`` the table goes at the end, unless it is to be kept."""
+    Inside ``temporary()`` the table goes at the end; one to be kept lives on
+    in the scope around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
-    if _scopes and not keep:
-        _scopes[-1].append(out)
+    if len(_scopes) > keep:
+        _scopes[-1 - keep].append(out)
     return out
 
 
@@ -75,7 +76,7 @@ def discard(table: DataFrame) -> None:
 
 @contextmanager
 def temporary() -> Iterator[None]:
-    """Tables written inside are removed when it ends: what leaves it must be a kept table."""
+    """Tables written inside are removed when it ends: what leaves it must be a kept table.  Scopes nest."""
     _scopes.append([])
     try:
         yield
