@@ -148,13 +148,15 @@ def _unrepeated(df: DataFrame, repeated: DataFrame) -> DataFrame:
     return _join(df, repeated, "key", "left_anti").unionByName(_join(df, repeated, "key", "left_semi").dropDuplicates(["key"]))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, whole, similarity: float) -> DataFrame:
     """The pairs ``a, b`` whose whole sets reach the similarity."""
-    pairs = written(pairs.distinct(), "candidates")
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
-    # sets hold no repeats; bound once, as the intersection is costly
-    common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("all"))
-    return written(common.filter(F.col("c") / (F.col("all") - F.col("c")) >= similarity).select("a", "b"), "links")
+    with temporary():
+        pairs = written(pairs.distinct(), "candidates")
+        sets = whole(written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "paired"))
+        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
+        # sets hold no repeats; bound once, as the intersection is costly
+        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("all"))
+        return written(common.filter(F.col("c") / (F.col("all") - F.col("c")) >= similarity).select("a", "b"), "links", keep=True)
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -167,12 +169,11 @@ def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES) -> DataFrame:
     """``a, b``: confirmed links that connect the sets ``row, n, fp, first`` as all pairs that reach the similarity would.
-    ``whole`` gives the table of whole sets of a table of rows."""
+    ``whole`` gives the whole sets of a table of rows."""
     at = sets.select("row", "n", F.posexplode("first").alias("at", "h"))
     twice = written(at.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "twice")
     shared = written(_join(at, twice, "h", "left_semi"), "shared")
     rows = written(shared.groupBy("row").agg(F.first("n").alias("n")).select("row"), "rows")
-    full = whole(rows)
 
     fps = written(_join(sets.select("row", "fp"), rows, "row", "left_semi"), "fingerprints")
     named = written(fps.groupBy("fp").agg(F.min("row").alias("row")), "named")
@@ -180,19 +181,22 @@ def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES)
     a, b = (named.select(F.col("fp").alias(x), F.col("row").alias(y)) for x, y in (("a", "x"), ("b", "y")))
     met = near.join(a, "a").join(b, "b").select("x", "y")
     same = fps.join(named.withColumnRenamed("row", "x"), "fp").filter("row <> x").select("x", F.col("row").alias("y"))
-    links = _confirmed(met.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), full, similarity)
+    links = _confirmed(met.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), whole, similarity)
 
     for k in range(centres):
+        with temporary():
+            placed = _with_components(shared, links)
+            centre = written(placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("component", F.lit(k)).alias("order"), "row", "n", "at", "component")).alias("c")), "centres")
+            met = placed.join(centre, "h").filter((F.col("component") != F.col("c.component"))
+                                                  & may_reach(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), similarity))
+            found = _confirmed(met.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")), whole, similarity)
+            links = written(links.unionByName(found), "links", keep=True)
+    with temporary():
         placed = _with_components(shared, links)
-        centre = written(placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("component", F.lit(k)).alias("order"), "row", "n", "at", "component")).alias("c")), "centres")
-        met = placed.join(centre, "h").filter((F.col("component") != F.col("c.component"))
-                                              & may_reach(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), similarity))
-        found = _confirmed(met.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")), full, similarity)
-        links = links.unionByName(found)
-    placed = _with_components(shared, links)
-    x, y = (placed.select("h", *[F.col(c).alias(c + side) for c in ("row", "n", "at", "component")]) for side in "xy")
-    across = x.join(y, "h").filter((F.col("componentx") < F.col("componenty")) & may_reach(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"), similarity))
-    return links.unionByName(_confirmed(across.select(F.least("rowx", "rowy").alias("a"), F.greatest("rowx", "rowy").alias("b")), full, similarity))
+        x, y = (placed.select("h", *[F.col(c).alias(c + side) for c in ("row", "n", "at", "component")]) for side in "xy")
+        across = x.join(y, "h").filter((F.col("componentx") < F.col("componenty")) & may_reach(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"), similarity))
+        found = _confirmed(across.select(F.least("rowx", "rowy").alias("a"), F.greatest("rowx", "rowy").alias("b")), whole, similarity)
+        return written(links.unionByName(found), "links", keep=True)
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
