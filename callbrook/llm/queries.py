@@ -32,7 +32,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return linededup.dedup_lines(docs)[["doc_id", "n_removed", "text"]]
+    return linededup.dedup_lines(docs, sentences=True)[["doc_id", "n_removed", "text"]]
 
 
 def op5_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,13 +178,12 @@ FROM k JOIN coded USING (rn), digest"""
 ORACLE = {
     "op11_cover_codes": _codes_sql(),
     "op2_quality_fences": _quality_sql(),
-    "op4_line_windows": f"""
+    "op4_line_windows": """
 WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(\\n|[.!?] )', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM documents),
 lines AS (SELECT doc_id, r.i AS i, r.t AS t FROM (SELECT doc_id, unnest(list_transform(range(0, len(ps)),
   lambda i: struct_pack(i := i, t := trim(ps[i + 1], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))))) AS r FROM p) WHERE r.t <> ''),
 wins AS (SELECT doc_id, i AS a, lead(i, 2) OVER d AS b, t AS x, lead(t) OVER d AS y, lead(t, 2) OVER d AS z FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, a) AS nth FROM wins
-           WHERE z IS NOT NULL AND length(x) + length(y) + length(z) >= {linededup.LEAST_CHARS}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x, y, z ORDER BY doc_id, a) AS nth FROM wins WHERE z IS NOT NULL),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM ranked WHERE nth > 1),
 whole AS (SELECT doc_id, r.i AS i, r.x AS x FROM (SELECT doc_id, unnest(list_transform(range(0, len(ps)), lambda i: struct_pack(i := i, x := ps[i + 1]))) AS r FROM p)),
 kept AS (SELECT doc_id, count(gone.i) AS n, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE gone.i IS NULL), '') AS text

@@ -103,33 +103,34 @@ def test_license_spans(spark):
     assert same.count() == len(awkward.rows()) and licenses.scan(awkward.empty(spark)).collect() == []
 
 
-def plain_dedup(docs, least=linededup.LEAST_CHARS):
+def plain_dedup(docs, sentences=True):
     seen, out = {}, {}
     blanks = " \t\n\x0b\x0c\r"
     for i, t in sorted(docs.items(), key=lambda x: (x[0] is not None, x[0] or 0)):
         if t is None:
             out[i] = (None, 0)
             continue
-        parts = re.split("(?<=\n)|(?<=[.!?] )", t)
+        parts = re.split("(?<=\n)|(?<=[.!?] )" if sentences else "(?<=\n)", t)
         parts = parts[:-1] if parts and parts[-1] == "" and len(parts) > 1 else parts
         lines = [(k, p.strip(blanks)) for k, p in enumerate(parts) if p.strip(blanks)]
         gone = set()
         for j in range(len(lines) - 2):
             key = tuple(x for _, x in lines[j:j + 3])
-            if sum(map(len, key)) >= least and seen.setdefault(key, (i, j)) != (i, j):
+            if seen.setdefault(key, (i, j)) != (i, j):
                 gone |= set(range(lines[j][0], lines[j + 2][0] + 1))
         out[i] = ("".join(p for k, p in enumerate(parts) if k not in gone), len(gone))
     return out
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("sentences", [True, False])
+def test_lines_against_brute_force(spark, sentences):
     r = random.Random(5)
     sentences = [" ".join(r.choice("alpha beta gamma delta".split()) for _ in range(r.randint(2, 8))) + r.choice(".!?") for _ in range(25)]
     more = [(100 + k, "".join(r.choice(sentences) + r.choice((" ", "\n", "\n \n")) for _ in range(r.randint(0, 60)))) for k in range(40)]
     docs = awkward.frame(spark, more)
-    got = linededup.dedup_lines(docs)
+    got = linededup.dedup_lines(docs, sentences=sentences)
     assert got.columns == [c for c in docs.columns if c != "n_removed"] + ["n_removed"]
-    want = plain_dedup({i: t for i, t, *_ in awkward.rows(more) if i is not None})
+    want = plain_dedup({i: t for i, t, *_ in awkward.rows(more) if i is not None}, sentences)
     rows = got.collect()
     assert len(rows) == docs.count()
     for x in rows:
