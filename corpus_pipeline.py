@@ -17,7 +17,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line passages, however short their lines, are cut out of the texts."""
-    out = linededup.dedup_lines(docs, least_chars=0, added=False)
+    out = linededup.dedup_lines(docs, sentences=True, added=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
