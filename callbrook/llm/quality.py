@@ -3,8 +3,10 @@
 Each document gets integer measures.  Documents that pass the base rules feed one sketch per language, source and measure: counts
 per bucket, where buckets are exact up to 32 and keep five leading bits beyond (about 3 % relative error).  Sketches of one key
 merge by adding counts, so partial sketches are combined before any shuffle, a source's sketches add up to its language's, and
-these to the whole corpus's; a key with fewer than ``enough`` documents uses the next wider sketch.  A document is kept if every
-measure lies within ``reach`` quartile distances of the outer quartiles of its key.
+these to the whole corpus's; a key with fewer than ``enough`` documents uses the next wider sketch.  Shares that are mostly zero are
+judged among the documents where they are not.  A fence lies beyond an outer quantile of its key, as far from it as that is from the
+median, and at least by the sketch's resolution there; a document is kept if every measure lies inside its key's fences.  No threshold
+is a constant of its own: all follow the documents of the key.
 
 Defined results: a null or blank text has no words and fails the base rules; null languages and sources are keys of their own;
 repeated rows are measured alike; an empty table gives an empty table.  Only the named columns are read.
@@ -19,14 +21,16 @@ from callbrook.llm.common import let, without, words
 from callbrook.session import written
 
 SYMBOLS, WINDOW = "#*$%&|<>", 8
-#: measure: (numerator, denominator, least distance of the upper fence, least distance of the lower one or None)
+#: measure: (numerator, denominator, whether zeros are left out of its quantiles, whether it has a lower fence too)
 MEASURES = {
-    "symbols": ("1000 * n_symbols", "n_words", 50, None),
-    "dup_lines": ("1000 * n_dup_lines", "n_lines", 350, None),
-    "repeats": ("1000 * n_repeat_words", "n_words", 250, None),
-    "word_length": ("100 * word_chars", "n_words", 150, 150),
+    "symbols": ("1000 * n_symbols", "n_words", True, False),
+    "dup_lines": ("1000 * n_dup_lines", "n_lines", True, False),
+    "repeats": ("1000 * n_repeat_words", "n_words", True, False),
+    "word_length": ("100 * word_chars", "n_words", False, True),
 }
 #: Thousandths of words, lines and words, and hundredths of code points.
+#: Quantiles in hundredths, and the documents a key needs for its own fences.
+LOW, MIDDLE, HIGH, ENOUGH = 5, 50, 95, 200
 
 
 def repeated_words(w: Column, window: int = WINDOW) -> Column:
@@ -82,48 +86,54 @@ def sketches(measured: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, measure, n, q1, q3`` from sketches added up by ``keys``; a key's sketch has a bounded number of buckets."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, measure, n, low, middle, high`` from sketches added up by ``keys``; a key's sketch has a bounded number of buckets."""
     by = ", ".join([*keys, "measure"])
     merged = sketch.groupBy(*keys, "measure", "cut", "top").agg(F.sum("n").alias("n"))
-    low = "top * cast(pow(2, cut) as bigint)"
+    bottom = "top * cast(pow(2, cut) as bigint)"
     return merged.withColumns({"at": F.expr(f"sum(n) over (partition by {by} order by cut, top)"),
                                "total": F.expr(f"sum(n) over (partition by {by})")}) \
-        .groupBy(*keys, "measure").agg(
-            F.max("total").alias("n"), F.expr(f"min({low}) filter (where 4 * at >= total)").alias("q1"),
-            F.expr(f"min({low}) filter (where 4 * at >= 3 * total)").alias("q3"))
-
-
-def fences(sketch: DataFrame, enough: int = 200, reach: int = 3) -> DataFrame:
-    """``lang, source`` and, for each measure, the bounds that hold for that key."""
-    fine, by_lang, whole = (quartiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
-    wide = by_lang.select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("n").alias("ln"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
-    top = whole.select(F.col("measure").alias("w"), F.col("q1").alias("w1"), F.col("q3").alias("w3"))
-    f = fine.join(wide, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))) \
-        .join(F.broadcast(top), F.col("measure") == F.col("w"))  # one row per measure
-    q = {k: F.when(F.col("n") >= enough, F.col(f"q{k}")).when(F.col("ln") >= enough, F.col(f"l{k}")).otherwise(F.col(f"w{k}")) for k in (1, 3)}
-    f = f.select("lang", "source", "measure", q[1].alias("q1"), q[3].alias("q3"))
+        .groupBy(*keys, "measure").agg(F.max("total").alias("n"), *[
+            F.expr(f"min({bottom}) filter (where 100 * at >= {q} * total)").alias(name) for name, q in (("low", LOW), ("middle", MIDDLE), ("high", HIGH))])
+
+
+def resolution(v: Column) -> Column:
+    """Width of the bucket that begins at ``v``."""
+    return F.pow(F.lit(2.0), F.greatest(F.length(F.bin(v)) - 6, F.lit(0))).cast("long")
+
+
+def fences(sketch: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """``lang, source`` and, for each measure, the bounds that hold for that key; null where no document of the corpus tells."""
+    zeros_out = [m for m, (_, _, positive, _) in MEASURES.items() if positive]
+    counted = sketch.filter(~F.col("measure").isin(zeros_out) | (F.col("top") > 0))
+    fine, by_lang, whole = (quantiles(counted, keys) for keys in (["lang", "source"], ["lang"], []))
+    keys = sketch.select("lang", "source").distinct().select("lang", "source", F.explode(F.array(*map(F.lit, MEASURES))).alias("measure"))
+    f, w, t = (q.select(*[F.col(c).alias(f"{side}_{c}") for c in q.columns]) for q, side in ((fine, "f"), (by_lang, "w"), (whole, "t")))
+    j = keys.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")) & (F.col("measure") == F.col("f_measure")), "left") \
+        .join(w, F.col("lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure")), "left") \
+        .join(F.broadcast(t), F.col("measure") == F.col("t_measure"), "left")  # one row per measure
+    low, middle, high = (F.when(F.col("f_n") >= enough, F.col(f"f_{c}")).when(F.col("w_n") >= enough, F.col(f"w_{c}")).otherwise(F.col(f"t_{c}")) for c in ("low", "middle", "high"))
     bounds = []
-    for m, (_, _, up, down) in MEASURES.items():
+    for m, (_, _, _, lower) in MEASURES.items():
         mine = F.col("measure") == m
-        bounds.append(F.max(F.when(mine, F.col("q3") + F.greatest(reach * (F.col("q3") - F.col("q1")), F.lit(up)))).alias(f"{m}_most"))
-        if down is not None:
-            bounds.append(F.max(F.when(mine, F.col("q1") - F.greatest(reach * (F.col("q3") - F.col("q1")), F.lit(down)))).alias(f"{m}_least"))
-    return f.groupBy("lang", "source").agg(*bounds)
+        bounds.append(F.max(F.when(mine, high + F.greatest(high - middle, resolution(high)))).alias(f"{m}_most"))
+        if lower:
+            bounds.append(F.max(F.when(mine, low - F.greatest(middle - low, resolution(low)))).alias(f"{m}_least"))
+    return j.groupBy("lang", "source").agg(*bounds)
 
 
-def judge(docs: DataFrame, enough: int = 200, reach: int = 3, text: str = "text", lang: str = "lang", source: str = "source",
+def judge(docs: DataFrame, enough: int = ENOUGH, text: str = "text", lang: str = "lang", source: str = "source",
           columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The counts, ``base_failed`` and ``kept`` of every document, with the named input columns first."""
     base = docs.select(*(F.col(c).alias(f"in_{k}") for k, c in enumerate(columns)), F.col(lang).alias("lang"), F.col(source).alias("source"),
                        F.col(text).alias("__text"))
     measured = written(measure(base, "__text").drop("__text"), "measured")
-    bounds = fences(sketches(measured), enough, reach).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "*").drop("lang", "source")
+    bounds = fences(written(sketches(measured), "sketches"), enough).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), "*").drop("lang", "source")
     inside = F.lit(True)
     for m, v in zip(MEASURES, _values(), strict=True):
-        inside = inside & (v <= F.col(f"{m}_most"))
-        if MEASURES[m][3] is not None:
-            inside = inside & (v >= F.col(f"{m}_least"))
+        inside = inside & (v <= F.coalesce(F.col(f"{m}_most"), v))
+        if MEASURES[m][3]:
+            inside = inside & (v >= F.coalesce(F.col(f"{m}_least"), v))
     joined = measured.join(bounds, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
     return joined.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(columns)), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                          "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))

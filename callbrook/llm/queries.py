@@ -82,20 +82,22 @@ _M = quality.MEASURES
 _BUCKET = "greatest(length(bin({v})) - 6, 0)"
 
 
-def _quartile_sql(name: str, keys: str) -> str:
-    """Quartiles of the added sketches by ``keys``, as a common table expression."""
+def _quantile_sql(name: str, keys: str) -> str:
+    """Quantiles of the added sketches by ``keys``, as a common table expression."""
     by = f"{keys}, measure" if keys else "measure"
-    return f"""{name} AS (SELECT {by}, max(total) AS n, min(low) FILTER (WHERE 4 * upto >= total) AS q1, min(low) FILTER (WHERE 4 * upto >= 3 * total) AS q3 FROM (
+    points = ", ".join(f"min(low) FILTER (WHERE 100 * upto >= {q} * total) AS {c}" for c, q in (("lo", quality.LOW), ("mid", quality.MIDDLE), ("hi", quality.HIGH)))
+    return f"""{name} AS (SELECT {by}, max(total) AS n, {points} FROM (
   SELECT {by}, low, sum(sum(c)) OVER (PARTITION BY {by} ORDER BY low) AS upto, sum(sum(c)) OVER (PARTITION BY {by}) AS total
-  FROM sketch GROUP BY {by}, low) GROUP BY {by})"""
+  FROM sketch WHERE low > 0 OR measure NOT IN ({", ".join(f"'{m}'" for m, x in _M.items() if x[2])}) GROUP BY {by}, low) GROUP BY {by})"""
 
 
-def _quality_sql(enough: int = 200, reach: int = 3) -> str:
+def _quality_sql(enough: int = quality.ENOUGH) -> str:
+    width = "(1 << " + _BUCKET.format(v="{v}") + ")"
+    most = f"max(hi + greatest(hi - mid, {width.format(v='hi')})) FILTER (WHERE f.measure = '{{m}}')"
+    least = f"max(lo - greatest(mid - lo, {width.format(v='lo')})) FILTER (WHERE f.measure = '{{m}}')"
     values = ", ".join(f"CASE WHEN {d} > 0 THEN ({n}) // ({d}) ELSE 0 END AS {m}" for m, (n, d, *_) in _M.items())
-    tests = " AND ".join(
-        f"v.{m} <= max(f.q3 + greatest({reach} * (f.q3 - f.q1), {up})) FILTER (WHERE f.measure = '{m}')"
-        + (f" AND v.{m} >= max(f.q1 - greatest({reach} * (f.q3 - f.q1), {down})) FILTER (WHERE f.measure = '{m}')" if down is not None else "")
-        for m, (_, _, up, down) in _M.items())
+    tests = " AND ".join(f"v.{m} <= coalesce({most.format(m=m)}, v.{m})" + (f" AND v.{m} >= coalesce({least.format(m=m)}, v.{m})" if x[3] else "") for m, x in _M.items())
+    pick = ", ".join(f"CASE WHEN fine.n >= {enough} THEN fine.{c} WHEN wide.n >= {enough} THEN wide.{c} ELSE whole.{c} END AS {c}" for c in ("lo", "mid", "hi"))
     return f"""
 WITH w AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words,
@@ -111,12 +113,12 @@ m AS (
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {values} FROM m),
 long AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS x FROM v WHERE NOT base_failed" for m in _M)}),
 sketch AS (SELECT lang, source, measure, (x >> {_BUCKET.format(v="x")}) << {_BUCKET.format(v="x")} AS low, count(*) AS c FROM long GROUP BY ALL),
-{_quartile_sql("fine", "lang, source")}, {_quartile_sql("wide", "lang")}, {_quartile_sql("whole", "")},
+{_quantile_sql("fine", "lang, source")}, {_quantile_sql("wide", "lang")}, {_quantile_sql("whole", "")},
 f AS (
-  SELECT fine.lang, fine.source, fine.measure,
-    CASE WHEN fine.n >= {enough} THEN fine.q1 WHEN wide.n >= {enough} THEN wide.q1 ELSE whole.q1 END AS q1,
-    CASE WHEN fine.n >= {enough} THEN fine.q3 WHEN wide.n >= {enough} THEN wide.q3 ELSE whole.q3 END AS q3
-  FROM fine JOIN wide ON fine.lang IS NOT DISTINCT FROM wide.lang AND fine.measure = wide.measure JOIN whole ON fine.measure = whole.measure)
+  SELECT k.lang, k.source, k.measure, {pick}
+  FROM (SELECT DISTINCT lang, source, measure FROM long) k
+  LEFT JOIN fine ON k.lang IS NOT DISTINCT FROM fine.lang AND k.source IS NOT DISTINCT FROM fine.source AND k.measure = fine.measure
+  LEFT JOIN wide ON k.lang IS NOT DISTINCT FROM wide.lang AND k.measure = wide.measure LEFT JOIN whole ON k.measure = whole.measure)
 SELECT v.doc_id, v.n_words, v.word_chars, v.n_symbols, v.n_dup_lines, v.n_repeat_words, v.base_failed,
   NOT v.base_failed AND coalesce({tests}, false) AS kept
 FROM v LEFT JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source

@@ -68,6 +68,26 @@ def test_base_counts(spark):
         assert x.n_repeat_words == plain_repeats(t)
 
 
+def test_fences_follow_the_source(spark):
+    """Symbols that are common in one source are out of place in the other; the same text changes verdict with the source."""
+    r = random.Random(8)
+
+    def text(low, high):
+        return " ".join("w%d" % r.randint(0, 999) for _ in range(99)) + " " + "#" * r.randint(low, high)
+
+    def plain():
+        return text(1, 3)
+
+    def many():
+        return text(40, 60)
+
+    rows = [(k, plain(), "en", "calm") for k in range(300)] + [(1000 + k, many(), "en", "loud") for k in range(300)]
+    odd = many()
+    for source, want in (("calm", {5000: False}), ("loud", {5000: True})):
+        docs = spark.createDataFrame([*rows, (5000, odd, "en", source)], "doc_id long, text string, lang string, source string")
+        assert {x.doc_id: x.kept for x in quality.judge(docs).filter("doc_id >= 5000").collect()} == want, source
+
+
 def test_quality_verdicts(spark):
     got = quality.judge(awkward.frame(spark)).collect()
     assert len(got) == len(awkward.rows())
