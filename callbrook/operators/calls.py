@@ -227,6 +227,37 @@ def upsert_leads(updates: DataFrame, order: Sequence[str], notes_text: bool = Fa
     )
 
 
+_LEAD_NUMBERS = ("years_in_business", "monthly_revenue", "requested_amount")
+
+
+def lead_state(updates: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Leads that can be merged: each field with the place of the update that gave it."""
+    at = F.struct(*order)
+
+    def last(c: str, known: Column) -> Column:
+        return F.max(F.when(known, F.struct(at.alias("at"), F.col(c).alias("value")))).alias(c)
+
+    always = F.lit(True)
+    return updates.groupBy("call_id").agg(
+        *[last(c, F.col(c).isNotNull()) for c in ("business_type", *[c for c in _LEAD_NUMBERS if c in updates.columns])],
+        last("qualification_status", always), last("recommended_product", F.coalesce("recommended_product", F.lit("")) != ""),
+        last("contact_permission", always), F.count_if(F.coalesce("notes", F.lit("")) != "").alias("n_notes"),
+        F.min("updated_at").alias("created_at"), F.max("updated_at").alias("updated_at"))
+
+
+def merge_leads(states: DataFrame) -> DataFrame:
+    """Several states of a call as one; the order of merging does not matter."""
+    fixed = {"n_notes": F.sum("n_notes"), "created_at": F.min("created_at")}
+    return states.groupBy("call_id").agg(*[fixed.get(c, F.max(c)).alias(c) for c in states.columns if c != "call_id"])
+
+
+def leads_of(state: DataFrame) -> DataFrame:
+    """The leads that ``upsert_leads`` would give."""
+    plain = ("n_notes", "created_at", "updated_at")
+    value = lambda c: F.coalesce(F.col(c)["value"], F.lit("")) if c == "business_type" else F.col(c)["value"]
+    return state.select("call_id", *[F.col(c) if c in plain else value(c).alias(c) for c in state.columns if c != "call_id"])
+
+
 def lead_notes(updates: DataFrame, order: str, segment: int = 4096) -> DataFrame:
     """Notes of every lead, numbered in order."""
     noted = updates.filter("notes <> ''").select("call_id", order, "notes")

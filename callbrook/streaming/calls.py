@@ -1,34 +1,31 @@
 """Live transcripts: signals, nudges, counters, states, leads and event log.
 
-One clock everywhere: event time is the transcript time stamp.  A micro-batch is
-bounded by the source's rate limit; inside it each session's rows are ordered
-by (time, partial before final, sequence), so results do not depend on how the
-stream was cut as long as files arrive in time order.
+One clock everywhere: event time is the transcript time stamp.  Ordered states
+wait until the watermark has passed a row before they fold it, so results do not
+depend on how, or in which order within the watermark's delay, rows arrived.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import threading
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQueryListener
 
 from callbrook import fixed_values as v
 from callbrook.functions.quality import sanitize_map
-from callbrook.operators.calls import upsert_leads
+from callbrook.operators.calls import lead_state, leads_of, merge_leads
 from callbrook.operators.nudges import NudgePolicy, decide, nudge_content
 from callbrook.operators.signals import rule_hits, topic_of, usable_events
 from callbrook.session import ROCKSDB
+from callbrook.streaming.ordered import IDLE_MS, OrderedProcessor
 
 WATERMARK = "60 seconds"  # longer than a nudge lives
 ORIGIN_SECONDS = 86400.0
-#: For streams that never end: a session silent for a day is over and its state goes.  Expiry runs on processing time, and a
-#: bounded replay (``availableNow``) would wait for it for ever, so it is off unless asked for.
-IDLE_MS = 24 * 3600 * 1000
-
+LEAD_BUCKETS = 64
 EVENT = T.StructType([
     T.StructField("session_id", T.LongType()), T.StructField("chunk_sequence", T.LongType()),
     T.StructField("timestamp", T.DoubleType()), T.StructField("speaker", T.StringType()),
@@ -58,102 +55,111 @@ def event_time(timestamp: Column | str) -> Column:
     return F.timestamp_seconds((F.col(timestamp) if isinstance(timestamp, str) else timestamp) + ORIGIN_SECONDS)
 
 
-def once_per_event(events: DataFrame) -> DataFrame:
+def once_per_event(events: DataFrame, delay: str = WATERMARK) -> DataFrame:
     """Drop repeats of a (session, sequence, partial/final) within the watermark."""
-    return events.withColumn("event_time", event_time("timestamp")).withWatermark("event_time", WATERMARK) \
+    return events.withColumn("event_time", event_time("timestamp")).withWatermark("event_time", delay) \
         .dropDuplicatesWithinWatermark(["session_id", "chunk_sequence", "is_final"])
 
 
-def write_slices(events: DataFrame, path: str, by: str, slices: int = 3) -> int:
-    """Replay a table as a stream: its rows in ``by`` order as ``slices`` writes.  A session's rows of one write share a file,
-    so a batch never sees later rows first.  Returns the files of a write, the rate limit that makes a batch of each."""
-    cuts = events.approxQuantile(by, [k / slices for k in range(1, slices)], 0.01)
+def write_slices(events: DataFrame, path: str, by: str, slices: int = 3, dealt: bool = False) -> int:
+    """Replay a table as a stream of ``slices`` writes: its rows in ``by`` order or, ``dealt``, by a hash of it and so in no order of
+    time.  Returns the files of a write, the rate limit that makes a batch of each."""
     files = events.sparkSession.sparkContext.defaultParallelism
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = events.filter((F.lit(True) if low is None else F.col(by) > low) & (F.lit(True) if high is None else F.col(by) <= high))
-        part.repartition(files, "session_id").write.mode("append").parquet(path)
+    if dealt:
+        parts = [F.pmod(F.xxhash64("session_id", by), F.lit(slices)) == k for k in range(slices)]
+    else:
+        cuts = events.approxQuantile(by, [k / slices for k in range(1, slices)], 0.01)
+        parts = [(F.lit(True) if low is None else F.col(by) > low) & (F.lit(True) if high is None else F.col(by) <= high)
+                 for low, high in zip([None, *cuts], [*cuts, None])]
+    for part in parts:
+        events.filter(part).repartition(files, "session_id").write.mode("append").parquet(path)
     return files
 
 
+def write_end(events: DataFrame, path: str, session: int = -1, **values) -> None:
+    """A last row of a session of its own, long after the others: it drives the watermark past all of them."""
+    beat = events.agg(F.max("timestamp").alias("timestamp")).select(
+        F.lit(session).cast("long").alias("session_id"), (F.col("timestamp") + 1e6).alias("timestamp"), *[F.lit(x).alias(c) for c, x in values.items()])
+    events.limit(0).unionByName(beat, allowMissingColumns=True).select(events.columns).coalesce(1).write.mode("append").parquet(path)
+
+
 def counted_source(events: DataFrame, name: str = "source") -> DataFrame:
     """Expose per-batch row counts to listeners.  A bounded queue would drop
     rows when full; here the source is rate-limited and nothing is dropped."""
     return events.observe(name, F.count("*").alias("received"), F.count_if("is_final").alias("final"))
 
 
-def _sorted(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable")
-
-
 # --- signals -----------------------------------------------------------------
 
 
-class _SignalState(StatefulProcessor):
+class _SignalState(OrderedProcessor):
     """Per session: final turns so far, the last one disclosing, the last topic."""
 
-    def __init__(self, context_turns: int, gated: list[str], shift_order: int, idle_ms: int | None):
-        self.context_turns, self.gated, self.shift_order, self.idle_ms = context_turns, frozenset(gated), shift_order, idle_ms
+    ROW = "session_id long, chunk_sequence long, timestamp double, is_final boolean, speaker string, hits string, topic string, says boolean, event_ms long"
+
+    def __init__(self, context_turns: int, gated: list[str], shift_order: int, idle_ms: int):
+        super().__init__(self.ROW, _ORDER, [f.split()[0] for f in SIGNAL.split(", ")], idle_ms)
+        self.context_turns, self.gated, self.shift_order = context_turns, frozenset(gated), shift_order
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("context", "finals long, told long, topic string", ttlDurationMs=self.idle_ms)
+    def open(self, handle):
+        self.state = handle.getValueState("context", "finals long, told long, topic string")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def fold(self, rows):
         finals, told, topic = self.state.get() if self.state.exists() else (0, -1, v.FIRST_TOPIC)
-        out = []
-        for e in _sorted(rows, _ORDER).to_dict("records"):
+        for e in rows:
             disclosed = told >= 0 and told > finals - self.context_turns
             base = {k: e[k] for k in ("session_id", "chunk_sequence", "timestamp", "is_final", "speaker")}
-            for hit in e["hits"]:
-                hit = hit if isinstance(hit, dict) else hit.asDict()
+            for hit in json.loads(e["hits"]):
                 if not (disclosed and hit["rule_name"] in self.gated):
-                    out.append({**base, **hit})
+                    yield {**base, **hit}
             if e["is_final"]:
                 if e["topic"] and e["topic"] != topic:
-                    out.append({**base, "rule_order": self.shift_order, "signal_type": "topic_shift", "rule_name": None,
-                                "confidence": v.TOPIC_CONFIDENCE, "severity": "low",
-                                "evidence": f"Shifted from {topic} to {e['topic']}", "source": "semantic", "new_topic": e["topic"]})
+                    yield {**base, "rule_order": self.shift_order, "signal_type": "topic_shift", "rule_name": None,
+                           "confidence": v.TOPIC_CONFIDENCE, "severity": "low",
+                           "evidence": f"Shifted from {topic} to {e['topic']}", "source": "semantic", "new_topic": e["topic"]}
                     topic = e["topic"]
                 finals += 1
                 if e["says"]:
                     told = finals
         self.state.update((finals, told, topic))
-        columns = [f.split()[0] for f in SIGNAL.split(", ")]
-        yield pd.DataFrame(out, columns=columns)
 
-    def close(self) -> None:
-        pass
+    def forget(self):
+        self.state.clear()
+
 
+def in_time(df: DataFrame, timestamp: str = "timestamp", delay: str = WATERMARK) -> DataFrame:
+    return df.withColumn("event_time", event_time(timestamp)).withWatermark("event_time", delay) \
+        .withColumn("event_ms", F.unix_millis("event_time"))
 
-def signals_stream(events: DataFrame, context_turns: int = v.CONTEXT_TURNS, rules=v.SIGNAL_RULES, idle_ms: int | None = None) -> DataFrame:
+
+def signals_stream(events: DataFrame, context_turns: int = v.CONTEXT_TURNS, rules=v.SIGNAL_RULES, delay: str = WATERMARK, idle_ms: int = IDLE_MS) -> DataFrame:
     """Matching is stateless and stays on the JVM; the state only decides which
     matches stand."""
     hits = rule_hits(F.col("text"), F.col("speaker"), F.lit(False), rules)
-    prepared = usable_events(events).select(
-        "session_id", "chunk_sequence", "timestamp", "is_final", "speaker", hits.alias("hits"),
-        F.when(F.col("is_final"), topic_of("text")).alias("topic"), F.col("text").rlike("(?iuU)" + v.DISCLOSURE_PATTERN).alias("says"))
+    prepared = in_time(usable_events(events), delay=delay).select(
+        "session_id", "chunk_sequence", "timestamp", "is_final", "speaker", F.to_json(hits).alias("hits"),
+        F.when(F.col("is_final"), topic_of("text")).alias("topic"), F.col("text").rlike("(?iuU)" + v.DISCLOSURE_PATTERN).alias("says"), "event_ms", "event_time")
     gated = [r[0] for r in rules if r[5]]
     return prepared.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_SignalState(context_turns, gated, len(rules), idle_ms), outputStructType=SIGNAL, outputMode="Append",
-        timeMode="ProcessingTime" if idle_ms else "None")
+        statefulProcessor=_SignalState(context_turns, gated, len(rules), idle_ms), outputStructType=SIGNAL, outputMode="Append", timeMode="EventTime")
 
 
 # --- nudges ------------------------------------------------------------------
 
 
-class _NudgeState(StatefulProcessor):
+class _NudgeState(OrderedProcessor):
     """Per session: when each type's nudge runs out and each rule last fired."""
 
-    def __init__(self, policy: NudgePolicy):
+    def __init__(self, policy: NudgePolicy, idle_ms: int):
+        super().__init__(SIGNAL + ", event_ms long", [*_ORDER, "rule_order"], [f.split()[0] for f in DECISION.split(", ")], idle_ms)
         self.policy = policy
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def open(self, handle):
         self.until = handle.getMapState("until", "signal_type string", "at double")
         self.fired = handle.getMapState("fired", "signal_type string, rule string", "at double")
 
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        for s in _sorted(rows, [*_ORDER, "rule_order"]).to_dict("records"):
+    def fold(self, rows):
+        for s in rows:
             kind, rule = s["signal_type"], s["rule_name"] or s["signal_type"]
             state = {}
             if self.until.containsKey((kind,)):
@@ -164,35 +170,41 @@ class _NudgeState(StatefulProcessor):
             expires = None
             if decision == "emitted":
                 expires = state["until"]
+                if self.until.containsKey((kind,)):  # it ran out before this one
+                    yield self._expired(s["session_id"], kind, self.until.getValue((kind,))[0])
                 self.until.updateValue((kind,), (expires,))
                 self.fired.updateValue((kind, rule), (s["timestamp"],))
                 for end in {expires, s["timestamp"] + self.policy.cooldown_of(kind)}:  # when either memory can go
                     self.handle.registerTimer(int((end + ORIGIN_SECONDS) * 1000))
-            out.append({**s, "decision": decision, "expires_at": expires})
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in DECISION.split(", ")])
+            yield {**s, "decision": decision, "expires_at": expires}
+
+    @staticmethod
+    def _expired(session, kind, at):
+        return {"session_id": session, "timestamp": at, "signal_type": kind, "decision": "expired", "expires_at": at}
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.session = key[0]
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    def passed(self, mark):
         """Event time has passed a nudge's validity: report it and forget it."""
-        now = expiredTimerInfo.getExpiryTimeInMs() / 1000.0 - ORIGIN_SECONDS
-        gone = [(k[0], at[0]) for k, at in self.until.iterator() if at[0] <= now]
-        for kind, _ in gone:
+        now = mark / 1000.0 - ORIGIN_SECONDS
+        for kind, at in [(k[0], at[0]) for k, at in self.until.iterator() if at[0] <= now]:
             self.until.removeKey((kind,))
+            yield self._expired(self.session, kind, at)
         for k in [k for k, at in self.fired.iterator() if at[0] + self.policy.cooldown_of(k[0]) <= now]:
             self.fired.removeKey(tuple(k))
-        columns = [f.split()[0] for f in DECISION.split(", ")]
-        known = [{"session_id": key[0], "timestamp": at, "signal_type": kind, "decision": "expired", "expires_at": at} for kind, at in gone]
-        yield pd.DataFrame([[x.get(c) for c in columns] for x in known], columns=columns, dtype=object)
 
-    def close(self) -> None:
-        pass
+    def forget(self):
+        self.until.clear()
+        self.fired.clear()
 
 
-def nudges_stream(signals: DataFrame, policy: NudgePolicy = NudgePolicy()) -> DataFrame:
+def nudges_stream(signals: DataFrame, policy: NudgePolicy = NudgePolicy(), delay: str = WATERMARK, idle_ms: int = IDLE_MS) -> DataFrame:
     """Every signal with its decision, and an ``expired`` row per nudge once the
     watermark passes its validity."""
-    timed = signals.withColumn("event_time", event_time("timestamp")).withWatermark("event_time", WATERMARK)
-    decided = timed.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_NudgeState(policy), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")
+    decided = in_time(signals, delay=delay).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_NudgeState(policy, idle_ms), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")
     priority, message = nudge_content(policy)
     emitted = F.col("decision") == "emitted"
     return decided.withColumn("priority", F.when(emitted, priority)).withColumn("message", F.when(emitted, message))
@@ -213,34 +225,33 @@ def slices(chunks: DataFrame, width: str = "500 milliseconds") -> DataFrame:
         .groupBy("session_id", F.window("event_time", width)).agg(F.count("*").alias("chunks"), F.sum("duration_ms").alias("duration_ms"))
 
 
-class _Conversation(StatefulProcessor):
-    def __init__(self, idle_ms: int | None):
-        self.idle_ms = idle_ms
+class _Conversation(OrderedProcessor):
+    def __init__(self, idle_ms: int):
+        super().__init__("session_id long, seq long, to_state string, event_ms long", ["seq"],
+                         ["session_id", "seq", "from_state", "to_state", "state_after", "valid"], idle_ms)
         self.moves = {a: frozenset(b) for a, b in v.STATE_MOVES.items()}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "state string", ttlDurationMs=self.idle_ms)
+    def open(self, handle):
+        self.state = handle.getValueState("state", "state string")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def fold(self, rows):
         current = self.state.get()[0] if self.state.exists() else "GREETING"
-        out = []
-        for r in _sorted(rows, ["seq"]).to_dict("records"):
+        for r in rows:
             asked, before = r["to_state"], current
             valid = asked in self.moves[current]
             if valid or asked in v.ALWAYS_REACHABLE:
                 current = asked
-            out.append((r["session_id"], r["seq"], before, asked, current, valid))
+            yield {"session_id": r["session_id"], "seq": r["seq"], "from_state": before, "to_state": asked, "state_after": current, "valid": valid}
         self.state.update((current,))
-        yield pd.DataFrame(out, columns=["session_id", "seq", "from_state", "to_state", "state_after", "valid"])
 
-    def close(self) -> None:
-        pass
+    def forget(self):
+        self.state.clear()
 
 
-def conversation_states(requests: DataFrame, idle_ms: int | None = None) -> DataFrame:
+def conversation_states(requests: DataFrame, delay: str = WATERMARK, idle_ms: int = IDLE_MS) -> DataFrame:
     """Transition log of each live session; an invalid request changes nothing."""
-    return requests.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Conversation(idle_ms), outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None",
+    return in_time(requests, delay=delay).groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_Conversation(idle_ms), outputMode="Append", timeMode="EventTime",
         outputStructType="session_id long, seq long, from_state string, to_state string, state_after string, valid boolean")
 
 
@@ -261,13 +272,77 @@ def write_event_log(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.foreachBatch(_batch_writer(path, clean)).option("checkpointLocation", checkpoint)
 
 
-def write_lead_updates(updates: DataFrame, path: str, checkpoint: str):
-    """Append lead updates; ``current_leads`` folds them to one row per call."""
-    return updates.writeStream.foreachBatch(_batch_writer(path)).option("checkpointLocation", checkpoint)
+def write_leads(updates: DataFrame, path: str, checkpoint: str, order=("seq",), buckets: int = LEAD_BUCKETS):
+    """Keep one merged state per call, in buckets of calls.
+
+    A batch reads and rewrites only the buckets it touches, as a version named
+    by its id, from the versions of earlier batches.  A batch that is run again
+    starts from the same versions and writes the same rows, so it changes
+    nothing; a bucket's older versions are never read again.
+    """
+    return updates.writeStream.foreachBatch(lead_batch(path, order, buckets)).option("checkpointLocation", checkpoint)
+
+
+def lead_batch(path: str, order=("seq",), buckets: int = LEAD_BUCKETS):
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = lead_state(batch, list(order)).withColumn("bucket", F.pmod(F.xxhash64("call_id"), F.lit(buckets)).cast("int"))
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most the number of buckets
+        known = {b: n for b, n in _lead_versions(spark, path, batch_id).items() if b in touched}
+        old = _lead_buckets(spark, path, known)
+        out = merge_leads((new if old is None else new.unionByName(old)).drop("bucket"))
+        out.withColumn("bucket", F.pmod(F.xxhash64("call_id"), F.lit(buckets)).cast("int")).repartition("bucket") \
+            .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/version={batch_id}")
+        spark.createDataFrame([(b, batch_id) for b in touched], "bucket int, version long").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/versions/batch={batch_id}")  # last: a batch counts once it is here
+    return merge
+
+
+def _lead_versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """The newest version of each bucket, of batches before ``before``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return {}
+    v_ = spark.read.schema("bucket int, version long, batch long").parquet(f"{path}/versions")
+    kept = v_ if before is None else v_.filter(F.col("batch") < before)
+    return {r.bucket: r.version for r in kept.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def _lead_buckets(spark: SparkSession, path: str, versions: dict[int, int]) -> DataFrame | None:
+    if not versions:
+        return None
+    return spark.read.option("basePath", f"{path}/data").parquet(*[f"{path}/data/version={n}/bucket={b}" for b, n in sorted(versions.items())]).drop("version")
+
+
+def current_leads(spark: SparkSession, path: str) -> DataFrame:
+    """One row a call: the newest version of each bucket, nothing else is read."""
+    return leads_of(_lead_buckets(spark, path, _lead_versions(spark, path)).drop("bucket"))
+
+
+class Intake(StreamingQueryListener):
+    """What ``counted_source`` observed, batch by batch, as a table."""
+
+    def __init__(self, name: str = "source"):
+        self.name, self.seen, self.ended = name, {}, threading.Event()
+
+    def onQueryStarted(self, event):
+        self.ended.clear()
+
+    def onQueryProgress(self, event):
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.seen[(str(event.progress.runId), event.progress.batchId)] = (row["received"], row["final"])
+
+    def onQueryIdle(self, event):
+        pass
 
+    def onQueryTerminated(self, event):
+        self.ended.set()
 
-def current_leads(spark: SparkSession, path: str, order=("seq",)) -> DataFrame:
-    return upsert_leads(spark.read.parquet(path).drop("batch_id"), list(order))
+    def table(self, spark: SparkSession, wait: float = 60.0) -> DataFrame:
+        """``batch_id, received, final``; events arrive in order, so the end of the query comes after its batches."""
+        self.ended.wait(wait)
+        return spark.createDataFrame([(k[1], *x) for k, x in sorted(self.seen.items())], "batch_id long, received long, final long")
 
 
 def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -133,19 +133,57 @@ def test_final_states_in_blocks(spark):
 
 
 def test_stream_equals_batch_over_several_batches(spark, sf, tmp_path):
-    ev_df = sg.transcript_events(cq.turns(spark, sf).drop("role")).select(*st.EVENT.fieldNames()).filter("session_id < 8").orderBy(*sg.ORDER).toPandas()
-    src = tmp_path / "src"
-    cuts = [ev_df[ev_df.timestamp < 8], ev_df[(ev_df.timestamp >= 8) & (ev_df.timestamp < 16)], ev_df[ev_df.timestamp >= 16]]
+    """Partial and final events in no order of time over three batches, with a restart before each."""
+    ev_df = sg.transcript_events(cq.turns(spark, sf).drop("role")).select(*st.EVENT.fieldNames()).filter("session_id < 8").toPandas().sample(frac=1, random_state=3)
+    src, out_dir = str(tmp_path / "src"), str(tmp_path / "out")
     st.use_rocksdb(spark)
-    for part in cuts:  # the source sees one more file before every restart
-        spark.createDataFrame(part, st.EVENT).coalesce(1).write.mode("append").parquet(str(src))
-        out = st.run_available(st.signals_stream(st.read_transcripts(spark, str(src), 1)), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+
+    def signals():
+        return st.run_available(st.signals_stream(st.read_transcripts(spark, src, 1), delay="1 hour"), out_dir, str(tmp_path / "ckpt"))
+
+    for k in range(3):
+        spark.createDataFrame(ev_df[k::3], st.EVENT).coalesce(1).write.mode("append").parquet(src)
+        assert signals().count() == 0  # within the delay nothing is decided
+    st.write_end(spark.createDataFrame(ev_df, st.EVENT), src, chunk_sequence=0, text="the end", is_final=True)
+    out = signals()
     cols = ["session_id", "chunk_sequence", "is_final", "signal_type", "rule_name", "evidence"]
     batch = sg.detect_signals(spark.createDataFrame(ev_df, st.EVENT))
     assert sorted(map(tuple, out.select(*cols).collect()), key=str) == sorted(map(tuple, batch.select(*cols).collect()), key=str)
-    nudged = st.run_available(st.nudges_stream(spark.readStream.schema(out.schema).parquet(str(tmp_path / "out"))), str(tmp_path / "n"), str(tmp_path / "nc"))
-    want = sorted(r["decision"] for r in nd.nudge_decisions(batch).collect())
-    assert sorted(r["decision"] for r in nudged.filter("decision <> 'expired'").collect()) == want
+    sig_dir = str(tmp_path / "signals")
+    files = st.write_slices(out, sig_dir, "chunk_sequence", dealt=True)
+    st.write_end(out, sig_dir, confidence=0.0, signal_type="heartbeat")
+    stream = spark.readStream.schema(out.schema).option("maxFilesPerTrigger", files).parquet(sig_dir)
+    nudged = st.run_available(st.nudges_stream(stream, delay="1 hour"), str(tmp_path / "n"), str(tmp_path / "nc")).filter("session_id >= 0")
+    key = ["session_id", "chunk_sequence", "is_final", "signal_type", "rule_name", "decision"]
+    want = sorted(map(tuple, nd.nudge_decisions(batch).select(*key).collect()), key=str)
+    assert sorted(map(tuple, nudged.filter("decision <> 'expired'").select(*key).collect()), key=str) == want
+    assert nudged.filter("decision = 'expired'").count() == sum(w[-1] == "emitted" for w in want)
+
+
+def test_silent_session_is_forgotten(spark, tmp_path):
+    """A session that goes on after its idle time starts anew; before it, it goes on."""
+    src, schema = str(tmp_path / "src"), "session_id long, seq long, to_state string, timestamp double"
+    st.use_rocksdb(spark)
+    last = list(v.STATE_MOVES)[0]
+    first = next(iter(v.STATE_MOVES["GREETING"]))
+    for batch in ([(1, 0, first, 0.0), (2, 0, first, 0.0)], [(9, 0, last, 50000.0)], [(9, 1, last, 200000.0), (2, 1, last, 140000.0)], [(1, 1, last, 210000.0), (9, 2, last, 9e6)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        out = st.run_available(st.conversation_states(stream, delay="1 day", idle_ms=100000 * 1000), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = {(r.session_id, r.seq): r.from_state for r in out.collect()}
+    assert got[(1, 0)] == got[(2, 0)] == "GREETING" and got[(1, 1)] == "GREETING"
+
+
+def test_replayed_lead_batch_changes_nothing(spark, sf, tmp_path):
+    updates = cq._lead_updates(spark, sf)
+    path, merge = str(tmp_path / "leads"), st.lead_batch(str(tmp_path / "leads"), buckets=4)
+    parts = [updates.filter(F.pmod(F.xxhash64("call_id", "seq"), F.lit(3)) == k) for k in range(3)]
+    want = sorted(map(tuple, calls.upsert_leads(updates, ["seq"]).drop("n_notes").collect()), key=str)
+    for k in (0, 1, 1, 2, 2):  # batches come again
+        merge(parts[k], k)
+    leads = st.current_leads(spark, path)
+    assert sorted(map(tuple, leads.select(calls.upsert_leads(updates, ["seq"]).drop("n_notes").columns).collect()), key=str) == want
+    assert leads.agg(F.sum("n_notes")).first()[0] == updates.filter("notes <> ''").count()
 
 
 @pytest.mark.parametrize("raw,value,ambiguous", [
