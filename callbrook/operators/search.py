@@ -22,7 +22,8 @@ from callbrook.functions.text import string_array, strip, tokens, without
 from callbrook.operators.carry import broadcast_if_small, is_small
 
 SMALL_QUERY_ROWS = 200_000     # exploded query terms that may be broadcast
-QUERY_BLOCK = 20_000           # query vectors held by one scoring task (60 MB)
+QUERY_BLOCK = 10_000           # query vectors held by one scoring task (30 MB)
+SHARES = 2                     # shares of the vectors for each of their partitions
 TILE = 256                     # queries scored at once: 20 MB for an Arrow batch of 10 000 rows
 BROADCAST_BYTES = 64 << 20     # of candidates with their query's text and features
 RANK_PLACES = 9
@@ -197,28 +198,39 @@ def _best_per_batch(ids: pa.Array, sims: np.ndarray, n: int):
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def nearest(vectors_df: DataFrame, key: str, vector: str, query_ids: list, matrix: np.ndarray, n: int,
-            query_type: str) -> DataFrame:
-    """Top ``n`` rows per query vector: one matrix product per Arrow batch, of
-    which only each batch's best rows leave the task."""
+def _matrix(table: pa.Table, column: str) -> np.ndarray:
+    flat = table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(table.num_rows, -1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            flat = flat.reshape(batch.num_rows, -1)
-            for at in range(0, len(matrix), TILE):
-                sims = np.clip(flat @ matrix[at:at + TILE].T, -1.0, 1.0)
-                rows, cols = _best_per_batch(batch.column(0), sims, n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query_ids[at + j] for j in cols]), batch.column(0).take(pa.array(rows)),
-                     pa.array(sims[rows, cols])], ["query_id", "chunk_id", "dense_score"])
-
-    key_type = vectors_df.schema[key].dataType.simpleString()
-    found = vectors_df.select(key, vector).mapInArrow(
-        score, f"query_id {query_type}, chunk_id {key_type}, dense_score double")
+
+def nearest(vectors_df: DataFrame, queries: DataFrame, n: int, blocks: int) -> DataFrame:
+    """Top ``n`` rows (key, vector) per query (query_id, vector): a block matrix product.
+
+    Vectors are dealt to shares, queries to blocks; a task holds one share and
+    one block, multiplies them tile by tile and returns each query's best rows
+    of the share.  More vectors make more shares, more queries more blocks.
+    """
+    key, vector = vectors_df.columns
+    shares = SHARES * max(vectors_df.sparkSession.sparkContext.defaultParallelism, vectors_df.rdd.getNumPartitions())
+    types = {c: vectors_df.schema[key].dataType.simpleString() if c == key else queries.schema["query_id"].dataType.simpleString() for c in (key, "query_id")}
+    v_side = vectors_df.select(F.pmod(F.xxhash64(key), F.lit(shares)).cast("int").alias("share"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), key, vector)
+    q_side = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
+                            F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", F.col("vector").alias("asked"))
+
+    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        made = []
+        if rows.num_rows and asked.num_rows:
+            m, q, ids, names = _matrix(rows, vector), _matrix(asked, "asked"), rows[key].combine_chunks(), asked["query_id"].combine_chunks()
+            for at in range(0, len(q), TILE):
+                sims = np.clip(m @ q[at:at + TILE].T, -1.0, 1.0)
+                best, cols = _best_per_batch(ids, sims, n)
+                made.append(pa.Table.from_arrays([names.take(pa.array(at + cols)), ids.take(pa.array(best)), pa.array(sims[best, cols])],
+                                                 ["query_id", "chunk_id", "dense_score"]))
+        return pa.concat_tables(made) if made else pa.Table.from_arrays(
+            [asked["query_id"].slice(0, 0), rows[key].slice(0, 0), pa.array([], pa.float64())], ["query_id", "chunk_id", "dense_score"])
+
+    found = v_side.groupBy("share", "block").cogroup(q_side.groupBy("share", "block")).applyInArrow(
+        score, f"query_id {types['query_id']}, chunk_id {types[key]}, dense_score double")
     return top_ranked(found, "dense_score", n, "dense_rank")
 
 
@@ -226,8 +238,8 @@ def dense_topk(chunks: DataFrame, queries: DataFrame, n: int, filters: Mapping[s
                chunk_vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, dense_score, dense_rank) by cosine of hashed vectors.
 
-    Query vectors travel with the task in blocks of at most about
-    ``QUERY_BLOCK``; more queries make more blocks, never a bigger one.  A
+    Query vectors travel in blocks of about ``QUERY_BLOCK``; more queries make
+    more blocks, never a bigger one, and none comes to the driver.  A
     metadata filter applies before scoring.
     """
     pool = filter_chunks(chunks, filters) if filters else chunks
@@ -243,26 +255,10 @@ def vector_topk(vectors_df: DataFrame, queries: DataFrame, embed: Callable[[Data
                 key: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """Top ``n`` of ``vectors_df`` for every query.
 
-    ``embed`` turns queries into (query_id, vector).  A block of query vectors
-    travels with the scoring task; more queries make more blocks.
+    ``embed`` turns queries into (query_id, vector).
     """
-    total = queries.count()
-    blocks = -(-2 * total // QUERY_BLOCK) if total > QUERY_BLOCK else 1
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for block in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        table = embed(part).toArrow()
-        if not table.num_rows:
-            continue
-        matrix = np.vstack(table.column("vector").to_pylist())
-        found = nearest(vectors_df, key, vector, table.column("query_id").to_pylist(), matrix, n, query_type)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        key_type = vectors_df.schema[key].dataType.simpleString()
-        return vectors_df.sparkSession.createDataFrame(
-            [], f"query_id {query_type}, chunk_id {key_type}, dense_score double, dense_rank int")
-    return out
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    return nearest(vectors_df.select(key, vector), embed(queries), n, blocks)
 
 
 # --- metadata ----------------------------------------------------------------

@@ -177,3 +177,21 @@ def test_a_hot_hash_is_cut_into_segments(spark, monkeypatch):
     assert got == want
     hot = ingest.placed_in_key(df, "test", "content", ["seq"]).filter("content = 'hot'").groupBy("place").count().collect()
     assert len(hot) >= 15 and max(r["count"] for r in hot) <= 64
+
+
+def test_vector_search_in_blocks_against_brute_force(spark, monkeypatch):
+    """Many blocks of queries and shares of vectors give the rows of one matrix product; none of it passes the driver."""
+    import numpy as np
+
+    from callbrook.operators import search
+    r = np.random.default_rng(4)
+    x, q = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (r.normal(size=(500, 8)), r.normal(size=(37, 8))))
+    x[100:140] = x[7]  # ties go to the smaller id
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "chunk_id long, vector array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id long, vector array<double>")
+    sims = np.round(q @ x.T, 9)
+    want = {(i, int(j), k + 1) for i in range(len(q)) for k, j in enumerate(np.lexsort((np.arange(500), -sims[i]))[:6])}
+    for block in (10_000, 5):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        got = search.vector_topk(rows, asked, lambda part: part, 6)
+        assert {(t.query_id, t.chunk_id, t.dense_rank) for t in got.collect()} == want
