@@ -5,7 +5,7 @@ sorted array the neighbours of a query are its longest prefix matches; going out
 prefixes.  All trees ascend together by the same number of places, ``reach``.  The arrays are cut into cells of a fixed number
 of consecutive places; blocks of queries travel to the cells they reach, and only the best candidates of each cell leave it, so a
 group's size does not grow with the reach.
-After a search the recall of a bounded number of queries is measured against brute force over all rows; while it is below
+The first reach is short, so that a search looks at a small part of each tree.  After a search the recall of a bounded number of queries is measured against brute force over all rows; while it is below
 ``recall`` all trees ascend further.
 
 Equal vectors are one point with its ``k + 1`` smallest ids, enough for exact results, so a group of copies is never gathered.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from callbrook.operators.ranking import ranked
 from callbrook.session import written
 
-TREES, REACH, CELL, RECALL, MEASURED, BITS = 16, 2048, 4096, 0.95, 64, 64
+TREES, REACH, CELL, RECALL, MEASURED, BITS = 16, 64, 4096, 0.95, 64, 64
 FOUND = "q long, c long, score double"
 
 

@@ -191,11 +191,6 @@ whole AS (SELECT doc_id, r.i AS i, r.x AS x FROM (SELECT doc_id, unnest(list_tra
 kept AS (SELECT doc_id, count(gone.i) AS n, coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE gone.i IS NULL), '') AS text
          FROM whole LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE kept.text END AS text FROM documents d LEFT JOIN kept USING (doc_id)""",
-    "op5_prefix_forest": """
-WITH e AS (SELECT vec_id, embedding::DOUBLE[64] AS v FROM embeddings WHERE len(embedding) = 64),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.v, b.v) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_license_diagonals": _license_sql(),
     "op10_url_trie": f"""
 WITH rules(rule_host, rule_path, rule_verdict) AS (VALUES {", ".join(map(str, URL_RULES))}),
