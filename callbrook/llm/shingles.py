@@ -171,7 +171,11 @@ def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES)
     """``a, b``: confirmed links that connect the sets ``row, n, fp, first`` as all pairs that reach the similarity would.
     ``whole`` gives the whole sets of a table of rows."""
     at = sets.select("row", "n", F.posexplode("first").alias("at", "h"))
-    twice = written(at.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h"), "twice")
+    # size and place in one number: under a shingle of two sets the least and the largest are both of them, and tell if they may be a pair
+    both = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
+    counts = at.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min(both).alias("x"), F.max(both).alias("y"))
+    n, i, m, j = (f(F.col(c)) for c in "xy" for f in (lambda p: F.shiftright(p, 32), lambda p: p.bitwiseAND(F.lit(0xFFFFFFFF))))
+    twice = written(counts.filter((F.col("c") > 2) | (F.col("c") == 2) & may_reach(n, i, m, j, similarity)).select("h"), "twice")
     shared = written(_join(at, twice, "h", "left_semi"), "shared")
     rows = written(shared.groupBy("row").agg(F.first("n").alias("n")).select("row"), "rows")
 
