@@ -4,8 +4,9 @@ Every document of a source may be copied ``target / source size`` times.  The wh
 settled in pairs: words move from one document to the other until one of the two probabilities is 0 or 1, with odds that keep
 every document's expectation, and the other document meets the next.  Words are conserved at each step.  A bucket of a source
 leaves one unsettled document and, kept aside as small change, a few others; these meet the leftovers of other buckets in a tree of
-bounded fan-in.  At a source's root a large document is settled against the small change as a whole, so that the last
-rounding error is that of a small document.  Units are ordered by one hash and drawn by another, fresh at each level, so that
+bounded fan-in.  The root does the same: small change is set aside until it can take the largest document twice
+over, all others meet in pairs, and what the pairs leave is settled against the change as a whole, so that the last
+rounding error is that of a small document.  A source of any size goes this way.  Units are ordered by one hash and drawn by another, fresh at each level, so that
 neighbours in a bucket do not share their draws, nor do repeated rows.
 
 Defined results: a null or blank text has size 0 and is copied by its own draw; a null source is a source of its own, ordered last;
@@ -26,7 +27,7 @@ from callbrook.llm.common import words
 from callbrook.operators.ranking import ranked
 from callbrook.session import written
 
-BUCKET, FAN, CHANGE = 4096, 64, 64
+BUCKET, FAN, CHANGE, RESERVE = 4096, 64, 64, 2.0
 UNIT = "__row long, __h long, __place long, __bucket long, __size double, __p double, __order long, __spare boolean"
 
 
@@ -79,32 +80,31 @@ def _pair(size, p, u):
     return p, a
 
 
-def _root(size, p, u):
-    """Settle everything, the largest first, each against all smaller ones together while these can take the difference."""
+def _root(size, p, rng):
+    """Settle everything, the largest first, each against all smaller ones together while these can take the difference.
+
+    The others move along one fixed direction, ``p * (1 - p)`` each, so that every expectation is kept.
+    """
     order = np.argsort(-size, kind="stable")
-    size, p, u = size[order], p[order], u[order]
+    size, p = size[order], p[order]
     i, n = 0, len(p)
     while i < n:
         if not 0.0 < p[i] < 1.0:
             i += 1
             continue
         rest = slice(i + 1, n)
-        open_ = (p[rest] > 0.0) & (p[rest] < 1.0)
-        give = float((size[rest] * p[rest])[open_].sum())
-        take = float((size[rest] * (1.0 - p[rest]))[open_].sum())
-        need, spare = (1.0 - p[i]) * size[i], p[i] * size[i]
-        if need < give and spare < take:
-            up = u[i] < p[i]
-            q = p[rest]
-            p[rest] = np.where(open_, q * (1.0 - need / give) if up else q + (1.0 - q) * spare / take, q)
+        q, way = p[rest], p[rest] * (1.0 - p[rest])
+        room = float((size[rest] * way).sum())
+        if size[i] * max(p[i], 1.0 - p[i]) < room:
+            up = rng.random() < p[i]
+            p[rest] = q - way * (1.0 - p[i]) * size[i] / room if up else q + way * p[i] * size[i] / room
             p[i] = float(up)
             i += 1
-        elif open_.any():
-            j = i + 1 + int(np.argmax(open_))
-            pair, _ = _pair(size[[i, j]], p[[i, j]], u[[i, j]])
-            p[[i, j]] = pair
+        elif way.any():
+            j = i + 1 + int(np.argmax(way > 0.0))
+            p[[i, j]], _ = _pair(size[[i, j]], p[[i, j]], rng.random(2))
         else:
-            p[i] = float(u[i] < p[i])
+            p[i] = float(rng.random() < p[i])
     back = np.empty(n)
     back[order] = p
     return back
@@ -124,19 +124,27 @@ def _draws(h: np.ndarray, nth: np.ndarray, seed: int, level: int) -> np.ndarray:
     return (x >> np.uint64(11)) * 2.0 ** -53
 
 
+def _kept_aside(size, p, change: int) -> int:
+    """How many of the units, in order, make up change that can take the largest one ``RESERVE`` times over."""
+    enough = np.cumsum(size * p * (1.0 - p)) >= RESERVE * size.max(initial=0.0)
+    return max(change, int(np.argmax(enough)) + 1 if enough.any() else len(p))
+
+
 def _settle(root: bool, change: int, seed: int, level: int):
     def settle(units: pd.DataFrame) -> pd.DataFrame:
         units = units.sort_values(["__order", "__row"], kind="stable").reset_index(drop=True)
         size, p = (units[c].to_numpy(float).copy() for c in ("__size", "__p"))
-        u = _draws(units["__h"].to_numpy(), units.groupby("__h").cumcount().to_numpy(), seed, level)
+        h, nth = units["__h"].to_numpy(np.int64), units.groupby("__h").cumcount().to_numpy()
+        u = _draws(h, nth, seed, level)
         spare = np.zeros(len(units), bool)
+        loose = np.flatnonzero((p > 0) & (p < 1))
+        loose = loose[np.argsort(~units["__spare"].to_numpy(bool)[loose], kind="stable")]
+        spare[loose[:_kept_aside(size[loose], p[loose], change) if root else change]] = True
+        main = np.flatnonzero(~spare)
+        p[main], _ = _pair(size[main], p[main], u[main])
         if root:
-            p = _root(size, p, u)
-        else:
-            loose = np.flatnonzero((p > 0) & (p < 1))
-            spare[np.sort(loose[np.argsort(~units["__spare"].to_numpy(bool)[loose], kind="stable")][:change])] = True
-            main = np.flatnonzero(~spare)
-            p[main], _ = _pair(size[main], p[main], u[main])
+            left = np.flatnonzero((p > 0) & (p < 1))
+            p[left] = _root(size[left], p[left], np.random.default_rng((seed, level, int(h.view(np.uint64).sum()))))
         return units.assign(__p=p, __spare=spare)
     return settle
 
