@@ -272,3 +272,23 @@ def test_repeated_rows_share_no_overfull_bucket(spark):
                        F.lit(3.0).alias("__size"), F.lit(0.5).alias("__rate"), F.lit(358).cast("long").alias("__n"))
     got = mixing.copies(mixing.written(base, "units"), bucket=16, fan=4, change=2).collect()
     assert len(got) == 358 and abs(sum(r["__copies"] for r in got) - 179) <= 1
+
+
+def test_quoted_secrets_without_digits_are_looked_at():
+    for text in ('x password: "abcdefghijklmn", y', 'password:"abcdefghijklmn"', 'token = "correcthorsebattery"'):
+        kind, s, e = pii.labelled(text, 0, len(text))[0]
+        (low, high), = pii.regions(text)
+        assert kind == "secret" and low <= s and e <= high
+        _, hot, spans = pii.Field.candidates(text, low, high)
+        assert any(row[0] == (s, e) and hot[i] for i, row in enumerate(spans))
+    assert list(pii.regions('he said "no" and left')) == []
+    examples = [f'{word}: "{"".join(chr(97 + (7 * k + j * j) % 26) for j in range(14 + k % 5))}" is set' for k in range(60) for word in ("password", "api_key")]
+    field = pii.train(examples[:80], epochs=6)
+    found = sum(field.spans(t, 0, len(t), 0.5) == pii.labelled(t, 0, len(t)) for t in examples[80:])
+    assert found >= 36
+
+
+def test_long_runs_of_brackets_are_trimmed_at_once():
+    text = "1" + ")" * 200_000
+    assert pii._trim(text, 0, len(text)) == (0, 1)
+    assert pii._trim("((415) 555)", 0, 11) == (0, 11)
