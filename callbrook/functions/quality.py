@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from callbrook import fixed_values as v
 from callbrook.functions.text import col, contains_any, is_blank, strip
@@ -56,67 +54,83 @@ def term_replacements(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
 
 # --- personal data -----------------------------------------------------------
 
-_SPANS = T.StructType([
-    T.StructField("masked", T.StringType()),
-    T.StructField("entities", T.ArrayType(T.StructType([
-        T.StructField("entity_type", T.StringType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-    ]))),
-])
-
-#: (type, pattern, fewest digits or signs without separators)
+def _jvm(pattern: str, flags: str) -> str:
+    """White space as wide as in Python, Unicode classes for the rest."""
+    wide = r"\s\x1c-\x1f"
+    return f"(?{flags}U)" + pattern.replace(r"[\s", "[" + wide).replace(r":\s-", f":{wide}-").replace(r"\s+", f"[{wide}]+")
+
+
+#: (type, pattern, fewest signs without separators, sign of a text that may hold it)
 _DETECTORS = [
-    *((kind, re.compile(p), 7 if kind == "phone" else 0) for kind, ps in (("email", (v.PII_EMAIL,)), ("phone", v.PII_PHONES)) for p in ps),
-    *(("account_id", re.compile(p, re.IGNORECASE), 0) for p in v.PII_ACCOUNTS),
-    ("person_name", re.compile(v.PII_TITLED_NAME), 0),
+    ("email", _jvm(v.PII_EMAIL, ""), 0, "@"),
+    *(("phone", _jvm(p, ""), 7, r"(?U)\d") for p in v.PII_PHONES),
+    *(("account_id", _jvm(p, "iu"), 0, r"(?U)\d") for p in v.PII_ACCOUNTS),
+    ("person_name", _jvm(v.PII_TITLED_NAME, ""), 0, "Mr|Ms|Dr|Prof"),
 ]
-_SEPARATORS = re.compile(r"[ .-]")
+_HIT = "array<struct<start:int,minus:double,rank:int,end:int,text:string>>"
+_ENTITY = "array<struct<entity_type:string,start:int,end:int,text:string,confidence:double>>"
 
 
-def personal_spans(texts: Sequence[str]) -> list[list[tuple]]:
-    """For each text its non-overlapping (type, start, end, text, confidence).
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    One sorted pass over the matches of the whole batch: the earliest start wins, confidence and the order of the detectors
-    decide only between equal starts.
-    """
-    hits = sorted(
-        (row, m.start(), -v.PII_CONFIDENCE[kind], rank, m.end())
-        for rank, (kind, pattern, least) in enumerate(_DETECTORS) for row, text in enumerate(texts)
-        for m in pattern.finditer(text) if not least or len(_SEPARATORS.sub("", m[0])) >= least)
-    out: list[list[tuple]] = [[] for _ in texts]
-    for row, start, minus, rank, end in hits:
-        if not out[row] or start >= out[row][-1][2]:
-            out[row].append((_DETECTORS[rank][0], start, end, texts[row][start:end], -minus))
-    return out
 
+def _hits(text: Column, rank: int) -> Column:
+    """Where one detector matches: the pieces between the matches tell the places."""
+    kind, pattern, least, sign = _DETECTORS[rank]
+    none = F.array().cast(_HIT)
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                       lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("text")))
+
+    def place(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["text"])
+        hit = F.struct(start.alias("start"), F.lit(-v.PII_CONFIDENCE[kind]).alias("minus"), F.lit(rank).alias("rank"),
+                       end.alias("end"), x["text"].alias("text"))
+        return F.struct(F.array_append(acc["out"], hit).cast(_HIT).alias("out"), end.alias("at"))
+
+    placed = F.aggregate(F.filter(pairs, lambda x: x["text"].isNotNull()),
+                         F.struct(none.alias("out"), F.lit(0).alias("at")), place, lambda acc: acc["out"])
+    if least:
+        placed = F.filter(placed, lambda x: F.length(F.regexp_replace(x["text"], "[ .-]", "")) >= least)
+    return F.when(text.rlike(sign), placed).otherwise(none)
+
+
+def personal_entities(c: Column | str) -> Column:
+    """Non-overlapping entities of a text: the earliest start wins, confidence and the order of the detectors decide only
+    between equal starts.  A fold over the sorted matches, all on the JVM."""
+    text = F.coalesce(col(c), F.lit(""))
+    hits = F.array_sort(F.concat(*[_hits(text, k) for k in range(len(_DETECTORS))]))
+    kinds = F.array(*[F.lit(d[0]) for d in _DETECTORS])
+
+    def take(acc: Column, x: Column) -> Column:
+        return F.when(x["start"] >= acc["at"], F.struct(F.array_append(acc["out"], x).cast(_HIT).alias("out"), x["end"].alias("at"))).otherwise(acc)
 
-def masked_text(text: str, spans: list[tuple]) -> str:
-    out, at = [], 0
-    for kind, start, end, *_ in spans:
-        out += [text[at:start], f"[{kind.upper()}]"]
-        at = end
-    return "".join(out) + text[at:]
+    kept = F.aggregate(hits, F.struct(F.array().cast(_HIT).alias("out"), F.lit(0).alias("at")), take, lambda acc: acc["out"])
+    return F.transform(kept, lambda x: F.struct(
+        F.get(kinds, x["rank"]).alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"),
+        (-x["minus"]).alias("confidence"))).cast(_ENTITY)
 
 
-@F.pandas_udf(_SPANS)
-def _detect(texts: pd.Series) -> pd.DataFrame:
-    names = ("entity_type", "start", "end", "text", "confidence")
-    found = personal_spans(["" if t is None else t for t in texts])
-    masked = [None if t is None else masked_text(t, x) for t, x in zip(texts, found)]
-    return pd.DataFrame({"masked": masked, "entities": [[dict(zip(names, s)) for s in x] for x in found]})
+def masked_text(text: Column, entities: Column) -> Column:
+    """The text with each entity replaced by its type."""
+    def end_before(i: Column) -> Column:
+        return F.coalesce(F.get(entities, i - 1)["end"], F.lit(0))
+
+    parts = F.transform(entities, lambda x, i: F.concat(
+        F.substring(text, end_before(i) + 1, x["start"] - end_before(i)), F.lit("["), F.upper(x["entity_type"]), F.lit("]")))
+    return F.concat(F.array_join(parts, ""), F.substring(text, end_before(F.size(entities)) + 1, F.length(text)))
 
 
 _MAY_HOLD_PII = r"(?U)@|\d|(?:Mr|Mrs|Ms|Dr|Prof)"
 
 
 def personal_data(c: Column | str) -> Column:
-    """Struct (masked, entities).  Texts without ``@``, a digit or a title are
-    passed to the worker as null, so most rows cost nothing there."""
+    """Struct (masked, entities).  Texts without ``@``, a digit or a title are passed on as they are."""
     text = col(c)
-    return _detect(F.when(text.rlike(_MAY_HOLD_PII), text))
+    found = _bound(personal_entities(text), lambda e: F.struct(masked_text(text, e).alias("masked"), e.alias("entities")))
+    return F.when(text.rlike(_MAY_HOLD_PII), found).otherwise(F.struct(text.alias("masked"), F.array().cast(_ENTITY).alias("entities")))
 
 
 def mask_emails(c: Column | str, mask: str = "[EMAIL]") -> Column:
@@ -156,6 +170,29 @@ def sanitize_map(m: Column | str) -> Column:
     return F.transform_values(col(m), lambda _k, val: sanitize(val))
 
 
+_JSON_PART = r'"[^"]*+":?|[^"]++'
+
+
+def sanitize_json(payload: Column | str) -> Column:
+    """A JSON payload of any depth with every string value masked and its keys untouched.
+
+    The payload is brought into its plain form, cut into strings and what stands between them, and a string before a colon is a
+    key.  What is no JSON is masked as one string; key order and spacing are those of the plain form.
+    """
+    raw = col(payload)
+    pair, quote = "\x01", "\x02"  # never bare in plain JSON
+    plain = F.replace(F.replace(F.to_json(F.try_parse_json(raw)), F.lit("\\\\"), F.lit(pair)), F.lit('\\"'), F.lit(quote))
+
+    def mask(part: Column) -> Column:
+        escaped = F.replace(F.replace(part, F.lit(quote), F.lit('\\"')), F.lit(pair), F.lit("\\\\"))
+        value = F.get(F.from_json(F.concat(F.lit("["), escaped, F.lit("]")), "array<string>"), F.lit(0))
+        listed = F.to_json(F.array(sanitize(value)))
+        return F.when(part.startswith('"') & ~part.endswith(":"), F.substring(listed, F.lit(2), F.length(listed) - 2)).otherwise(escaped)
+
+    parts = F.transform(F.regexp_extract_all(plain, F.lit(_JSON_PART), F.lit(0)), mask)
+    return F.coalesce(F.array_join(parts, ""), sanitize(raw))
+
+
 # --- validation --------------------------------------------------------------
 
 

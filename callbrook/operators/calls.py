@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from callbrook import fixed_values as v
 from callbrook.functions.clock import epoch_micros
 from callbrook.functions.quality import sanitize_map
-from callbrook.functions.text import contains_any
+from callbrook.functions.text import contains_any, stable_id
 from callbrook.operators.carry import Running, running
+from callbrook.operators.ranking import ranked
 from callbrook.session import written
 
 # --- percentiles and latency -------------------------------------------------
@@ -280,6 +281,40 @@ def call_summary(turns: DataFrame) -> DataFrame:
         .withColumn("detected_terms", F.coalesce("detected_terms", F.array().cast("array<string>")))
 
 
+def localized_call_summary(turns: DataFrame, qualified: DataFrame, leads: DataFrame) -> DataFrame:
+    """``call_summary`` with the last register, the confirmed ``qualification`` of ``qualified`` and whether the call has a lead."""
+    registers = turns.groupBy("call_id").agg(F.max_by("register", "turn").alias("final_register"))
+    with_lead = leads.select("call_id").distinct().withColumn("lead_created", F.lit(True))
+    return call_summary(turns).join(registers, "call_id").join(qualified.select("call_id", "qualification"), "call_id", "left") \
+        .join(with_lead, "call_id", "left").withColumn("lead_created", F.coalesce("lead_created", F.lit(False)))
+
+
+def with_lead_ids(leads: DataFrame) -> DataFrame:
+    """The id of a lead follows from its call, so an update or a replay keeps it."""
+    return leads.withColumn("lead_id", stable_id("lead", "call_id"))
+
+
+def lead_list(leads: DataFrame) -> DataFrame:
+    """All leads with their place in the order of creation, from 1; ties go to the smaller call."""
+    return ranked(with_lead_ids(leads), "leads", "created_at", "call_id").withColumn("position", F.col("rank") + 1).drop("rank")
+
+
+def leads_of_calls(leads: DataFrame, calls: DataFrame) -> DataFrame:
+    """The lead of each asked call; a call without one gives a row of nulls."""
+    return calls.select("call_id").distinct().join(with_lead_ids(leads), "call_id", "left")
+
+
+def leads_by_id(leads: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lead of each asked id; an unknown id gives a row of nulls."""
+    return ids.select("lead_id").distinct().join(with_lead_ids(leads), "lead_id", "left")
+
+
+def events_of_calls(events: DataFrame, calls: DataFrame, order: str, segment: int = 4096) -> DataFrame:
+    """The events of the asked calls, numbered from 1 within each call by ``order``, a whole number."""
+    asked = events.join(calls.select("call_id").distinct(), "call_id", "left_semi")
+    return running(asked, ["call_id"], [order], F.floor(F.col(order) / segment), [Running("event_no", "sum", F.lit(1), inclusive=True)])
+
+
 def call_transcript(turns: DataFrame) -> DataFrame:
     """Turns in reading order, range-partitioned so that a long call spreads."""
     return turns.repartitionByRange("call_id", "turn").sortWithinPartitions("call_id", "turn")

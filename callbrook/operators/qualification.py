@@ -276,6 +276,27 @@ def running_fields(turns: DataFrame, call: str, turn: str, fields: Sequence[str]
                    [Running(f"{f}_now", "last", F.col(f), inclusive=True) for f in fields])
 
 
+def stated(value: Column, ambiguous: Column, turn: Column) -> Column:
+    """A field as one turn states it, null where the turn says nothing about it."""
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), ambiguous.alias("is_ambiguous"), turn.alias("source_turn")))
+
+
+def stated_fields(utterance: Column | str, turn: Column | str) -> dict[str, Column]:
+    """Every mandatory field of an utterance with its ambiguity and its turn."""
+    f, clear = extract_fields(utterance), F.lit(False)
+    return {k: stated(f[k], F.coalesce(f["revenue_ambiguous"], clear) if k == "monthly_revenue" else clear, col(turn)) for k in v.MANDATORY_FIELDS}
+
+
+def final_fields(turns: DataFrame, call: str, turn: str, fields: Sequence[str]) -> DataFrame:
+    """One row per call: the last statement of each field.  Combines map-side, however long a call is."""
+    return turns.groupBy(call).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(turn))).alias(f) for f in fields])
+
+
+def snapshot(fields: Sequence[str]) -> Column:
+    """The fields that count as confirmed, in one struct: unclear ones are null."""
+    return F.struct(*[validated(F.col(f)).alias(f) for f in fields])
+
+
 def validated(field: Column) -> Column:
     return F.when(~field["is_ambiguous"] & field["value"].isNotNull(), field["value"])
 

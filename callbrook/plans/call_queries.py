@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
 from callbrook.functions.clock import epoch_seconds
-from callbrook.functions.quality import sanitize
+from callbrook.functions.quality import sanitize, sanitize_json
+from callbrook.functions.text import stable_id
 from callbrook.operators import calls as c
 from callbrook.operators import nudges as nd
 from callbrook.operators import signals as sg
@@ -281,6 +282,16 @@ def event_log_map(spark, sf):
     return c.call_event_log(e).select("session_id", "chunk_sequence", F.element_at("payload", "turn").alias("turn"), F.element_at("payload", "text").alias("text"))
 
 
+def event_payload_nested(spark, sf):
+    """Given properties two levels deep beside texts that name addresses and numbers; every seventh payload is no JSON."""
+    e = read(spark, sf, "events")
+    number = F.lpad((F.col("event_id") % 10000).cast("string"), 4, "0")
+    nested = F.concat(F.lit('{"call":{"notes":["write \\\\ \\"u'), F.col("user_id"), F.lit('@mail.example.com\\" now",{"props":'), F.col("props"),
+                      F.lit(',"u@x.co":"call\\n415-555-'), number, F.lit('"}],"n":'), F.col("event_id"), F.lit("}}"))
+    raw = F.when(F.col("event_id") % 7 == 3, F.concat(F.lit("{a@b.com 415-555-"), number)).otherwise(nested)
+    return e.select("event_id", sanitize_json(raw).alias("payload"))
+
+
 def last_user_query(spark, sf):
     return c.last_user_message(read(spark, sf, "conversations"))
 
@@ -335,6 +346,29 @@ def lead_upsert(spark, sf):
     return c.upsert_leads(_lead_updates(spark, sf), ["seq"])
 
 
+_LEAD_COLUMNS = ("lead_id", "call_id", "business_type", "monthly_revenue", "qualification_status", "created_at")
+
+
+def lead_list(spark, sf):
+    return c.lead_list(lead_upsert(spark, sf)).select("position", *_LEAD_COLUMNS)
+
+
+def lead_by_call(spark, sf):
+    asked = read(spark, sf, "events").select(F.col("user_id").alias("call_id"))
+    return c.leads_of_calls(lead_upsert(spark, sf), asked).select(*_LEAD_COLUMNS)
+
+
+def lead_by_id(spark, sf):
+    asked = read(spark, sf, "customer").select(stable_id("lead", "c_custkey").alias("lead_id"))
+    return c.leads_by_id(lead_upsert(spark, sf), asked).select(*_LEAD_COLUMNS)
+
+
+def call_events(spark, sf):
+    """Events of the calls that have a lead, in order."""
+    events = read(spark, sf, "events").withColumnRenamed("user_id", "call_id")
+    return c.events_of_calls(events, lead_upsert(spark, sf), "event_id").select("call_id", "event_no", "event_id", "event_type")
+
+
 def lead_notes(spark, sf):
     return c.lead_notes(_lead_updates(spark, sf), "seq")
 
@@ -375,7 +409,7 @@ def retryable_errors(spark, sf):
 QUERIES = {f.__name__: f for f in (
     transcript_events, topic_shift, disclosure_gap, rule_signals, nudges_greedy, nudges_of_events, expired_nudges,
     latency_summary, session_stats, tumbling_slices, audio_slices, transition_audit, final_states, event_log_sanitize,
-    event_log_map, last_user_query, rolling_context, call_summary, escalation_extract, fallback_extract, call_transcript, lead_upsert, lead_notes,
+    event_log_map, event_payload_nested, last_user_query, rolling_context, call_summary, escalation_extract, fallback_extract, call_transcript, lead_upsert, lead_list, lead_by_call, lead_by_id, call_events, lead_notes,
     provider_health, fallback_outcome, retryable_errors,
 )}
 
@@ -393,7 +427,18 @@ _CALLS = (SQL_TURNS, SQL_ASKED, """calls AS (
 _MOVES = ", ".join(f"('{a}', '{b}')" for a, b in c.moves())
 _STEP = f"CASE WHEN a.to_state IN {v.ALWAYS_REACHABLE} OR (s.state || '>' || a.to_state) IN ({', '.join(sql_str(a + '>' + b) for a, b in c.moves())}) THEN a.to_state ELSE s.state END"
 
+_LEADS = """leads AS (SELECT 'lead_' || substr(sha256(CAST(o_custkey AS VARCHAR)), 1, 16) AS lead_id, o_custkey AS call_id,
+    coalesce(arg_max(o_orderpriority, o_orderkey) FILTER (o_orderkey % 3 = 0), '') AS business_type, arg_max(o_totalprice, o_orderkey) FILTER (o_orderkey % 2 = 0) AS monthly_revenue,
+    arg_max(o_orderstatus, o_orderkey) AS qualification_status, CAST(epoch(min(o_orderdate)) AS BIGINT) AS created_at FROM orders GROUP BY o_custkey)"""
+
 ORACLE = {
+    "lead_list": _with(_LEADS) + " SELECT row_number() OVER (ORDER BY created_at, call_id) AS position, * FROM leads",
+    "lead_by_call": _with(_LEADS) + """ SELECT lead_id, a.call_id, business_type, monthly_revenue, qualification_status, created_at
+      FROM (SELECT DISTINCT user_id AS call_id FROM events) a LEFT JOIN leads USING (call_id)""",
+    "lead_by_id": _with(_LEADS) + """ SELECT a.lead_id, call_id, business_type, monthly_revenue, qualification_status, created_at
+      FROM (SELECT 'lead_' || substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 16) AS lead_id FROM customer) a LEFT JOIN leads USING (lead_id)""",
+    "call_events": """SELECT user_id AS call_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS event_no, event_id, event_type
+      FROM events WHERE user_id IN (SELECT o_custkey FROM orders)""",
     "transcript_events": _with(SQL_TURNS, SQL_EVENTS) + " SELECT session_id, chunk_sequence, ts AS timestamp, is_final, text, round(confidence, 4) AS confidence FROM raw_events",
     "topic_shift": _with(*_SIG) + " SELECT session_id, chunk_sequence, evidence, new_topic FROM signals WHERE signal_type = 'topic_shift'",
     "disclosure_gap": _with(SQL_TURNS, SQL_EVENTS, SQL_CONTEXT) + " SELECT session_id, chunk_sequence, is_final, disclosed FROM context",
@@ -432,6 +477,8 @@ ORACLE = {
                           recursive=True) + " SELECT session_id, arg_max(state, rn) AS final_state FROM s GROUP BY 1",
     "event_log_sanitize": _with(SQL_TURNS) + f" SELECT session_id, chunk_sequence, {_SANITIZED} AS payload_text FROM turns",
     "event_log_map": _with(SQL_TURNS) + f" SELECT session_id, chunk_sequence, CAST(chunk_sequence AS VARCHAR) AS turn, {_SANITIZED} AS text FROM turns",
+    "event_payload_nested": f"""SELECT event_id, CASE WHEN event_id % 7 = 3 THEN '{{{v.EVENT_EMAIL_MASK} {v.EVENT_PHONE_MASK}' ELSE
+      '{{"call":{{"n":' || event_id || ',"notes":["write \\\\ \\"{v.EVENT_EMAIL_MASK}\\" now",{{"props":' || replace(props, ' ', '') || ',"u@x.co":"call\\n{v.EVENT_PHONE_MASK}"}}]}}}}' END AS payload FROM events""",
     "last_user_query": "SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role IN ('user', 'human')), arg_max(text, turn)) AS query FROM conversations GROUP BY 1",
     "rolling_context": """SELECT conv_id, turn, coalesce(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""",
     "call_summary": _with(*_CALLS) + """ SELECT call_id, count(*) AS turns, arg_max(state, turn) AS final_state,

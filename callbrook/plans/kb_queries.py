@@ -232,7 +232,8 @@ def pii_type_counts(spark, sf):
 
 def pii_spans(spark, sf):
     d = _phrased(spark, sf).withColumn("p", q.personal_data("content"))
-    return d.select("doc_id", F.col("p.masked").alias("masked"), F.size("p.entities").alias("n_entities"))
+    listed = F.transform("p.entities", lambda e: F.concat_ws(":", e["entity_type"], e["start"], e["end"]))
+    return d.select("doc_id", F.col("p.masked").alias("masked"), F.size("p.entities").cast("long").alias("n_entities"), F.array_join(listed, ",").alias("entities"))
 
 
 def validate_records(spark, sf):
@@ -358,6 +359,25 @@ report AS (
   LEFT JOIN (SELECT source_id, count(*) AS records_created, sum(pii_count) AS pii, count(*) FILTER (copy > 1) AS dups, sum(n_flags) AS flags
     FROM checked GROUP BY source_id) r USING (source_id))"""
 
+_DETECTED = [("email", v.PII_EMAIL, 0), *(("phone", p, 7) for p in v.PII_PHONES), *(("account_id", "(?i)" + p, 0) for p in v.PII_ACCOUNTS), ("person_name", v.PII_TITLED_NAME, 0)]
+_HITS = " UNION ALL ".join(
+    f"""SELECT doc_id, {k} AS rank, '{kind}' AS kind, {v.PII_CONFIDENCE[kind]} AS conf, ms[j] AS m,
+      CAST(list_sum(list_transform(ps[1:j], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:j - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+      FROM (SELECT doc_id, ms, regexp_split_to_array(content, '{p}') AS ps, unnest(range(1, len(ms) + 1)) AS j
+            FROM (SELECT doc_id, content, regexp_extract_all(content, '{p}') AS ms FROM phrased) WHERE len(ms) > 0) WHERE length(regexp_replace(ms[j], '[ .-]', '', 'g')) >= {least}"""
+    for k, (kind, p, least) in enumerate(_DETECTED))
+#: the next entity is the first that starts at or after the end of the last one
+SQL_PII_SPANS = f"""WITH RECURSIVE {SQL_PHRASED}, hits AS MATERIALIZED ({_HITS}),
+  placed AS MATERIALIZED (SELECT *, s + length(m) AS e, row_number() OVER (PARTITION BY doc_id ORDER BY s, conf DESC, rank, s + length(m)) AS n FROM hits),
+  walk AS (SELECT doc_id, 0::BIGINT AS n, 0::BIGINT AS e, 0::BIGINT AS k, ''::VARCHAR AS masked, ''::VARCHAR AS kinds FROM phrased
+    UNION ALL SELECT * FROM (SELECT w.doc_id, p.n, p.e, w.k + 1 AS k, w.masked || substring(f.content, w.e + 1, p.s - w.e) || '[' || upper(p.kind) || ']' AS masked,
+        w.kinds || CASE WHEN w.k > 0 THEN ',' ELSE '' END || p.kind || ':' || p.s || ':' || p.e AS kinds
+      FROM walk w JOIN placed p ON p.doc_id = w.doc_id AND p.n > w.n AND p.s >= w.e JOIN phrased f ON f.doc_id = w.doc_id
+      QUALIFY row_number() OVER (PARTITION BY w.doc_id ORDER BY p.n) = 1)),
+  last AS (SELECT doc_id, max(k) AS k FROM walk GROUP BY 1)
+  SELECT w.doc_id, w.masked || substring(f.content, w.e + 1) AS masked, w.k AS n_entities, w.kinds AS entities
+  FROM walk w JOIN last USING (doc_id, k) JOIN phrased f ON f.doc_id = w.doc_id"""
+
 ORACLE = {
     "source_types": f"""SELECT page_id, {_KINDS} AS source_type FROM (SELECT page_id, lower(regexp_extract(
       regexp_replace(url, '\\?.*$', '') || ['.html', '.HTM', '.txt', '.md', '.csv', '.tar', ''][page_id % 7 + 1], '(\\.[^./]+)$', 1)) AS ext FROM pages)""",
@@ -390,6 +410,7 @@ ORACLE = {
       CAST({' + '.join(f"len(list_filter(regexp_extract_all(content, '{p}'), lambda m: length(regexp_replace(m, '[ .-]', '', 'g')) >= 7))" for p in v.PII_PHONES)} AS BIGINT) AS phone,
       CAST({' + '.join(f"len(regexp_extract_all(content, '(?i){p}'))" for p in v.PII_ACCOUNTS)} AS BIGINT) AS account_id,
       CAST(len(regexp_extract_all(content, '{v.PII_TITLED_NAME}')) AS BIGINT) AS person_name FROM phrased""",
+    "pii_spans": SQL_PII_SPANS,
     "validate_records": _with(SQL_PHRASED) + _VALID,
     "amount_sets": _with(SQL_PHRASED) + f""" SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(content, '{_AMT}', 1))), ';') AS amounts,
       array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(content, '{_AMT}', 1), lambda a: regexp_matches(a, '\\d')))), ';') AS strict_amounts FROM phrased""",

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
 from callbrook.functions.text import words
+from callbrook.operators import calls
 from callbrook.operators import evaluation as ev
 from callbrook.operators import localization as lo
 from callbrook.operators import qualification as ql
 from callbrook.operators import search as s
 from callbrook.operators.ranking import ranked
+from callbrook.plans import call_queries as cq
 from callbrook.plans.call_queries import SQL_TURNS, turns
 from callbrook.plans.search_queries import _RANKED, SQL_GATE, _ranked
 from callbrook.plans.tables import benchmark_queries, document_chunks, read, sql_list, sql_str, sql_strip, sql_words
@@ -176,6 +178,28 @@ def qualification_state(spark, sf):
     return r.select("session_id", "chunk_sequence", *[f"{k}_now" for k in v.MANDATORY_FIELDS])
 
 
+def _stated(spark, sf):
+    return turns(spark, sf).select("session_id", "chunk_sequence", *[x.alias(k) for k, x in ql.stated_fields("text", "chunk_sequence").items()])
+
+
+def qualification_snapshot(spark, sf):
+    """After each turn: the latest statement of every field, unclear ones marked, and what of it is confirmed."""
+    r = ql.running_fields(_stated(spark, sf), "session_id", "chunk_sequence", v.MANDATORY_FIELDS)
+    part = [F.col(f"{k}_now.{p}").alias(f"{k}_{p}") for k in v.MANDATORY_FIELDS for p in ("is_ambiguous", "source_turn")]
+    return r.select("session_id", "chunk_sequence", *part, *[ql.validated(F.col(f"{k}_now")).alias(f"{k}_valid") for k in v.MANDATORY_FIELDS])
+
+
+def localized_call_summary(spark, sf):
+    detected = turns(spark, sf).select("session_id", "chunk_sequence", _market_case(lambda m: lo.detect_language("text", m)).alias("d"))
+    t = cq._call_turns(spark, sf).drop("language").join(
+        detected.select(F.col("session_id").alias("call_id"), F.col("chunk_sequence").alias("turn"), "d.language", "d.register"), ["call_id", "turn"])
+    final = ql.final_fields(_stated(spark, sf), "session_id", "chunk_sequence", v.MANDATORY_FIELDS)
+    qualified = final.select(F.col("session_id").alias("call_id"), ql.snapshot(v.MANDATORY_FIELDS).alias("qualification"))
+    s = calls.localized_call_summary(t, qualified, cq.lead_upsert(spark, sf))
+    return s.select("call_id", "turns", "final_state", "final_language", "final_register", "escalated", "lead_created",
+                    F.array_join("detected_terms", ",").alias("detected_terms"), *[F.col(f"qualification.{k}").alias(k) for k in v.MANDATORY_FIELDS])
+
+
 def model_json_parse(spark, sf):
     e = read(spark, sf, "events")
     body = F.concat(F.lit('{"intent": "other", "entities": '), F.replace("props", F.lit('"k"'), F.lit('"years_in_business"')), F.lit("}"))
@@ -401,7 +425,7 @@ def _sql_similarity(q, d):
 
 QUERIES = {f.__name__: f for f in (
     amount_parse, years_parse, consent_parse, qualification, intents, kb_query_clause, field_extract, base_field_extract,
-    market_field_extract, qualification_state, model_json_parse, language_detect, term_find, term_normalize, localized_message,
+    market_field_extract, qualification_state, qualification_snapshot, localized_call_summary, model_json_parse, language_detect, term_find, term_normalize, localized_message,
     wer, wer_summary, confusion_metrics, confusion_failures, retrieval_eval, retrieval_eval_summary, keyword_similarity,
     model_comparison, terms_preserved,
 )}
@@ -460,6 +484,18 @@ ORACLE = {
       CASE {_LOCAL_WORDS} WHEN trim(ln) <> '' THEN {_sql_scaled('ln')} END::DOUBLE AS requested_amount, CASE WHEN {_sql_any('low', v.LOCAL_PERMISSION)} THEN 'yes' END AS contact_permission FROM lows""",
     "qualification_state": _with(*_Q, SQL_FIELDS) + " SELECT session_id, chunk_sequence, " + ", ".join(
         f"last_value({f} IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY chunk_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {f}_now" for f in v.MANDATORY_FIELDS) + " FROM fields",
+    "qualification_snapshot": _with(*_Q, SQL_FIELDS) + " SELECT session_id, chunk_sequence, " + ", ".join(
+        f"last_value(CASE WHEN {f} IS NOT NULL THEN {'revenue_ambiguous' if f == 'monthly_revenue' else 'false'} END IGNORE NULLS) OVER w AS {f}_is_ambiguous, "
+        f"last_value(CASE WHEN {f} IS NOT NULL THEN chunk_sequence END IGNORE NULLS) OVER w AS {f}_source_turn, "
+        f"CASE WHEN NOT {f}_is_ambiguous THEN last_value({f} IGNORE NULLS) OVER w END AS {f}_valid" for f in v.MANDATORY_FIELDS)
+    + " FROM fields WINDOW w AS (PARTITION BY session_id ORDER BY chunk_sequence ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "localized_call_summary": _with(*cq._CALLS, SQL_FIELDS, SQL_LANGUAGE, "confirmed AS (SELECT session_id, " + ", ".join(
+        f"arg_max({f}, chunk_sequence) FILTER ({f} IS NOT NULL) AS {f}" + (", arg_max(revenue_ambiguous, chunk_sequence) FILTER (monthly_revenue IS NOT NULL) AS vague" if f == "monthly_revenue" else "")
+        for f in v.MANDATORY_FIELDS) + " FROM fields GROUP BY 1)") + """
+      SELECT call_id, count(*) AS turns, arg_max(state, turn) AS final_state, arg_max(l.language, turn) AS final_language, arg_max(l.register, turn) AS final_register,
+        bool_or(escalated) AS escalated, call_id IN (SELECT o_custkey FROM orders) AS lead_created, array_to_string(list_sort(list_distinct(flatten(list(terms)))), ',') AS detected_terms, """
+    + ", ".join(f"any_value(CASE WHEN NOT vague THEN q.{f} END) AS {f}" if f == "monthly_revenue" else f"any_value(q.{f}) AS {f}" for f in v.MANDATORY_FIELDS)
+    + " FROM calls JOIN lang l ON call_id = l.session_id AND turn = l.chunk_sequence LEFT JOIN confirmed q ON q.session_id = call_id GROUP BY call_id",
     "model_json_parse": """SELECT event_id, CASE WHEN event_id % 4 <> 3 THEN 'other' END AS intent,
       CASE WHEN event_id % 4 <> 3 THEN CAST(regexp_extract(props, '(\\d+)', 1) AS DOUBLE) END AS years_in_business FROM events""",
     "language_detect": _with(*_Q, SQL_LANGUAGE) + " SELECT session_id, chunk_sequence, language, round(confidence, 6) AS confidence, register, code_switch FROM lang",

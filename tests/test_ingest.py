@@ -1,9 +1,12 @@
 """Sources, cleaning, sections, terms, personal data and validation on literals."""
 
+import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
+from callbrook import fixed_values as v
 from callbrook.functions import quality as q
 from callbrook.functions.text import content_hash, nfkc, record_hash, strip, tidy_whitespace
 from callbrook.operators import carry, conflicts, ingest
@@ -121,6 +124,45 @@ def test_personal_data_spans(spark):
     assert all(text[e["start"]:e["end"]] == e["text"] for e in p["entities"])
 
 
+def plain_entities(text):
+    """The detectors and the choice among overlapping matches, one text at a time."""
+    detectors = [("email", v.PII_EMAIL, 0, 0), *(("phone", p, 7, 0) for p in v.PII_PHONES),
+                 *(("account_id", p, 0, re.IGNORECASE) for p in v.PII_ACCOUNTS), ("person_name", v.PII_TITLED_NAME, 0, 0)]
+    hits = [(m.start(), -v.PII_CONFIDENCE[kind], k, m.end(), kind) for k, (kind, p, least, flags) in enumerate(detectors)
+            for m in re.finditer(p, text, flags) if len(re.sub("[ .-]", "", m[0])) >= least]
+    kept, at = [], 0
+    for start, minus, _, end, kind in sorted(hits):
+        if start >= at:
+            kept.append((kind, start, end, text[start:end], -minus))
+            at = end
+    return kept
+
+
+def test_personal_data_equals_plain_scan(spark):
+    r = random.Random(4)
+    bits = ["jane@x.org", "a.b@c", "@", "+1 415 555 2671", "(415)555-2671", "4155552671", "2024", "account #123456", "ACCT:12345", "policy-9999", "cid 4444444",
+            "Dr. Jane Doe", "Mr Ann", "Prof\x1c Ivo Ma Ko", "señor@x.com", "ñ", "東京", "😀", "\n", "\t", ",", " ", "x", "١٢٣٤٥٦٧٨", "İ", "acCount 77777"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", "-"]) for _ in range(r.randint(0, 14))) for _ in range(600)] + ["", None, "7 " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(4)
+    for row in df.select("t", q.personal_data("t").alias("p")).collect():
+        want = plain_entities(row.t or "")
+        assert [tuple(e) for e in row.p.entities] == want, row.t
+        masked, at = "", 0
+        for kind, start, end, *_ in want:
+            masked, at = masked + row.t[at:start] + f"[{kind.upper()}]", end
+        assert row.p.masked == (None if row.t is None else masked + row.t[at:])
+
+
+def test_nested_payloads_keep_keys_and_shape(spark):
+    deep = {"a@b.co": ["x@y.org", {"k": 'say \\ "415-555-2671"\nfoo@bar.com', "n": [1, 2.5, True, None, {}, []]}], "z": "", "é\u2028": "plain \t text"}
+    bad = "{not json a@b.co"
+    df = spark.createDataFrame([(0, json.dumps(deep)), (1, bad), (2, None), (3, '"a@b.co"'), (4, json.dumps(["\\" * 3000 + '"' * 3000]))], "k int, p string")
+    got = {x.k: x.s for x in df.select("k", q.sanitize_json("p").alias("s")).collect()}
+    deep["a@b.co"] = ["[EMAIL_PROTECTED]", {"k": 'say \\ "[PHONE_PROTECTED]"\n[EMAIL_PROTECTED]', "n": [1, 2.5, True, None, {}, []]}]
+    assert json.loads(got[0]) == deep and got[1] == "{not json [EMAIL_PROTECTED]" and got[2] is None
+    assert got[3] == '"[EMAIL_PROTECTED]"' and json.loads(got[4]) == ["\\" * 3000 + '"' * 3000]
+
+
 def test_event_payload_masks_values_only(spark):
     m = spark.sql("SELECT map('a@b.co', 'write a@b.co or (415) 555-2671') AS m").select(q.sanitize_map("m").alias("m")).first()["m"]
     assert m == {"a@b.co": "write [EMAIL_PROTECTED] or [PHONE_PROTECTED]"}
