@@ -92,6 +92,19 @@ def session_counters_stream(spark, sf):
     return spark.read.parquet(path).filter(_OWN).select("session_id", "transcripts_count", "final_count")
 
 
+def latency_stream(spark, sf):
+    """Latency summaries given when a session (a user's week) is over; three batches in the order of time."""
+    path = _work(spark, "stamps")
+    week = F.floor(epoch_seconds("ts") / 604_800)
+    e = read(spark, sf, "events").select("event_id", (F.col("user_id") * 100_000 + week).alias("session_id"), epoch_seconds("ts").alias("timestamp"))
+    m = cq._latency_stamps(spark, sf).join(e, "event_id").drop("event_id")
+    files = st.write_slices(m, path, "timestamp")
+    st.write_end(m, path, t0=1.0, t1=2.0)
+    st.use_rocksdb(spark)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", files).parquet(path)
+    return st.run_available(st.latency_summaries(stream, DELAY, idle_ms=604_800_000), _work(spark, "out"), _work(spark, "ckpt")).filter(_OWN)
+
+
 def conversation_stream(spark, sf):
     path = _work(spark, "requests")
     asked = cq._asked(spark, sf).withColumn("timestamp", F.col("seq") * 5.0)
@@ -141,7 +154,7 @@ def event_log_stream(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    signals_stream, nudges_stream, expired_nudges_stream, slices_stream, session_counters_stream, conversation_stream, leads_stream, intake_counts, event_log_stream)}
+    signals_stream, nudges_stream, expired_nudges_stream, slices_stream, session_counters_stream, latency_stream, conversation_stream, leads_stream, intake_counts, event_log_stream)}
 
 _STEP = cq._STEP
 SQL_FINALS = f"""
@@ -157,6 +170,15 @@ ORACLE = {
     "slices_stream": """WITH e AS (SELECT user_id, floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS slice_start, value, max(epoch_us(ts)) OVER () / 1000000.0 - 60 AS mark FROM events)
       SELECT user_id AS session_id, slice_start, count(*) AS chunks, round(sum(value), 4) AS duration_ms FROM e WHERE slice_start + 3600 <= mark GROUP BY ALL""",
     "session_counters_stream": cq._with(cq.SQL_TURNS, SQL_FINALS) + " SELECT session_id, count(*) AS transcripts_count, count(*) FILTER (is_final) AS final_count FROM raw_events GROUP BY 1",
+    "latency_stream": cq.ORACLE["latency_summary"].split("long AS")[0] + f"""
+      weeks AS (SELECT event_id, user_id * 100000 + epoch_us(ts) // 604800000000 AS session_id FROM events),
+      long AS (SELECT event_id, 'asr' AS segment, (t1 - t0) * 1000.0 AS ms FROM s4 UNION ALL SELECT event_id, 'signal', (t2 - t1) * 1000.0 FROM s4
+        UNION ALL SELECT event_id, 'nudge', (t3 - t2) * 1000.0 FROM s4 UNION ALL SELECT event_id, 'delivery', (t4 - t3) * 1000.0 FROM s4
+        UNION ALL SELECT event_id, 'end_to_end', (coalesce(t4, t3, t2, t1) - t0) * 1000.0 FROM s4),
+      u AS (SELECT session_id, segment, CAST(round(greatest(0.0, ms) * 1000) AS BIGINT) AS us FROM long JOIN weeks USING (event_id) WHERE ms IS NOT NULL),
+      b AS (SELECT session_id, segment, count(*) AS n, min(us) AS low, max(us) AS high, sum(us) AS total, list_sort(list(floor(ln(greatest(us, 1)) / ln({st.SKETCH_BASE})))) AS bs FROM u GROUP BY ALL)
+      SELECT session_id, segment, n AS sample_size, {', '.join(f"round(least(greatest(exp((bs[CAST(floor({q} * (n - 1)) AS BIGINT) + 1] + 0.5) * ln({st.SKETCH_BASE})), low), high) / 1000, 2) AS {name}" for q, name in ((0.5, 'p50_ms'), (0.95, 'p95_ms')))},
+        low AS min_us, high AS max_us, CAST(total // n AS BIGINT) AS mean_us FROM b""",
     "conversation_stream": cq._with(
         cq.SQL_ASKED, "a AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM asked)",
         f"s AS (SELECT session_id, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::VARCHAR AS from_state, NULL::VARCHAR AS to_state, 'GREETING' AS state FROM a GROUP BY 1 UNION ALL "

@@ -8,16 +8,18 @@ depend on how, or in which order within the watermark's delay, rows arrived.
 from __future__ import annotations
 
 import json
+import math
 import threading
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
 from callbrook import fixed_values as v
 from callbrook.functions.quality import sanitize_map
-from callbrook.operators.calls import lead_state, leads_of, merge_leads
+from callbrook.operators.calls import latency_segments, lead_state, leads_of, merge_leads
 from callbrook.operators.nudges import NudgePolicy, decide, nudge_content
 from callbrook.operators.signals import rule_hits, topic_of, usable_events
 from callbrook.session import ROCKSDB
@@ -225,6 +227,82 @@ def slices(chunks: DataFrame, width: str = "500 milliseconds") -> DataFrame:
         .groupBy("session_id", F.window("event_time", width)).agg(F.count("*").alias("chunks"), F.sum("duration_ms").alias("duration_ms"))
 
 
+SKETCH_BASE = 1.02  # a percentile lies within one hundredth of the exact one
+LATENCY = ("session_id long, segment string, sample_size long, p50_bucket long, p95_bucket long, low_us long, high_us long, total_us long")
+
+
+class _LatencySketch(StatefulProcessor):
+    """Per session and segment: counts of logarithmic buckets beside exact count, sum and extremes.  All of it adds up, so the order
+    of rows and batches does not matter; a session silent for ``idle_ms`` is complete, gives its summary and goes."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.sketch = handle.getValueState("sketch", "seen long, figures string")  # at most some thousand buckets
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen, figures = self.sketch.get() if self.sketch.exists() else (None, "{}")
+        first, seen, figures = seen is None, seen or 0, json.loads(figures)
+        for part in rows:
+            seen = max(int(part["event_ms"].max()), seen)
+            for segment, bucket, us in zip(part["segment"], part["bucket"].tolist(), part["us"].tolist()):
+                f = figures.setdefault(segment, {"n": 0, "total": 0, "low": us, "high": us, "buckets": {}})
+                f["n"], f["total"], f["low"], f["high"] = f["n"] + 1, f["total"] + us, min(f["low"], us), max(f["high"], us)
+                f["buckets"][str(bucket)] = f["buckets"].get(str(bucket), 0) + 1
+        self.sketch.update((seen, json.dumps(figures)))
+        if first:  # one timer a session is pending
+            self.handle.registerTimer(seen + self.idle_ms)
+        yield pd.DataFrame(columns=[c.split()[0] for c in LATENCY.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        names = [c.split()[0] for c in LATENCY.split(", ")]
+        seen, figures = self.sketch.get()
+        if seen + self.idle_ms > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(seen + self.idle_ms)
+            yield pd.DataFrame(columns=names)
+            return
+        out = []
+        for segment, f in json.loads(figures).items():
+            counts = sorted((int(k), n) for k, n in f["buckets"].items())
+            out.append((key[0], segment, f["n"], *[_bucket_at(counts, int(q * (f["n"] - 1))) for q in (0.5, 0.95)], f["low"], f["high"], f["total"]))
+        self.sketch.clear()
+        yield pd.DataFrame(out, columns=names)
+
+    def close(self):
+        pass
+
+
+def _bucket_at(counts: list[tuple[int, int]], rank: int) -> int:
+    for bucket, n in counts:
+        rank -= n
+        if rank < 0:
+            break
+    return bucket
+
+
+def latency_summaries(measured: DataFrame, delay: str = WATERMARK, idle_ms: int = IDLE_MS) -> DataFrame:
+    """The latency summary of each session at its completion, from rows with ``session_id, timestamp, t0 .. t4``.
+
+    Counts, means and extremes are exact to the microsecond, percentiles to the sketch's width.
+    """
+    keyed = measured.select(F.struct("session_id", "timestamp").alias("event_id"), *[f"t{k}" for k in range(5)])
+    us = F.round(F.col("ms") * 1000).cast("long")
+    rows = latency_segments(keyed).select("event_id.session_id", event_time("event_id.timestamp").alias("event_time"), "segment", us.alias("us")) \
+        .withColumn("bucket", F.floor(F.log(F.greatest("us", F.lit(1))) / math.log(SKETCH_BASE))) \
+        .withColumn("event_ms", F.unix_millis("event_time")).withWatermark("event_time", delay)
+    done = rows.groupBy("session_id").transformWithStateInPandas(
+        statefulProcessor=_LatencySketch(idle_ms), outputStructType=LATENCY, outputMode="Append", timeMode="EventTime")
+
+    def value(bucket: str) -> Column:
+        middle = F.exp((F.col(bucket) + 0.5) * math.log(SKETCH_BASE))
+        return F.round(F.least(F.greatest(middle, "low_us"), "high_us") / 1000, 2)
+
+    return done.select("session_id", "segment", "sample_size", value("p50_bucket").alias("p50_ms"), value("p95_bucket").alias("p95_ms"),
+                       F.col("low_us").alias("min_us"), F.col("high_us").alias("max_us"), F.floor(F.col("total_us") / F.col("sample_size")).alias("mean_us"))
+
+
 class _Conversation(OrderedProcessor):
     def __init__(self, idle_ms: int):
         super().__init__("session_id long, seq long, to_state string, event_ms long", ["seq"],

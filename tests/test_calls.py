@@ -253,3 +253,20 @@ def test_blank_query_abstains(spark, sf):
     q = search.query_batch(spark.createDataFrame([(1, "  ")], "i long, t string"), "i", "t")
     row = search.hybrid_search(document_chunks(spark, sf), q)[1].first()
     assert (row["grounded"], row["abstain_reason"], row["confidence"]) == (False, "empty_query", 0.0)
+
+
+def test_latency_sketch_is_near_the_exact_percentile():
+    import math
+    import random
+    from callbrook.streaming import calls as st
+    r = random.Random(2)
+    for n in (1, 2, 7, 400):
+        us = sorted(int(r.lognormvariate(9, 2)) + 1 for _ in range(n))
+        counts = {}
+        for x in us:
+            k = math.floor(math.log(x) / math.log(st.SKETCH_BASE))
+            counts[k] = counts.get(k, 0) + 1
+        for q in (0.0, 0.5, 0.95, 1.0):
+            rank = int(q * (n - 1))
+            got = math.exp((st._bucket_at(sorted(counts.items()), rank) + 0.5) * math.log(st.SKETCH_BASE))
+            assert abs(got - us[rank]) <= 0.011 * us[rank]
