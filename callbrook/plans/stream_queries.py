@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
 from callbrook.functions.clock import epoch_seconds
+from callbrook.operators.signals import transcript_events
 from callbrook.plans import call_queries as cq
-from callbrook.plans.tables import read, sql_strip
+from callbrook.plans.tables import read
 from callbrook.session import shared_dir
 from callbrook.streaming import calls as st
 
@@ -26,8 +27,8 @@ _OWN = "session_id >= 0"  # without the row that ends the replay
 
 
 def _events(spark, sf):
-    """The given turns as final events."""
-    return cq.turns(spark, sf).drop("role").withColumn("is_final", F.lit(True)).select(*st.EVENT.fieldNames())
+    """The given turns, each as a partial event and its final one."""
+    return transcript_events(cq.turns(spark, sf).drop("role")).select(*st.EVENT.fieldNames())
 
 
 def _event_stream(spark, sf):
@@ -157,19 +158,14 @@ QUERIES = {f.__name__: f for f in (
     signals_stream, nudges_stream, expired_nudges_stream, slices_stream, session_counters_stream, latency_stream, conversation_stream, leads_stream, intake_counts, event_log_stream)}
 
 _STEP = cq._STEP
-SQL_FINALS = f"""
-raw_events AS (SELECT session_id, chunk_sequence, ts, speaker, text, confidence, true AS is_final FROM turns),
-events AS (SELECT * FROM (SELECT * REPLACE ({sql_strip('text')} AS text) FROM raw_events) WHERE text <> '')"""
-_SIG = (cq.SQL_TURNS, SQL_FINALS, cq.SQL_CONTEXT, cq.SQL_SIGNALS)
-_NUDGED = (*_SIG, cq.sql_fold("signals", v.NUDGE_EXPIRY, str(v.NUDGE_COOLDOWN)))
 ORACLE = {
-    "signals_stream": cq._with(*_SIG) + " SELECT session_id, chunk_sequence, is_final, signal_type, rule_name, evidence, new_topic FROM signals",
-    "nudges_stream": cq._with(*_NUDGED, recursive=True) + f""" SELECT session_id, chunk_sequence, is_final, signal_type, decision,
+    "signals_stream": cq._with(*cq._SIG) + " SELECT session_id, chunk_sequence, is_final, signal_type, rule_name, evidence, new_topic FROM signals",
+    "nudges_stream": cq._with(*cq._NUDGED, recursive=True) + f""" SELECT session_id, chunk_sequence, is_final, signal_type, decision,
       CASE WHEN decision = 'emitted' THEN ts + {v.NUDGE_EXPIRY} END AS expires_at FROM decided""",
-    "expired_nudges_stream": cq._with(*_NUDGED, recursive=True) + f" SELECT session_id, signal_type, ts + {v.NUDGE_EXPIRY} AS expires_at FROM decided WHERE decision = 'emitted'",
+    "expired_nudges_stream": cq._with(*cq._NUDGED, recursive=True) + f" SELECT session_id, signal_type, ts + {v.NUDGE_EXPIRY} AS expires_at FROM decided WHERE decision = 'emitted'",
     "slices_stream": """WITH e AS (SELECT user_id, floor(epoch_us(ts) / 3600000000)::BIGINT * 3600 AS slice_start, value, max(epoch_us(ts)) OVER () / 1000000.0 - 60 AS mark FROM events)
       SELECT user_id AS session_id, slice_start, count(*) AS chunks, round(sum(value), 4) AS duration_ms FROM e WHERE slice_start + 3600 <= mark GROUP BY ALL""",
-    "session_counters_stream": cq._with(cq.SQL_TURNS, SQL_FINALS) + " SELECT session_id, count(*) AS transcripts_count, count(*) FILTER (is_final) AS final_count FROM raw_events GROUP BY 1",
+    "session_counters_stream": cq._with(cq.SQL_TURNS, cq.SQL_EVENTS) + " SELECT session_id, count(*) AS transcripts_count, count(*) FILTER (is_final) AS final_count FROM raw_events GROUP BY 1",
     "latency_stream": cq.ORACLE["latency_summary"].split("long AS")[0] + f"""
       weeks AS (SELECT event_id, user_id * 100000 + epoch_us(ts) // 604800000000 AS session_id FROM events),
       long AS (SELECT event_id, 'asr' AS segment, (t1 - t0) * 1000.0 AS ms FROM s4 UNION ALL SELECT event_id, 'signal', (t2 - t1) * 1000.0 FROM s4
