@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
-from callbrook.functions.text import col, contains_any, words
+from callbrook.functions.text import col, contains_any, let, words
 from callbrook.operators.calls import exact_percentiles
 
 
@@ -17,20 +17,25 @@ def word_error_rate(reference: Column | str, hypothesis: Column | str) -> Column
     so the built-in ``levenshtein`` works on words.  UTF-32 leaves room for a
     million distinct words in one pair.
     """
-    r, h = words(F.lower(col(reference))), words(F.lower(col(hypothesis)))
-    vocabulary = F.array_distinct(F.concat(r, h))
-
-    def coded(w: Column) -> Column:
-        def point(x: Column) -> Column:
-            n = F.array_position(vocabulary, x) + 255
-            n = F.when(n >= 0xD800, n + 0x800).otherwise(n)
-            return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.array_join(F.transform(w, point), "")
-
-    n = F.size(r)
+    def rate(p: Column) -> Column:
+        def coded(w: Column) -> Column:
+            def point(x: Column) -> Column:
+                n = F.array_position(p["all"], x) + 255
+                n = F.when(n >= 0xD800, n + 0x800).otherwise(n)
+                return F.lpad(F.hex(n), 8, "0")
+            return F.decode(F.unhex(F.array_join(F.transform(w, point), "")), "UTF-32")
+
+        n = F.size(p["r"])
+        return F.when(n == 0, F.when(F.size(p["h"]) == 0, 0.0).otherwise(1.0)).when(p["r"] == p["h"], 0.0) \
+            .otherwise(F.round(F.levenshtein(coded(p["r"]), coded(p["h"])).cast("double") / n, 4))
+
+    def with_vocabulary(p: Column) -> Column:
+        return let(F.struct(p["r"].alias("r"), p["h"].alias("h"), F.array_distinct(F.concat(p["r"], p["h"])).alias("all")), rate)
+
+    # words and vocabulary are bound: named inside the lambda they would be split again for every word
+    split = F.struct(words(F.lower(col(reference))).alias("r"), words(F.lower(col(hypothesis))).alias("h"))
     missing = col(reference).isNull() | col(hypothesis).isNull()
-    return F.when(missing, F.lit(None)).when(n == 0, F.when(F.size(h) == 0, 0.0).otherwise(1.0)) \
-        .otherwise(F.round(F.levenshtein(coded(r), coded(h)).cast("double") / n, 4))
+    return F.when(missing, F.lit(None)).when(col(reference) == col(hypothesis), 0.0).otherwise(let(split, with_vocabulary))
 
 
 def _ratio(a: Column, b: Column) -> Column:
