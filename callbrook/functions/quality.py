@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callbrook import fixed_values as v
-from callbrook.functions.text import col, contains_any, is_blank, strip
+from callbrook.functions.text import col, contains_any, is_blank, let, strip
 
 # --- terminology -------------------------------------------------------------
 
@@ -20,36 +20,49 @@ def alias_pairs(terminology=v.KB_TERMINOLOGY) -> list[tuple[str, str]]:
     return sorted(last.items(), key=lambda kv: -len(kv[0]))
 
 
-def _replaced_by(form: str):
-    return lambda hit: F.struct(hit.alias("original"), F.lit(form).alias("normalized"))
+_FOLDS_TO_ASCII = "[\u017F\u212A\u0130\u0131]"
 
 
 def names_alias(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
     """Cheap test whether any alias may occur: substring search on the lowered
     text, and anything holding a letter that only case-folds to ASCII."""
     low = F.lower(col(c))
-    return contains_any(low, [alias for alias, _ in alias_pairs(terminology)]) | col(c).rlike("[\u017F\u212A\u0130\u0131]")
+    return contains_any(low, [alias for alias, _ in alias_pairs(terminology)]) | col(c).rlike(_FOLDS_TO_ASCII)
+
+
+def replaced_terms(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
+    """Struct (text, replaced): aliases replaced as substrings, each pass over the result of the last, and what was replaced as
+    (original, normalized) in order of the passes.
+
+    The passes are one fold, so none is computed twice; a pass whose alias does not occur in the lowered text does nothing.
+    Texts naming no alias skip all passes.
+    """
+    kind = "array<struct<original:string,normalized:string>>"
+    passes = F.array(*[F.struct(F.lit(alias).alias("alias"), F.lit("(?iu)" + re.escape(alias)).alias("pattern"), F.lit(form).alias("form"))
+                       for alias, form in alias_pairs(terminology)])
+
+    def state(text: Column, low: Column, odd: Column, found: Column) -> Column:
+        return F.struct(text.alias("text"), low.alias("low"), odd.alias("odd"), found.alias("replaced"))
+
+    def replace(s: Column, p: Column) -> Column:
+        def done(hits: Column) -> Column:
+            made = F.transform(hits, lambda hit: F.struct(hit.alias("original"), p["form"].alias("normalized")))
+            return F.when(F.size(hits) == 0, s).otherwise(let(
+                F.regexp_replace(s["text"], p["pattern"], p["form"]), lambda t: state(t, F.lower(t), s["odd"], F.concat(s["replaced"], made))))
+        return F.when(s["odd"] | s["low"].contains(p["alias"]), let(F.regexp_extract_all(s["text"], p["pattern"], F.lit(0)), done)).otherwise(s)
+
+    text, none = col(c), F.array().cast(kind)
+    folded = F.aggregate(passes, state(text, F.lower(text), text.rlike(_FOLDS_TO_ASCII), none), replace,
+                         lambda s: F.struct(s["text"].alias("text"), s["replaced"].alias("replaced")))
+    return F.when(names_alias(c, terminology), folded).otherwise(F.struct(text.alias("text"), none.alias("replaced")))
 
 
 def normalize_terms(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
-    """Replace aliases as substrings, each pass over the result of the last.
-    Texts naming no alias skip all passes."""
-    text = col(c)
-    for alias, form in alias_pairs(terminology):
-        text = F.regexp_replace(text, "(?iu)" + re.escape(alias), form)
-    return F.when(names_alias(c, terminology), text).otherwise(col(c))
+    return replaced_terms(c, terminology)["text"]
 
 
 def term_replacements(c: Column | str, terminology=v.KB_TERMINOLOGY) -> Column:
-    """What was replaced: array of (original, normalized) in order of the passes."""
-    text, found = col(c), []
-    for alias, form in alias_pairs(terminology):
-        pattern = "(?iu)" + re.escape(alias)
-        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        found.append(F.transform(hits, _replaced_by(form)))
-        text = F.regexp_replace(text, pattern, form)
-    none = F.array().cast("array<struct<original:string,normalized:string>>")
-    return F.when(names_alias(c, terminology), F.flatten(F.array(*found))).otherwise(none)
+    return replaced_terms(c, terminology)["replaced"]
 
 
 # --- personal data -----------------------------------------------------------

@@ -207,9 +207,8 @@ def _sql_terms(expr: str) -> str:
 
 
 def terminology_normalize(spark, sf):
-    d = _phrased(spark, sf)
-    return d.select("doc_id", q.normalize_terms("content").alias("normalized"),
-                    F.size(q.term_replacements("content")).cast("long").alias("n_replaced"))
+    d = _phrased(spark, sf).withColumn("terms", q.replaced_terms("content"))
+    return d.select("doc_id", F.col("terms.text").alias("normalized"), F.size("terms.replaced").cast("long").alias("n_replaced"))
 
 
 def _sql_replaced() -> str:
