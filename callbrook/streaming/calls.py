@@ -107,7 +107,7 @@ class _SignalState(OrderedProcessor):
         self.state = handle.getValueState("context", "finals long, told long, topic string")
 
     def fold(self, rows):
-        finals, told, topic = self.state.get() if self.state.exists() else (0, -1, v.FIRST_TOPIC)
+        finals, told, topic = self.state.get() or (0, -1, v.FIRST_TOPIC)
         for e in rows:
             disclosed = told >= 0 and told > finals - self.context_turns
             base = {k: e[k] for k in ("session_id", "chunk_sequence", "timestamp", "is_final", "speaker")}
@@ -160,24 +160,28 @@ class _NudgeState(OrderedProcessor):
         self.until = handle.getMapState("until", "signal_type string", "at double")
         self.fired = handle.getMapState("fired", "signal_type string, rule string", "at double")
 
+    def read(self):
+        """Both memories at once: a session has few types and rules."""
+        self.live = {k[0]: at[0] for k, at in self.until.iterator()}
+        self.recent = {tuple(k): at[0] for k, at in self.fired.iterator()}
+        self.stored = dict(self.live), dict(self.recent)
+
     def fold(self, rows):
+        self.read()
         for s in rows:
             kind, rule = s["signal_type"], s["rule_name"] or s["signal_type"]
             state = {}
-            if self.until.containsKey((kind,)):
-                state["until"] = self.until.getValue((kind,))[0]
-            if self.fired.containsKey((kind, rule)):
-                state[rule] = self.fired.getValue((kind, rule))[0]
+            if kind in self.live:
+                state["until"] = self.live[kind]
+            if (kind, rule) in self.recent:
+                state[rule] = self.recent[kind, rule]
             decision = decide(self.policy, state, kind, rule, s["confidence"], s["timestamp"])
             expires = None
             if decision == "emitted":
                 expires = state["until"]
-                if self.until.containsKey((kind,)):  # it ran out before this one
-                    yield self._expired(s["session_id"], kind, self.until.getValue((kind,))[0])
-                self.until.updateValue((kind,), (expires,))
-                self.fired.updateValue((kind, rule), (s["timestamp"],))
-                for end in {expires, s["timestamp"] + self.policy.cooldown_of(kind)}:  # when either memory can go
-                    self.handle.registerTimer(int((end + ORIGIN_SECONDS) * 1000))
+                if kind in self.live:  # it ran out before this one
+                    yield self._expired(s["session_id"], kind, self.live[kind])
+                self.live[kind], self.recent[kind, rule] = expires, s["timestamp"]
             yield {**s, "decision": decision, "expires_at": expires}
 
     @staticmethod
@@ -185,17 +189,31 @@ class _NudgeState(OrderedProcessor):
         return {"session_id": session, "timestamp": at, "signal_type": kind, "decision": "expired", "expires_at": at}
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.session = key[0]
+        self.session, self.live = key[0], None
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
 
     def passed(self, mark):
         """Event time has passed a nudge's validity: report it and forget it."""
         now = mark / 1000.0 - ORIGIN_SECONDS
-        for kind, at in [(k[0], at[0]) for k, at in self.until.iterator() if at[0] <= now]:
-            self.until.removeKey((kind,))
-            yield self._expired(self.session, kind, at)
-        for k in [k for k, at in self.fired.iterator() if at[0] + self.policy.cooldown_of(k[0]) <= now]:
-            self.fired.removeKey(tuple(k))
+        if self.live is None:
+            self.read()
+        until, fired = self.stored
+        for kind, at in self.live.items():
+            if at <= now:
+                yield self._expired(self.session, kind, at)
+                if kind in until:
+                    self.until.removeKey((kind,))
+            elif until.get(kind) != at:
+                self.until.updateValue((kind,), (at,))
+                self.handle.registerTimer(int((at + ORIGIN_SECONDS) * 1000))
+        for k, at in self.recent.items():
+            end = at + self.policy.cooldown_of(k[0])
+            if end <= now:
+                if k in fired:
+                    self.fired.removeKey(k)
+            elif fired.get(k) != at:  # kept until then
+                self.fired.updateValue(k, (at,))
+                self.handle.registerTimer(int((end + ORIGIN_SECONDS) * 1000))
 
     def forget(self):
         self.until.clear()
@@ -243,7 +261,7 @@ class _LatencySketch(StatefulProcessor):
         self.sketch = handle.getValueState("sketch", "seen long, figures string")  # at most some thousand buckets
 
     def handleInputRows(self, key, rows, timerValues):
-        seen, figures = self.sketch.get() if self.sketch.exists() else (None, "{}")
+        seen, figures = self.sketch.get() or (None, "{}")
         first, seen, figures = seen is None, seen or 0, json.loads(figures)
         for part in rows:
             seen = max(int(part["event_ms"].max()), seen)
@@ -254,14 +272,13 @@ class _LatencySketch(StatefulProcessor):
         self.sketch.update((seen, json.dumps(figures)))
         if first:  # one timer a session is pending
             self.handle.registerTimer(seen + self.idle_ms)
-        yield pd.DataFrame(columns=[c.split()[0] for c in LATENCY.split(", ")])
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         names = [c.split()[0] for c in LATENCY.split(", ")]
         seen, figures = self.sketch.get()
         if seen + self.idle_ms > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(seen + self.idle_ms)
-            yield pd.DataFrame(columns=names)
             return
         out = []
         for segment, f in json.loads(figures).items():
@@ -313,7 +330,7 @@ class _Conversation(OrderedProcessor):
         self.state = handle.getValueState("state", "state string")
 
     def fold(self, rows):
-        current = self.state.get()[0] if self.state.exists() else "GREETING"
+        current = (self.state.get() or ("GREETING",))[0]
         for r in rows:
             asked, before = r["to_state"], current
             valid = asked in self.moves[current]

@@ -45,42 +45,47 @@ class OrderedProcessor(StatefulProcessor):
         self.open(handle)
 
     def handleInputRows(self, key, rows, timerValues):
-        due, seen = self.clock.get() if self.clock.exists() else (None, 0)
-        for pdf in rows:
-            new = [tuple(None if x is pd.NaT or (isinstance(x, float) and x != x) else x for x in r) for r in pdf[self.columns].astype(object).itertuples(index=False)]
-            if new:
-                self.waiting.appendList(new)
-                times = [int(r[-1]) for r in new]
-                seen = max(seen, *times)
-                if due is None or min(times) < due:
-                    due = min(times)
-                    self.handle.registerTimer(due)
-        self.clock.update((due, seen))
-        yield pd.DataFrame(columns=self.out)
+        # every call of the state costs a round trip to the JVM: one read and as few writes as the rows need
+        due, seen = self.clock.get() or (None, 0)
+        new = [tuple(None if x is pd.NaT or (isinstance(x, float) and x != x) else x for x in r)
+               for pdf in rows for r in zip(*[pdf[c].tolist() for c in self.columns])]
+        if new:
+            self.waiting.appendList(new)
+            times = [int(r[-1]) for r in new]
+            first = min(times)
+            if due is None or first < due:
+                due = first
+                self.handle.registerTimer(due)
+            self.clock.update((due, max(seen, *times)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due, seen = self.clock.get() or (None, 0)
+        held = list(self.waiting.get()) if due is not None else []  # without a due row none waits
         ready = sorted((r for r in held if r[-1] <= mark), key=lambda r: [(r[p] is not None, r[p]) for p in self.places])
+        over = len(ready) == len(held) and seen + self.idle_ms <= mark
         out = list(self.fold([dict(zip(self.columns, r)) for r in ready])) if ready else []
         out += self.passed(mark)
         later = [tuple(r) for r in held if r[-1] > mark]
-        due, seen = self.clock.get() if self.clock.exists() else (None, 0)
         if later:
-            self.waiting.put(later)
+            if ready:
+                self.waiting.put(later)
             due = min(int(r[-1]) for r in later)
             self.handle.registerTimer(due)
         else:
-            self.waiting.clear()
+            if held:
+                self.waiting.clear()
             due = None
-            if seen + self.idle_ms > mark:
+            if not over:
                 self.handle.registerTimer(seen + self.idle_ms)
-        if due is None and seen + self.idle_ms <= mark:
+        if over:
             self.clock.clear()
             self.forget()
         else:
             self.clock.update((due, seen))
-        yield pd.DataFrame([[x.get(c) for c in self.out] for x in out], columns=self.out, dtype=object)
+        if out:
+            yield pd.DataFrame([[x.get(c) for c in self.out] for x in out], columns=self.out, dtype=object)
 
     def close(self) -> None:
         pass
