@@ -1,32 +1,37 @@
-"""Near duplicates by matching-block ratio, complete and without all-pairs.
+"""Near duplicates by matching-block ratio, complete.
 
 Two texts are near duplicates when ``SequenceMatcher(new, earlier).ratio()``
 reaches the threshold.  A lossless filter finds the candidates:
 
-* The ratio ``2M / (la + lb)`` fixes how many characters M must match.
+* The ratio ``2M / (la + lb)`` fixes how many characters M must match, and
+  with it how far the lengths may differ: only neighbouring length classes meet.
 * Matching blocks are few.  Between two blocks at least one character is
   unmatched; and in texts of 200 characters or more every block but a common
-  beginning holds a character that is rare in the earlier text.
-* Grams are winnowed: of each ``w`` q-grams in a row the one with the least
-  hash stays.  Inside a block both texts choose alike, so at least
-  ``(M - blocks * (q + w - 2)) / w`` chosen grams are shared.  Each text takes
-  the longest grams for which that is a good part of its chosen ones.
-
-Texts needing T shared grams must share k of them within their rarest
-(all - T + k) grams, so only those are joined and counted.  Grams shared by very
-many texts are split over salts.  Equal texts are collapsed first, and edges between contents stand for
+  beginning holds a character that is rare in the earlier text.  So the texts
+  share at least ``M - blocks * (q - 1)`` of their q-grams, copies counted.
+* A text becomes a row of bits, one for each hashed gram.  Two texts share at
+  most as many grams as common bits, and as many more as one of them lost by
+  grams that fell on a bit together.  Before that, counts of characters are compared.
+
+Texts of a length class are cut into tiles of bounded size, and each pair of
+tiles is searched by a task of its own.  Every pair of tiles in reach is compared, so this
+step grows with the square of a class, but a pair of texts costs less than a
+microsecond and no text is read.  What passes is counted gram by gram and then
+matched.  Equal texts are collapsed first, and edges between contents stand for
 the edges of all their copies.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,86 +40,138 @@ from callbrook.functions.text import fold_for_hash
 from callbrook.operators.carry import Running, running
 from callbrook.session import written
 
-PLANS = ((24, 8), (14, 6), (8, 4), (4, 2), (2, 1), (1, 1))  # (q, w), long ones first
-GOOD_SHARE = 0.02
-SALT_ROWS = 1000
-PART_NEEDED = 2  # candidates share this part of the needed grams within the rarest ones
+CHECKED_GRAMS = (3, 5, 8, 12, 24)  # lengths counted for a candidate before its blocks are sought
+CHARS, BITS_PER_GRAM = 32, 4  # counts of characters, folded; least bits a text of a class has for each gram
+TILE_ROWS, TILE_BYTES, TILES = 8192, 1 << 24, 64  # most rows and bytes of a tile; tiles wanted, so that all tasks have work
+LEAST_TILE = 512
 
 
 # --- bounds ------------------------------------------------------------------
 
 
-def rare_positions(text: str) -> int | None:
-    """Positions holding a character that is not frequent in a long text."""
-    n = len(text)
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+
+
+def rare_positions(codes: np.ndarray) -> int:
+    """Positions holding a character that is not frequent in a long text; short texts have no frequent ones."""
+    n = len(codes)
     if n < 200:
-        return None
-    limit = n // 100 + 1
-    return sum(c for c in Counter(text).values() if c <= limit)
+        return n
+    counts = np.unique(codes, return_counts=True)[1]
+    return int(counts[counts <= n // 100 + 1].sum())
 
 
-def needed_grams(n: int, rare: int | None, q: int, w: int, t: float) -> int:
-    """Least number of chosen grams shared with any earlier text of length ``n``."""
-    shortest, longest = max(2 * n / (2 - t), 1 / max(1 - t, 1e-9)), 2 * n / t
-    if longest < shortest:
-        return n + 1  # too short to differ and still reach the threshold
+def needed_grams(total, rare, q: int, t: float):
+    """Least number of shared q-grams of texts with ``total`` characters together, when the earlier one has ``rare`` positions."""
+    blocks = np.minimum(rare + 1, (1 - t) * total + 1)
+    return t * total / 2 - blocks * (q - 1) - 1e-6
 
-    def by_gaps(total: float) -> float:
-        return t * total / 2 - ((1 - t) * total + 1) * (q + w - 2)
 
-    bound = min(by_gaps(shortest), by_gaps(longest))
-    if rare is not None:
-        bound = max(bound, t * shortest / 2 - (rare + 1) * (q + w - 2))
-    return math.ceil(bound / w - 1e-6)
+def length_class(n: int, t: float) -> int:
+    """Texts whose lengths allow the ratio lie in the same class or in neighbouring ones."""
+    return int(math.log(n) / math.log((2 - t) / t * 1.0001)) if n > 1 else 0
 
 
-def gram_plan(text: str, t: float) -> tuple[int, int]:
-    """(plan, shared grams needed) for a text in the earlier role."""
-    n, rare = len(text), rare_positions(text)
-    last = len(PLANS) - 1
-    for k, (q, w) in enumerate(PLANS):
-        need = needed_grams(n, rare, q, w, t)
-        if need >= max(1, GOOD_SHARE * 2 / (w + 1) * (n - q + 1)):
-            return k, need
-    return last, max(1, needed_grams(n, rare, *PLANS[last], t))
+def class_grams(k: int, t: float) -> tuple[int, int]:
+    """(gram length, bits) for the texts of a class and those of the next one that meet them."""
+    longest = ((2 - t) / t * 1.0001) ** (k + 1)
+    return 2 if longest < 250 else 5 if longest < 8000 else 7, max(256, 1 << math.ceil(math.log2(BITS_PER_GRAM * longest)))
 
 
-def grams(text: str, plan: int) -> np.ndarray:
-    """Hashes of the chosen grams; the k-th copy of a gram hashes differently
+def grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the q-grams; the k-th copy of a gram hashes differently
     from the others, so set overlap equals multiset overlap."""
-    q, w = PLANS[plan]
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
     m = len(codes) - q + 1
-    if m < w:
-        return np.empty(0, dtype=np.int64)
+    if m < 1:
+        return np.empty(0, dtype=np.uint64)
     h = np.zeros(m, dtype=np.uint64)
     for j in range(q):
-        h = h * np.uint64(1099511628211) + codes[j:j + m] + np.uint64(1)
+        h *= np.uint64(1099511628211)
+        h += codes[j:j + m]
+        h += np.uint64(1)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    if w > 1:
-        windows = np.lib.stride_tricks.sliding_window_view(h, w)
-        chosen = np.zeros(m, bool)
-        for at in range(0, len(windows), 1 << 16):  # of equal ones the last
-            part = windows[at:at + (1 << 16)]
-            chosen[at + np.arange(len(part)) + w - 1 - part[:, ::-1].argmin(1)] = True
-        h = h[chosen]
     h.sort()
-    first = np.concatenate(([True], h[1:] != h[:-1]))
-    starts = np.flatnonzero(first)
-    copy = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
-    h = (h ^ (copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(plan)
-    return (h ^ (h >> np.uint64(31))).view(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    copy = np.arange(m) - np.repeat(starts, np.diff(np.append(starts, m)))
+    h = (h ^ (copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
+
+
+def gram_bits(codes: np.ndarray, q: int, bits: int) -> tuple[bytes, int]:
+    """One bit for each gram, and how many grams have no bit of their own."""
+    h = grams(codes, q)
+    flags = np.zeros(bits, bool)
+    flags[(h >> np.uint64(20)) & np.uint64(bits - 1)] = True
+    return np.packbits(flags).tobytes(), len(h) - int(np.count_nonzero(flags))
+
 
+def char_counts(codes: np.ndarray) -> bytes:
+    return np.bincount((codes * np.uint32(2654435761)) >> np.uint32(27), minlength=CHARS).astype(np.int32).tobytes()
 
-def ratio_if_near(new: str, earlier: str, plan: int, need: int, t: float) -> float | None:
+
+def ratio_if_near(new: str, earlier: str, t: float) -> float | None:
     """The ratio when it reaches ``t``.  Cheap upper bounds go first."""
-    if np.intersect1d(grams(new, plan), grams(earlier, plan)).size < need:
-        return None
+    a, b = codes_of(new), codes_of(earlier)
+    total, rare = len(a) + len(b), rare_positions(b)
+    for q in CHECKED_GRAMS:
+        need = needed_grams(total, rare, q, t)
+        if need > 0 and np.intersect1d(grams(a, q), grams(b, q), assume_unique=True).size < need:
+            return None
     m = SequenceMatcher(None, new, earlier)
     if m.quick_ratio() < t:
         return None
-    r = m.ratio()
-    return r if r >= t else None
+    # the blocks of ratio(), until those still possible no longer suffice
+    parts, matched, possible = [(0, len(new), 0, len(earlier))], 0, min(len(new), len(earlier))
+    while parts:
+        alo, ahi, blo, bhi = parts.pop()
+        i, j, k = m.find_longest_match(alo, ahi, blo, bhi)
+        possible -= min(ahi - alo, bhi - blo)
+        if k:
+            matched += k
+            for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                fits = min(part[1] - part[0], part[3] - part[2])
+                if fits:
+                    possible += fits
+                    parts.append(part)
+        if 2.0 * (matched + possible) / total < t:
+            return None
+    return 2.0 * matched / total
+
+
+class Tile:
+    """Texts of one class in a task, by ascending length."""
+
+    def __init__(self, rows: pa.Table, words: int):
+        rows = rows.sort_by([("n", "ascending"), ("cid", "ascending")])
+        self.cid, self.last, self.n, self.rare, self.lost = (rows.column(c).to_numpy() for c in ("cid", "last_seq", "n", "rare", "lost"))
+        self.chars = np.frombuffer(b"".join(rows.column("chars").to_pylist()), np.int32).reshape(-1, CHARS)
+        self.bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, words)
+
+
+def tile_pairs(x: Tile, y: Tile, q: int, t: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``new, earlier`` ids of pairs of the tiles that pass the filter."""
+    for i in range(len(x.n)):
+        n = int(x.n[i])
+        lo, hi = np.searchsorted(y.n, [math.ceil(n * t / (2 - t) - 1e-6), math.floor(n * (2 - t) / t + 1e-6) + 1])
+        at = np.arange(max(lo, i + 1) if same else lo, hi)
+        if not len(at):
+            continue
+        total = n + y.n[at]
+        shared = np.minimum(x.chars[i], y.chars[at[0]:hi]).sum(1)
+        keep = 2 * shared >= t * total - 1e-6
+        at, total = at[keep], total[keep]
+        step = max(1, (1 << 17) // x.bits.shape[1])
+        common = np.concatenate([np.empty(0, np.uint32), *(np.add.reduce(np.bitwise_count(y.bits[at[k:k + step]] & x.bits[i]), axis=1, dtype=np.uint32)
+                                                           for k in range(0, len(at), step))])
+        common = common + np.minimum(y.lost[at], x.lost[i])
+        for new_x in (True, False):
+            later = x.last[i] > y.cid[at] if new_x else y.last[at] > x.cid[i]
+            rare = y.rare[at] if new_x else x.rare[i]
+            found = y.cid[at[later & (common >= needed_grams(total, rare, q, t))]]
+            if len(found):
+                mine = np.full(len(found), x.cid[i])
+                yield (mine, found) if new_x else (found, mine)
 
 
 # --- jobs --------------------------------------------------------------------
@@ -134,63 +191,83 @@ def near_contents(records: DataFrame, threshold: float = v.NEAR_DUPLICATE_THRESH
     between contents, where some record of the first comes after one of the
     second and the ratio (which depends on direction) reaches ``threshold``."""
     t = threshold
-
-    @F.pandas_udf(T.StructType([T.StructField("plan", T.IntegerType()), T.StructField("need", T.IntegerType())]))
-    def planned(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([gram_plan(x, t) for x in texts], columns=["plan", "need"])
-
-    docs = written(contents(records, seq).withColumn("n", F.length("text")).withColumn("p", planned("text"))
-                    .select("cid", "last_seq", "first_id", "text", "n", "p.plan", "p.need")
-                    .withColumn("possible", F.col("need") <= F.col("n")), "contents")
-    # a row a plan: which text lengths use it
-    spans = [(r["plan"], r["lo"], r["hi"]) for r in docs.filter("possible").groupBy("plan")
-             .agg(F.min("n").alias("lo"), F.max("n").alias("hi")).collect()]
-
-    def plans(n: int) -> list[int]:
-        return [k for k, lo, hi in spans if lo <= n * (2 - t) / t and hi >= n * t / (2 - t)]
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def gram_list(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: np.concatenate([grams(x, k) for k in plans(len(x))] or [np.empty(0, np.int64)]))
-
-    listed = docs.select("cid", F.explode_outer(gram_list("text")).alias("gram")).filter("gram IS NOT NULL")
-    shared = listed.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
-    common = written(listed.join(shared, "gram"), "grams")
-
-    # the earlier side keeps the rarest grams of its own plan: without the other (need - least) ones, least must still be shared
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def own_grams(texts: pd.Series, plan: pd.Series) -> pd.Series:
-        return pd.Series([grams(x, k) for x, k in zip(texts, plan)])
-
-    own = docs.filter("possible").select("cid", "n", "need", F.ceil(F.col("need") / PART_NEEDED).alias("least"), F.explode_outer(own_grams("text", "plan")).alias("gram")) \
-        .filter("gram IS NOT NULL").join(common, ["cid", "gram"])
-    rarest = Window.partitionBy("cid").orderBy("df", "gram")
-    size = Window.partitionBy("cid")
-    prefix = own.withColumn("rn", F.row_number().over(rarest)).withColumn("total", F.count("*").over(size)) \
-        .filter(F.col("rn") <= F.col("total") - F.col("need") + F.col("least"))
-
-    salts = F.ceil(F.col("df") / SALT_ROWS).cast("int")
-    earlier = prefix.select(F.col("cid").alias("earlier_cid"), F.col("n").alias("nb"), "least", "gram", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    new = common.join(docs.select("cid", F.col("n").alias("na"), "last_seq"), "cid") \
-        .select(F.col("cid").alias("new_cid"), "na", "last_seq", "gram", F.pmod(F.xxhash64("cid"), salts).cast("int").alias("salt"))
-    fit = new.join(earlier, ["gram", "salt"]).filter("new_cid <> earlier_cid AND last_seq > earlier_cid").filter(2 * F.least("na", "nb") >= t * (F.col("na") + F.col("nb"))) \
-        .groupBy("new_cid", "earlier_cid").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least").select("new_cid", "earlier_cid")
+    docs = written(contents(records, seq).select("cid", "last_seq", "first_id", "text", F.length("text").alias("n")), "contents")
+    fit = written(candidates(docs, t), "candidates")
     # few, costly rows: spread by pair, however small the table is
-    fit = written(fit, "candidates").repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "new_cid", "earlier_cid") \
-        .join(docs.select(F.col("cid").alias("earlier_cid"), "plan", "need"), "earlier_cid")
+    fit = fit.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, docs.rdd.getNumPartitions()), "new_cid", "earlier_cid")
 
     @F.pandas_udf(T.DoubleType())
-    def checked(new_text: pd.Series, old_text: pd.Series, plan: pd.Series, need: pd.Series) -> pd.Series:
-        return pd.Series([ratio_if_near(x, y, k, m, t) for x, y, k, m in zip(new_text, old_text, plan, need)], dtype="float64")
+    def checked(new_text: pd.Series, old_text: pd.Series) -> pd.Series:
+        return pd.Series([ratio_if_near(x, y, t) for x, y in zip(new_text, old_text)], dtype="float64")
 
     texts_a = docs.select(F.col("cid").alias("new_cid"), F.col("text").alias("new_text"), F.col("first_id").alias("new_id"))
     texts_b = docs.select(F.col("cid").alias("earlier_cid"), F.col("text").alias("old_text"), F.col("first_id").alias("earlier_id"))
     scored = fit.join(texts_a, "new_cid").join(texts_b, "earlier_cid") \
-        .withColumn("similarity", checked("new_text", "old_text", "plan", "need"))
+        .withColumn("similarity", checked("new_text", "old_text"))
     return scored.filter("similarity IS NOT NULL").select(
         "new_cid", "earlier_cid", "new_id", "earlier_id", F.round("similarity", 4).alias("similarity"))
 
 
+def candidates(docs: DataFrame, t: float) -> DataFrame:
+    """``new_cid, earlier_cid`` of all pairs of ``docs`` (``cid, last_seq, n, text``) that may reach the threshold."""
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                out = []
+                for cid, last, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    codes = codes_of(text)
+                    k = length_class(len(codes), t)
+                    shared = {"cid": cid, "last_seq": last, "n": len(codes), "rare": rare_positions(codes), "chars": char_counts(codes)}
+                    for level, guest in ((k, False), (k - 1, True)):
+                        if level >= 0:
+                            row, lost = gram_bits(codes, *class_grams(level, t))
+                            out.append(shared | {"level": level, "guest": guest, "bits": row, "lost": lost})
+                yield pa.RecordBatch.from_pylist(out, schema)
+
+    schema = pa.schema([("cid", pa.int64()), ("last_seq", pa.int64()), ("n", pa.int64()), ("rare", pa.int64()), ("chars", pa.binary()),
+                        ("level", pa.int32()), ("guest", pa.bool_()), ("bits", pa.binary()), ("lost", pa.int64())])
+    marked = written(docs.filter("n > 0").select("cid", "last_seq", "text").mapInArrow(
+        marks, "cid long, last_seq long, n long, rare long, chars binary, level int, guest boolean, bits binary, lost long"), "marks")
+
+    # a row a class and side: how many tiles it has
+    sizes = {(r["level"], r["guest"]): r["rows"] for r in marked.groupBy("level", "guest").agg(F.count("*").alias("rows")).collect()}
+    wanted = max(LEAST_TILE, sum(c for (_, guest), c in sizes.items() if not guest) // TILES)
+
+    def tiles(level: int, guest: bool) -> int:
+        most = min(TILE_ROWS, wanted, max(1, TILE_BYTES // (class_grams(level, t)[1] // 8)))
+        return math.ceil(sizes.get((level, guest), 0) / most)
+
+    counts = F.create_map(*(F.lit(x) for level, _ in sizes for x in (level, tiles(level, False)))) if sizes else F.create_map()
+    others = F.create_map(*(F.lit(x) for level, _ in sizes for x in (level, tiles(level, True)))) if sizes else F.create_map()
+    home, away = F.coalesce(counts[F.col("level")], F.lit(0)), F.coalesce(others[F.col("level")], F.lit(0))
+    tile = F.pmod(F.xxhash64("cid"), F.when(F.col("guest"), away).otherwise(home)).cast("int")
+
+    def upto(n):
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    # a pair of tiles (i, j) has the rows of i as the first ones and those of j as the others, unless they are the same
+    at = F.col("tile")
+    meets = F.when(F.col("guest"), F.transform(upto(home), lambda i: F.struct(i.alias("i"), at.alias("j"), F.lit(True).alias("away"), F.lit(False).alias("first")))) \
+        .otherwise(F.concat(
+            F.transform(upto(home), lambda j: F.struct(F.least(at, j).alias("i"), F.greatest(at, j).alias("j"), F.lit(False).alias("away"), (at <= j).alias("first"))),
+            F.transform(upto(away), lambda j: F.struct(at.alias("i"), j.alias("j"), F.lit(True).alias("away"), F.lit(True).alias("first")))))
+    dealt = marked.withColumn("tile", tile).withColumn("meet", F.explode(meets)) \
+        .select("level", "meet.*", "cid", "last_seq", "n", "rare", "lost", "chars", "bits")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # two tiles at most
+        level, same = rows.column("level")[0].as_py(), not rows.column("away")[0].as_py() and rows.column("i")[0] == rows.column("j")[0]
+        q, bits = class_grams(level, t)
+        x = Tile(rows.filter(rows.column("first")), bits // 64)
+        y = x if same else Tile(rows.filter(pc.invert(rows.column("first"))), bits // 64)
+        for new, earlier in tile_pairs(x, y, q, t, same):
+            yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(earlier)], ["new_cid", "earlier_cid"])
+
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 3, 64)
+    return dealt.repartition(tasks, "level", "away", "i", "j").groupBy("level", "away", "i", "j").applyInArrow(search, "new_cid long, earlier_cid long")
+
+
 def near_counts(records: DataFrame, edges: DataFrame, seq: str = "seq", segment: int = 4096) -> DataFrame:
     """Near matches of every record: earlier records with a near content.
 

@@ -85,3 +85,36 @@ def test_duplicate_of(spark):
     df = spark.createDataFrame([(f"r{i}", i, x) for i, x in enumerate(texts)], "record_id string, seq long, content string")
     out = {r["record_id"]: r["duplicate_of"] for r in nd.duplicate_of(df, nd.near_contents(df)).collect()}
     assert out == {"r1": "r0", "r2": "r0"}
+
+
+def test_small_tiles_lose_no_pair(spark, monkeypatch):
+    texts = fixture_texts()
+    df = spark.createDataFrame([(f"r{i}", i, x) for i, x in enumerate(texts)], "record_id string, seq long, content string")
+    monkeypatch.setattr(nd, "TILE_ROWS", 3)
+    for t in (0.90, 0.75):
+        got = {(r["new_cid"], r["earlier_cid"]): r["similarity"] for r in nd.near_contents(df, t).collect()}
+        assert got == brute_force(texts, t)[0]
+
+
+def test_few_texts_are_compared(spark, monkeypatch):
+    """Candidates grow with the near pairs, not with all pairs of a length."""
+    rows, write = {}, nd.written
+
+    def counted(df, name, *more):
+        out = write(df, name, *more)
+        rows[name] = out.count()
+        return out
+    monkeypatch.setattr(nd, "written", counted)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    df = d.select(F.col("doc_id").cast("string").alias("record_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    assert nd.near_contents(df).count() > 0
+    assert rows["candidates"] < d.count() / 10
+
+
+def test_ratio_equals_the_library():
+    texts = [x for x in (" ".join(t.lower().split()) for t in fixture_texts()) if x]
+    for a in texts[::2]:
+        for b in texts:
+            for t in (0.9, 0.75):
+                r = SequenceMatcher(None, a, b).ratio()
+                assert nd.ratio_if_near(a, b, t) == (r if r >= t else None)
