@@ -15,8 +15,7 @@ reaches the threshold.  A lossless filter finds the candidates:
 
 Texts of a length class are cut into tiles of bounded size, and each pair of
 tiles is searched by a task of its own.  Every pair of tiles in reach is compared, so this
-step grows with the square of a class, but a pair of texts costs less than a
-microsecond and no text is read.  What passes is counted gram by gram and then
+step grows with the square of a class, but no text is read in it.  What passes is counted gram by gram and then
 matched.  Equal texts are collapsed first, and edges between contents stand for
 the edges of all their copies.
 """
