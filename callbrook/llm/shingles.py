@@ -1,7 +1,7 @@
 """Near-duplicates by Jaccard similarity of five-word shingles: SimHash and vantage points first, then complete by prefixes.
 
 A text is its set of distinct shingle hashes; equal sets are collapsed.  Every candidate link is confirmed by the exact similarity of
-the whole sets before it counts.  Candidates come in two steps:
+the whole sets before it counts; pairs whose parity sketches differ too much for the similarity go before that.  Candidates come in two steps:
 
 * SimHash fingerprints of the sets, searched by the vantage-point tree of ``simhash``; this joins most near copies cheaply.
 * SimHash alone misses pairs at a similarity of 0.8, so a complete search follows.  All shingles have one order, rare ones first.  Of
@@ -34,6 +34,10 @@ SHINGLE, SIMILARITY, CENTRES, SEED, RADIUS = 5, 0.8, 1, 42, 2
 COUNTED, REPORTED, FREQUENT = 1 << 22, 1 << 16, 1 << 18
 #: Tables of up to so many keys are sent to the tasks, larger ones are joined by a shuffle.
 SENT = 1 << 21
+#: So many texts meet another one at a place, and about so many pairs are a group of a task.
+PLACE = 64
+#: Size of the sketch that tells sets far apart before their texts move.
+BITS = 1024
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -69,6 +73,12 @@ def fingerprint(s: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(s), bitorder="little").view("<i8")[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each value of the hashes' last bits whether an odd number has it, 64 to a word.  Two sets' words differ in no more bits than
+    the sets differ in hashes."""
+    return np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1 == 1, bitorder="little").view("<i8")
+
+
 def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
     return [shingle_set(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in column]
 
@@ -103,7 +113,7 @@ def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
 
 
 def marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, key, digest, n, fp, first`` of rows ``doc_id, key, text``: a digest of the whole set, its size and its first hashes."""
+    """``doc_id, key, digest, n, fp, bits, first`` of rows ``doc_id, key, text``: a digest of the whole set, its size, sketches and first hashes."""
     known = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs.select("text"), shingle))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +130,10 @@ def marks(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                      pa.array([len(s) for s in sets], pa.int32()), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64()),
-                     pa.array(first, pa.list_(pa.int64()))], ["doc_id", "key", "digest", "n", "fp", "first"])
+                     pa.array([parities(s) for s in sets], pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
+                    ["doc_id", "key", "digest", "n", "fp", "bits", "first"])
 
-    return docs.mapInArrow(mark, "doc_id long, key string, digest binary, n int, fp long, first array<long>")
+    return docs.mapInArrow(mark, "doc_id long, key string, digest binary, n int, fp long, bits array<long>, first array<long>")
 
 
 def _join(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
@@ -130,33 +141,45 @@ def _join(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= SENT else keys, on, how)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, shingle: int) -> DataFrame:
-    """``row, s``: whole sets of the wanted rows ``row, key``."""
-    @F.arrow_udf("array<long>")
-    def hashes(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            yield pa.array(_sets(batch, shingle), pa.list_(pa.int64()))
-
-    found = _unrepeated(_join(docs.select("key", "text"), wanted, "key", "inner"), repeated)
-    return written(found.select("row", hashes("text").alias("s")), "sets")
-
-
-def _unrepeated(df: DataFrame, repeated: DataFrame) -> DataFrame:
-    """One row a key; only keys that are repeated in the table meet in a shuffle, after a partial aggregation."""
+def _unrepeated(df: DataFrame, repeated: DataFrame, by: tuple[str, ...] = ("key",)) -> DataFrame:
+    """One row by these columns; only keys that are repeated in the table meet in a shuffle, after a partial aggregation."""
     if not repeated.count():
         return df
-    return _join(df, repeated, "key", "left_anti").unionByName(_join(df, repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return _join(df, repeated, "key", "left_anti").unionByName(_join(df, repeated, "key", "left_semi").dropDuplicates([*by]))
+
+
+def not_far(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` without those whose sketches ``row, n, bits`` already differ more than sets of the similarity can."""
+    a, b = (sketches.select(F.col("row").alias(c), F.col("n").alias("n" + c), F.col("bits").alias("bits" + c)) for c in "ab")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    return pairs.distinct().join(a, "a").join(b, "b").filter(differ <= most).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts, similarity: float, shingle: int) -> DataFrame:
+    """The distinct pairs ``a, b`` whose whole sets reach the similarity.  Rows come to ``a`` at places of about ``PLACE`` rows, and bins of
+    places are tasks' groups: what moves is the text of each row of a place, and its set is made there.  ``texts`` gives
+    ``a, part, row, text`` of places ``a, part, row``."""
+    def confirm(rows: pa.Table) -> pa.Table:
+        column = rows["text"].combine_chunks()
+        sets = [s for at in range(0, len(column), 256) for s in _sets(column.slice(at, 256), shingle)]
+        a, part, row = (rows[c].to_numpy() for c in ("a", "part", "row"))
+        centre = {(x, p): s for x, p, r, s in zip(a.tolist(), part.tolist(), row.tolist(), sets, strict=True) if x == r}
+        linked = np.zeros(len(row), bool)
+        for k in np.flatnonzero(a != row):
+            x, y = sets[k], centre[int(a[k]), int(part[k])]
+            c = len(np.intersect1d(x, y, assume_unique=True))
+            linked[k] = c / (len(x) + len(y) - c) >= similarity
+        return pa.table({"a": a[linked], "b": row[linked]})
 
-
-def _confirmed(pairs: DataFrame, whole, similarity: float) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets reach the similarity."""
     with temporary():
-        pairs = written(pairs.distinct(), "candidates")
-        sets = whole(written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "paired"))
-        both = pairs.join(sets.select(F.col("row").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("s").alias("y")), "b")
-        # sets hold no repeats; bound once, as the intersection is costly
-        common = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("all"))
-        return written(common.filter(F.col("c") / (F.col("all") - F.col("c")) >= similarity).select("a", "b"), "links", keep=True)
+        pairs = written(pairs, "candidates")
+        degrees = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")), "degrees")
+        part = F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / PLACE)).alias("part")
+        met = written(_join(pairs, degrees, "a", "inner").select("a", part, F.col("b").alias("row")), "met")
+        found = texts(written(met.unionByName(met.select("a", "part", F.col("a").alias("row")).distinct()), "places"))
+        bins = F.pmod(F.xxhash64("a", "part"), F.lit(pairs.count() // PLACE + 1)).alias("bin")
+        return written(found.groupBy(bins).applyInArrow(confirm, "a long, b long"), "links", keep=True)
 
 
 def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
@@ -167,9 +190,9 @@ def _with_components(shared: DataFrame, links: DataFrame) -> DataFrame:
     return written(_join(placed, several, "h", "left_semi"), "placed")
 
 
-def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES) -> DataFrame:
-    """``a, b``: confirmed links that connect the sets ``row, n, fp, first`` as all pairs that reach the similarity would.
-    ``whole`` gives the whole sets of a table of rows."""
+def set_links(sets: DataFrame, confirm, similarity: float, centres: int = CENTRES) -> DataFrame:
+    """``a, b``: confirmed links that connect the sets ``row, n, fp, bits, first`` as all pairs that reach the similarity would.
+    ``confirm`` gives those of distinct pairs ``a, b`` that reach it; many of the pairs of a group share their ``a``."""
     at = sets.select("row", "n", F.posexplode("first").alias("at", "h"))
     # size and place in one number: under a shingle of two sets the least and the largest are both of them, and tell if they may be a pair
     both = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))
@@ -179,13 +202,17 @@ def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES)
     shared = written(_join(at, twice, "h", "left_semi"), "shared")
     rows = written(shared.groupBy("row").agg(F.first("n").alias("n")).select("row"), "rows")
 
-    fps = written(_join(sets.select("row", "fp"), rows, "row", "left_semi"), "fingerprints")
+    fps = written(_join(sets.select("row", "n", "fp", "bits"), rows, "row", "left_semi"), "fingerprints")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirm(not_far(pairs, fps, similarity))
+
     named = written(fps.groupBy("fp").agg(F.min("row").alias("row")), "named")
     near = simhash.links(named.select("fp"), RADIUS)
     a, b = (named.select(F.col("fp").alias(x), F.col("row").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-    met = near.join(a, "a").join(b, "b").select("x", "y")
-    same = fps.join(named.withColumnRenamed("row", "x"), "fp").filter("row <> x").select("x", F.col("row").alias("y"))
-    links = _confirmed(met.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), whole, similarity)
+    met = near.join(a, "a").join(b, "b").select(F.col("y").alias("a"), F.col("x").alias("b"))  # several meet the second
+    same = fps.select("row", "fp").join(named.withColumnRenamed("row", "a"), "fp").filter("row <> a").select("a", F.col("row").alias("b"))
+    links = linked(met.unionByName(same).select("a", "b"))
 
     for k in range(centres):
         with temporary():
@@ -193,13 +220,13 @@ def set_links(sets: DataFrame, whole, similarity: float, centres: int = CENTRES)
             centre = written(placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("component", F.lit(k)).alias("order"), "row", "n", "at", "component")).alias("c")), "centres")
             met = placed.join(centre, "h").filter((F.col("component") != F.col("c.component"))
                                                   & may_reach(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), similarity))
-            found = _confirmed(met.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b")), whole, similarity)
+            found = linked(met.select(F.col("c.row").alias("a"), F.col("row").alias("b")))
             links = written(links.unionByName(found), "links", keep=True)
     with temporary():
         placed = _with_components(shared, links)
         x, y = (placed.select("h", *[F.col(c).alias(c + side) for c in ("row", "n", "at", "component")]) for side in "xy")
         across = x.join(y, "h").filter((F.col("componentx") < F.col("componenty")) & may_reach(F.col("nx"), F.col("atx"), F.col("ny"), F.col("aty"), similarity))
-        found = _confirmed(across.select(F.least("rowx", "rowy").alias("a"), F.greatest("rowx", "rowy").alias("b")), whole, similarity)
+        found = linked(across.select(F.col("rowx").alias("a"), F.col("rowy").alias("b")))
         return written(links.unionByName(found), "links", keep=True)
 
 
@@ -218,8 +245,13 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
         least = written(tagged.groupBy("digest").agg(F.min(order).alias("least")).select("least", F.col("least.row").alias("row")), "distinct")
         firsts = _join(tagged, least.select("row"), "row", "left_semi")
-        links = set_links(firsts.select("row", "n", "fp", "first"),
-                          lambda rows: _sets_of(plain, written(_join(tagged.select("row", "key"), rows, "row", "left_semi"), "wanted"), repeated, shingle), similarity)
+
+        def texts(places: DataFrame) -> DataFrame:
+            wanted = written(_join(tagged.select("row", "key"), places, "row", "inner"), "wanted")
+            found = _join(plain.select("key", "text"), wanted, "key", "inner")
+            return _unrepeated(found, repeated, ("key", "a", "part")).select("a", "part", "row", "text")
+
+        links = set_links(firsts.select("row", "n", "fp", "bits", "first"), lambda pairs: confirmed(pairs, texts, similarity, shingle), similarity)
         best = least.join(connected_components(links), F.col("row") == F.col("node"), "left") \
             .groupBy(F.coalesce("component", "row").alias("component")).agg(F.min("least").alias("k")).select("k.row")
         stays = tagged.select("row", "key").join(best, "row", "left_semi").select("key").distinct()

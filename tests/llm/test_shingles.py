@@ -97,3 +97,25 @@ def test_awkward_and_empty_tables(spark):
     kept = shingles.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(plain_keep([r[:2] for r in awkward.rows()]))
     assert shingles.keep_one(awkward.empty(spark)).collect() == []
+
+
+def test_sets_far_apart_are_told_before_their_texts_move(spark, monkeypatch):
+    r, asked, confirmed = random.Random(7), [], shingles.confirmed
+    monkeypatch.setattr(shingles, "confirmed", lambda pairs, *a: (asked.append(pairs.count()), confirmed(pairs, *a))[1])
+    monkeypatch.setattr(shingles, "PLACE", 4)
+    own = [["u%d" % r.randrange(10**6) for _ in range(300)] for _ in range(12)]
+    texts = [" ".join(["c1 c2 c3 c4 c5 c6", *w]) for w in own]  # one passage in common, else apart
+    texts += [edited(r, texts[0], 1) for _ in range(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert ids(shingles.keep_one(docs)) == plain_keep(list(enumerate(texts)))
+    apart = len(own) * (len(own) - 1) // 2
+    assert 0 < sum(asked) < apart
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(9)
+    for n, more in ((1, 0), (40, 5), (900, 80), (5000, 3000)):
+        h = np.unique(rng.integers(-2**63, 2**63 - 1, n + more, dtype=np.int64))
+        x, y = h[:n], h[more:]
+        differ = np.bitwise_count((shingles.parities(x) ^ shingles.parities(y)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(x, y))
