@@ -118,3 +118,58 @@ def test_ratio_equals_the_library():
             for t in (0.9, 0.75):
                 r = SequenceMatcher(None, a, b).ratio()
                 assert nd.ratio_if_near(a, b, t) == (r if r >= t else None)
+
+
+def long_texts():
+    """Texts above 200 characters: with few rare ones, in rows of them, with none, all of them rare, and very frequent in one only."""
+    rng = random.Random(11)
+    words = ["thand", "onere", "atthe", "hest", "inge", "kyq", "zqx", "vjk.", "erenan", "tion", "w", "bq,"]
+    base = [" ".join(rng.choices(words, [9, 9, 9, 9, 9, 1, 1, 1, 9, 9, 2, 1], k=k)) for k in (60, 80, 300)]
+    base += ["whnt " * 60, "".join(chr(0x4E00 + rng.randrange(400)) for _ in range(240)), "kyqzqx" * 40 + " onere" * 10]
+    texts = []
+    for b in base:
+        for share in (0, 0.01, 0.03, 0.1):
+            parts = b.split(" ") if " " in b else list(b)
+            for _ in range(int(share * len(parts)) + (share > 0)):
+                i = rng.randrange(len(parts))
+                parts[i:i + rng.randrange(3)] = rng.choices([*words, "]", "^-", "\\"], k=rng.randrange(3))
+            texts.append((" " if " " in b else "").join(parts))
+        texts.append(b[len(b) // 20:] + b[:len(b) // 20])
+    return texts
+
+
+def test_long_texts_equal_the_library():
+    texts, near = long_texts(), 0
+    texts += [x[:n] for x in (texts[0], texts[2]) for n in (196, 199, 200, 203)]  # characters are frequent from 200 on
+    for a in texts:
+        for b in texts:
+            r = SequenceMatcher(None, a, b).ratio()
+            near += r >= 0.75
+            for t in (0.9, 0.75, 0.3):
+                assert nd.ratio_if_near(a, b, t) == (r if r >= t else None)
+    assert near > 2 * len(texts)
+
+
+def test_long_texts_are_not_read_through_for_each_block(monkeypatch):
+    """Blocks of long texts are sought at their rare characters, with equal ratios."""
+    texts = [x for x in long_texts()[:15] if len(x) > 200]
+    want = {(a, b): r for a in texts for b in texts if (r := SequenceMatcher(None, a, b).ratio()) >= 0.9}
+    assert len(want) > len(texts)
+
+    class Unused(SequenceMatcher):
+        def find_longest_match(self, *ranges):
+            raise AssertionError("every character is visited")
+    monkeypatch.setattr(nd, "SequenceMatcher", Unused)
+    assert {(a, b): r for a in texts for b in texts if (r := nd.ratio_if_near(a, b, 0.9)) is not None} == want
+
+
+def test_a_text_moves_once_to_a_bin(spark, monkeypatch):
+    """Pairs of a group of similar texts meet in few bins, whatever the number of pairs, and none is lost."""
+    monkeypatch.setattr(nd, "SIDE", 8)
+    n = 60
+    docs = spark.createDataFrame([(k, 100) for k in range(n)], "cid long, n long")
+    pairs = spark.createDataFrame([(b, a) for a in range(n) for b in range(a + 1, n)], "new_cid long, earlier_cid long")
+    out = nd.binned(pairs, docs)
+    rows = out.collect()
+    assert sorted((r["new_cid"], r["earlier_cid"]) for r in rows) == sorted((b, a) for a in range(n) for b in range(a + 1, n))
+    assert len({(r["bin"], c) for r in rows for c in (r["new_cid"], r["earlier_cid"])}) < len(rows) / 2
