@@ -87,6 +87,26 @@ def test_duplicate_of(spark):
     assert out == {"r1": "r0", "r2": "r0"}
 
 
+def test_targets_of_long_texts(spark, monkeypatch):
+    """The earliest near match of long texts, without a visit to every character for each block."""
+    class Unused(SequenceMatcher):
+        def find_longest_match(self, *ranges):
+            raise AssertionError("every character is visited")
+    texts = [x for x in long_texts()[:15] if len(x) > 200]
+    want = {}
+    for i, x in enumerate(texts):
+        near = [j for j in range(i) if x == texts[j] or SequenceMatcher(None, x, texts[j]).ratio() >= 0.9]
+        same = [j for j in near if texts[j] == x]
+        if near:
+            want[f"r{i}"] = f"r{same[-1] if same else near[0]}"
+    assert len(want) >= 5
+    df = spark.createDataFrame([(f"r{i}", i, x) for i, x in enumerate(texts)], "record_id string, seq long, content string")
+    out = nd.duplicate_of(df, nd.near_contents(df))
+    assert {r["record_id"]: r["duplicate_of"] for r in out.collect()} == want
+    monkeypatch.setattr(nd, "SequenceMatcher", Unused)
+    assert all(nd.ratio_if_near(x, y, 0.9) is None or x == y or SequenceMatcher(None, x, y).ratio() >= 0.9 for x in texts for y in texts)
+
+
 def test_small_tiles_lose_no_pair(spark, monkeypatch):
     texts = fixture_texts()
     df = spark.createDataFrame([(f"r{i}", i, x) for i, x in enumerate(texts)], "record_id string, seq long, content string")
